@@ -7,15 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import count_tokens, encode_texts
 from .common import table
+from .simhash import near_duplicates
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op6_simhash_neardup, op7_token_counts)}
 ORACLES: dict[str, str] = {}
