@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import count_tokens, encode_texts
 from .common import table
+from .embed import near_vectors
 from .simhash import near_duplicates
 
 
@@ -22,5 +23,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op6_simhash_neardup, op7_token_counts)}
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup)}
 ORACLES: dict[str, str] = {}
