@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import count_tokens, encode_texts
 from .common import table
 from .embed import near_vectors
+from .langid import predict_language
+from .quality import score_quality, train
 from .simhash import near_duplicates
 
 
@@ -15,6 +17,15 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,5 +38,5 @@ def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup)}
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_language_id, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup)}
 ORACLES: dict[str, str] = {}
