@@ -9,6 +9,8 @@ from .bpe import count_tokens, encode_texts
 from .common import table
 from .embed import near_vectors
 from .langid import predict_language
+from .linededup import LINE_SQL, drop_boilerplate
+from .pii import personal_data
 from .quality import score_quality, train
 from .simhash import near_duplicates
 
@@ -38,5 +40,13 @@ def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_language_id, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup)}
-ORACLES: dict[str, str] = {}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_language_id, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup)}
+ORACLES: dict[str, str] = {"op10_line_dedup": LINE_SQL}
