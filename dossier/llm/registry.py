@@ -13,6 +13,7 @@ from .linededup import LINE_SQL, drop_boilerplate
 from .pii import personal_data
 from .quality import score_quality, train
 from .simhash import near_duplicates
+from .warc import archived_pages
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -48,5 +53,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_language_id, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_language_id, op4_warc_roundtrip, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup)}
 ORACLES: dict[str, str] = {"op10_line_dedup": LINE_SQL}
