@@ -170,21 +170,20 @@ def codec(raw: bytes, pattern: str) -> Codec:
 def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode each whole text and decode the ids again.
 
-    Returns ``id_col``, n_tokens, ids_sha256, decoded_sha256 and, if ``with_ids``, ids array<int> and
-    decoded binary. The rank file is read by the driver (a vocabulary is bounded) and sent along.
+    Returns ``id_col``, n_tokens, ids_sha256, decoded_sha256 and, if ``with_ids``, ids array<int>. The rank file is read by the driver (a vocabulary is bounded) and sent along.
     """
     spark = df.sparkSession
     ship_code(spark)
     with open(ranks_path, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
+    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(raw.value, pattern)
         names, decode = c.names.__getitem__, c.coder.decode
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], []]
             for text in batch.column(1):
                 ids = c.encode(text.as_py() or "")
                 back = decode(ids)
@@ -193,15 +192,29 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 rows[2].append(hashlib.sha256(back).hexdigest())
                 if with_ids:
                     rows[3].append(ids)
-                    rows[4].append(back)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
-            made = [pa.array(x, k) for x, k in zip(rows[: 3 + 2 * with_ids], kinds)]
-            cols = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+            made = [pa.array(x, k) for x, k in zip(rows[: 3 + with_ids], kinds)]
+            cols = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=cols)
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def decode_ids(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """``id_col`` and decoded (binary) of each list of ids; a null list decodes to nothing."""
+    spark = df.sparkSession
+    ship_code(spark)
+    with open(ranks_path, "rb") as f:
+        raw = spark.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = codec(raw.value, pattern).coder.decode
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(x.as_py() or []) for x in batch.column(1)], pa.binary())], names=[id_col, "decoded"])
+
+    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, decoded binary")
+
+
 # ---------------------------------------------------------------- op7
 
 

@@ -124,15 +124,17 @@ def score_quality(docs: DataFrame, model: SupportVectors, id_col: str = "doc_id"
     ship_code(spark)
     sent = spark.sparkContext.broadcast(model)
     carried = [c for c in keep or [] if c not in (id_col, "held_out", "score", "predicted")]
+    others = [c for c in carried if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Indicators()
         for batch in batches:
             scores = [logistic(SLOPE * sent.value.margin(find(t.as_py() or ""))) for t in batch.column(2)]
             made = [pa.array(scores, pa.float64()), pa.array([int(s >= ACCEPT) for s in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *batch.columns[3:]], names=[id_col, "held_out", "score", "predicted", *carried])
+            kept = [batch.column(2) if c == text_col else batch.column(3 + others.index(c)) for c in carried]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, *kept], names=[id_col, "held_out", "score", "predicted", *carried])
 
-    wide = docs.select(F.col(id_col), held_out(id_col).alias("__held"), F.col(text_col).alias("__text"), *carried)
-    kinds = dict(wide.dtypes)
+    wide = docs.select(F.col(id_col), held_out(id_col).alias("__held"), F.col(text_col).alias("__text"), *others)
+    kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{id_col}` {kinds[id_col]}", "held_out boolean", "score double", "predicted int", *[f"`{c}` {kinds[c]}" for c in carried]])
     return wide.mapInArrow(run, schema)

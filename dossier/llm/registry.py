@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import count_tokens, encode_texts
 from .common import table
+from .decontam import contaminated
 from .embed import near_vectors
 from .langid import predict_language
 from .linededup import LINE_SQL, drop_boilerplate
@@ -16,6 +17,10 @@ from .simhash import near_duplicates
 from .warc import archived_pages
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -53,5 +58,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_roundtrip, op3_language_id, op4_warc_roundtrip, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe_roundtrip, op3_language_id, op4_warc_roundtrip, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup)}
 ORACLES: dict[str, str] = {"op10_line_dedup": LINE_SQL}

@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from dossier.llm.bpe import Codec, PrefixTable, count_tokens, counter, encode_texts, parse_ranks
+from dossier.llm.bpe import Codec, PrefixTable, count_tokens, counter, decode_ids, encode_texts, parse_ranks
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 ODD = ["", " ", "a", "  \n\n x", "don't we'll", "a\x1c\x1d b\x85c d", "é" * 50, "aaaa" * 300, "日本語 テキスト🙂🙂", "<|endoftext|>", "x<|endoftext|>y <|endoftext|>", "1234567890" * 20, "!!!???///" * 9, "Aaá‍", "\u0000\u0001", "the " * 2000]
@@ -72,6 +72,8 @@ def test_tables_nulls_empties_repeats_and_clashing_columns(spark, codec):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256) for r in encode_texts(df, RANKS, P.PATTERN, with_ids=True).collect()}
     empty = hashlib.sha256(b"").hexdigest()
     assert (1, 0, empty) in got and (2, 0, empty) in got and len(got) == 4
+    back = {r.doc_id: bytes(r.decoded) for r in decode_ids(encode_texts(df, RANKS, P.PATTERN, with_ids=True), RANKS, P.PATTERN).collect()}
+    assert back == {1: b"", 2: b"", 3: b"word " * 30_000, None: b"a b"}
     counts = count_tokens(df, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
     assert sorted((r.n_bytes, r.over_limit) for r in counts) == [(0, False), (0, False), (0, False), (3, False), (150_000, True)]
     assert encode_texts(df.limit(0), RANKS, P.PATTERN).count() == 0
