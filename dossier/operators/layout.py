@@ -11,7 +11,7 @@ def lines(words: DataFrame, keys: list[str]) -> DataFrame:
     some = words.where("conf >= 0 and trim(word) <> ''")
     return some.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "word"))), lambda s: s["word"]), " ").alias("text"),
-        F.round(F.avg("conf") / 100, 4).alias("confidence"),
+        (F.avg("conf") / 100).alias("confidence"),
         F.min("x").alias("x"), F.min("y").alias("y"),
         (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
     )
@@ -20,14 +20,14 @@ def lines(words: DataFrame, keys: list[str]) -> DataFrame:
 def pages(found: DataFrame, doc: str, page: str, order: str) -> DataFrame:
     """Lines to pages: text by line, mean confidence of lines that have one."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: s["text"]), "\n")
-    return found.groupBy(doc, page).agg(text.alias("text"), F.round(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), 4).alias("confidence"))
+    return found.groupBy(doc, page).agg(text.alias("text"), F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))).alias("confidence"))
 
 
 def documents(found: DataFrame, doc: str, page: str) -> DataFrame:
     """Pages to documents: text with page breaks, mean confidence, and the best page."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "text"))), lambda s: s["text"]), "\n\n--- Page Break ---\n\n")
     return found.groupBy(doc).agg(
-        text.alias("text"), F.round(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), 4).alias("confidence"), F.max_by(page, F.struct("confidence", -F.col(page))).alias("best_page"), F.count("*").alias("pages")
+        text.alias("text"), F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))).alias("confidence"), F.max_by(page, F.struct("confidence", -F.col(page))).alias("best_page"), F.count("*").alias("pages")
     )
 
 

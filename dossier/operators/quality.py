@@ -110,7 +110,7 @@ def confidence_steps(df: DataFrame, keys: list[str], order: str, kind: str, over
     out_type = "array<struct<ord:bigint,kind:string,before:double,after:double>>"
 
     def fold(state: Column, x: Column) -> Column:
-        after = F.coalesce(clamp(x["override"]), clamp(state["now"] * x["factor"]))
+        after = F.when(x["override"].isNotNull(), clamp(x["override"])).otherwise(clamp(state["now"] * x["factor"]))
         one = F.struct(x["ord"].cast("bigint").alias("ord"), x["kind"].alias("kind"), state["now"].alias("before"), after.alias("after"))
         return F.struct(after.alias("now"), F.concat(state["out"], F.array(one)).cast(out_type).alias("out"))
 
@@ -133,7 +133,7 @@ def stage_status(outcomes: dict[str, Column]) -> tuple[Column, Column, Column]:
 
 
 def tags(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def envelope(df: DataFrame, key: str) -> DataFrame:
