@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from .common import Memo, ship_code
 
 #: Distinct pieces that one Python worker remembers in each of two generations.
-PIECE_BOUND = 500_000
+PIECE_BOUND = 400_000
 #: Token pairs whose validity one Python worker remembers in each of two generations.
-PAIR_BOUND = 400_000
+PAIR_BOUND = 200_000
 
 
 def piece_pattern(pattern: str) -> regex.Pattern:
@@ -49,6 +49,7 @@ class PrefixCoder:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.numbers = list(range(len(self.tokens)))  # one object for each id, whatever remembers it
         self.longest = max(map(len, ranks), default=0)
         self.fits = Memo(self._fits, PAIR_BOUND)
 
@@ -88,7 +89,7 @@ class PrefixCoder:
         """The ids that a filled table stands for."""
         out, at = [], len(last) - 1
         while at:
-            out.append(last[at] - 1)
+            out.append(self.numbers[last[at] - 1])
             at -= len(self.tokens[out[-1]])
         return out[::-1]
 
@@ -146,7 +147,7 @@ class Codec:
     def __init__(self, raw: bytes, pattern: str):
         self.coder = PrefixCoder(parse_ranks(raw))
         self.split = piece_pattern(pattern).findall
-        self.pieces = Memo(lambda piece: self.coder.piece(piece.encode()), PIECE_BOUND)
+        self.pieces = Memo(lambda piece: tuple(self.coder.piece(piece.encode())), PIECE_BOUND)
         self.names = [str(i) for i in range(len(self.coder.tokens))]
 
     def encode(self, text: str) -> list[int]:
