@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, ship_code
+from .common import Memo, claim, ship_code
 
 #: Distinct pieces that one Python worker remembers in each of two generations.
 PIECE_BOUND = 400_000
@@ -157,15 +157,8 @@ class Codec:
         return out
 
 
-_codecs: dict = {}
-
-
 def codec(raw: bytes, pattern: str) -> Codec:
-    key = (hashlib.sha256(raw).digest(), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(raw, pattern)
-    return _codecs[key]
+    return claim(("codec", hashlib.sha256(raw).digest(), pattern), lambda: Codec(raw, pattern))
 
 
 def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -288,15 +281,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-_counters: dict = {}
-
-
 def counter(raw: bytes, pattern: str) -> HeapCounter:
-    key = (hashlib.sha256(raw).digest(), pattern)
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = HeapCounter(raw, pattern)
-    return _counters[key]
+    return claim(("counter", hashlib.sha256(raw).digest(), pattern), lambda: HeapCounter(raw, pattern))
 
 
 def count_tokens(df: DataFrame, model_path: str, pattern: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -80,6 +83,24 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+_held: list = [None, None]
+
+
+def claim(owner: Hashable, build: Callable = lambda: None):
+    """What this Python worker keeps between tasks: one thing only, that of the operator that runs now.
+
+    Workers serve one query after another; what the last operator remembered goes back to the system
+    before the next one fills its own memory.
+    """
+    if _held[0] != owner:
+        _held[:] = [None, None]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _held[:] = [owner, build()]
+    return _held[1]
+
+
 class Memo(dict):
     """A bounded memo of ``compute``: two generations, the older one is dropped when the younger is full."""
 

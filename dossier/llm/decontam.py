@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import claim, ship_code
 
 #: Characters of a q-gram.
 Q = 6
@@ -275,6 +275,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _searcher(sent, item_kind: str, id_col: str, item_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontam")
         index = sent.value
         for batch in batches:
             found = list(index.search(batch.column(1).to_pylist())) if index.ids else []
@@ -298,6 +299,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
 def _cleaner(sent, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontam")
         index = sent.value
         for batch in batches:
             hit = np.zeros(batch.num_rows, bool)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship_code
+from .common import claim, materialize, ship_code
 from .graph import components, unite
 from .tiles import tile_pairs
 
@@ -113,6 +113,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
     side = max(math.sqrt(max(2 - 2 * threshold, 0)), 1e-3) + SLACK
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("embed")
         for batch in batches:
             dims = batch.column(0).to_numpy()
             lead = np.zeros((len(dims), 2))

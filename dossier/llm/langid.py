@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ship_code
+from .common import claim, held_out, ship_code
 from .grams import class_sample, distinct, gram_codes
 
 #: Training rows of each language, about; the bound of the sample.
@@ -96,6 +96,7 @@ def predict_language(docs: DataFrame, model: KernelModel | None = None, id_col:
     sent = spark.sparkContext.broadcast(model or train(docs, id_col, text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         for batch in batches:
             langs, scores = sent.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])

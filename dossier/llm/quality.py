@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, ship_code
+from .common import Memo, claim, held_out, ship_code
 from .grams import class_sample, gram_codes
 
 #: Labelled rows of each class to learn from, about; the bound of the sample.
@@ -127,7 +127,7 @@ def score_quality(docs: DataFrame, model: SupportVectors, id_col: str = "doc_id"
     others = [c for c in carried if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Indicators()
+        find = claim("indicators", Indicators)
         for batch in batches:
             scores = [logistic(SLOPE * sent.value.margin(find(t.as_py() or ""))) for t in batch.column(2)]
             made = [pa.array(scores, pa.float64()), pa.array([int(s >= ACCEPT) for s in scores], pa.int32())]

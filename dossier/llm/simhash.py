@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship_code
+from .common import claim, materialize, ship_code
 from .graph import components, unite
 from .tiles import tile_pairs
 
@@ -55,6 +55,7 @@ def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
     ship_code(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             made = [signed(fingerprint(t.as_py() or "", words)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=[id_col, "fp"])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, new_path, ship_code
+from .common import broadcast_if_small, claim, materialize, new_path, ship_code
 
 END = "\r\n\r\n"
 MAGIC = "WARC/1."
@@ -163,6 +163,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows.append(("s", s.file, s.start, None, None, s.last, s.at, s.length, *none, None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(zip(*rows), SCAN.split(", "))], schema=schema)
 
+    claim("warc")
     now: Split | None = None
     for batch in batches:
         for file, start, length, value in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
