@@ -60,9 +60,9 @@ def pending(evidence: DataFrame, normalizations: DataFrame, attempts: int | None
     return out
 
 
-def detail(evidence: DataFrame, normalizations: DataFrame) -> DataFrame:
+def detail(evidence: DataFrame, normalizations: DataFrame, tie: str = "attempt") -> DataFrame:
     """Evidence with its latest normalization and the number of attempts."""
-    last = latest(normalizations, "evidence_id", F.col("created_at").desc(), F.col("attempt").desc())
+    last = latest(normalizations, "evidence_id", F.col("created_at").desc(), F.col("attempt").desc(), F.col(tie))
     last = last.select(F.col("evidence_id").alias("id"), F.col("status").alias("last_status"), F.col("attempt").alias("last_attempt"))
     counts = normalizations.groupBy(F.col("evidence_id").alias("id")).agg(F.count("*").alias("attempts"))
     return evidence.join(last, "id", "left").join(counts, "id", "left").fillna(0, ["attempts"])

@@ -31,7 +31,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "normalizations": (
         ["lineitem"],
-        """SELECT l_orderkey AS evidence_id, l_linenumber AS attempt, l_shipdate AS created_at,
+        """SELECT l_orderkey AS evidence_id, l_linenumber AS attempt, l_partkey * 100000 + l_suppkey AS ref, l_shipdate AS created_at,
         CASE WHEN l_returnflag = 'R' THEN 'COMPLETED' WHEN l_returnflag = 'A' THEN 'PARTIAL'
              WHEN l_linestatus = 'F' THEN 'IN_PROGRESS' ELSE 'FAILED' END AS status,
         l_discount AS quality, l_tax AS confidence FROM {lineitem}""",

@@ -117,12 +117,12 @@ def nst03(spark, d):
 
 
 def _steps(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.expr("concat('f', CAST(l_partkey % 3 AS STRING))").alias("field"), F.col("l_linenumber").alias("ord"), F.element_at(F.array(*[F.lit(k) for k in L.CONFIDENCE_FACTORS]), (F.col("l_suppkey") % 6 + 1).cast("int")).alias("kind"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.expr("concat('f', CAST(l_partkey % 3 AS STRING))").alias("field"), F.expr("l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey").alias("ord"), F.element_at(F.array(*[F.lit(k) for k in L.CONFIDENCE_FACTORS]), (F.col("l_suppkey") % 6 + 1).cast("int")).alias("kind"))
     return quality.confidence_steps(li, ["id", "field"], "ord", "kind")
 
 
 _FACTORS = "[" + ", ".join(f"{v}e0" for v in L.CONFIDENCE_FACTORS.values()) + "]"
-_FOLD = f"""(WITH RECURSIVE s AS (SELECT l_orderkey AS id, l_partkey % 3 AS f, l_linenumber AS ord, {_FACTORS}[CAST(l_suppkey % 6 + 1 AS INT)] AS factor, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_linenumber) AS n FROM lineitem),
+_FOLD = f"""(WITH RECURSIVE s AS (SELECT l_orderkey AS id, l_partkey % 3 AS f, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS ord, {_FACTORS}[CAST(l_suppkey % 6 + 1 AS INT)] AS factor, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
 r AS (SELECT id, f, ord, n, CAST(1.0 AS DOUBLE) AS before, greatest(0.0, least(1.0, CAST(factor AS DOUBLE))) AS after FROM s WHERE n = 1 UNION ALL SELECT s.id, s.f, s.ord, s.n, r.after, greatest(0.0, least(1.0, r.after * CAST(s.factor AS DOUBLE))) FROM r JOIN s ON s.id = r.id AND s.f = r.f AND s.n = r.n + 1) SELECT * FROM r)"""
 
 
@@ -131,9 +131,9 @@ def win07(spark, d):
     return _steps(spark, d).select("id", "field", "ord", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
 
 
-@query("agg15_composite", f"SELECT id, count(*) AS transformation_count, round(sum(before - after), 4) AS lost, count(DISTINCT f) AS fields FROM {_FOLD} x GROUP BY 1")
+@query("agg15_composite", f"SELECT id, count(*) AS transformation_count, floor(sum(before - after) * 10000 + 0.4999999) / 10000 AS lost, count(DISTINCT f) AS fields FROM {_FOLD} x GROUP BY 1")
 def agg15(spark, d):
-    return _steps(spark, d).groupBy("id").agg(F.count("*").alias("transformation_count"), F.round(F.sum(F.col("before") - F.col("after")), 4).alias("lost"), F.countDistinct("field").alias("fields"))
+    return _steps(spark, d).groupBy("id").agg(F.count("*").alias("transformation_count"), (F.floor(F.sum(F.col("before") - F.col("after")) * 10000 + 0.4999999) / 10000).alias("lost"), F.countDistinct("field").alias("fields"))
 
 
 @query("nst04_audit", f"SELECT id, count(*) AS transformation_count, least(count(*), 200) AS listed FROM {_FOLD} x GROUP BY 1")

@@ -160,19 +160,19 @@ def agg03(spark, d):
     return a.crossJoin(R.listing(e, status="PENDING").agg(F.count("*").alias("pending_ingestions")))  # one row each
 
 
-_LAST = f"(SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY evidence_id ORDER BY created_at DESC, attempt DESC) AS k FROM {NO} n) AS r WHERE k = 1)"
+_LAST = f"(SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY evidence_id ORDER BY created_at DESC, attempt DESC, ref) AS k FROM {NO} n) AS r WHERE k = 1)"
 
 
 @query("win01_latest", f"SELECT evidence_id, attempt, status FROM {_LAST} l")
 def win01(spark, d):
     n = view(spark, d, "normalizations")
-    return R.latest(n, "evidence_id", F.col("created_at").desc(), F.col("attempt").desc()).select("evidence_id", "attempt", "status")
+    return R.latest(n, "evidence_id", F.col("created_at").desc(), F.col("attempt").desc(), F.col("ref")).select("evidence_id", "attempt", "status")
 
 
 @query("jn02_detail", f"""SELECT e.id, e.status, l.status AS last_status, l.attempt AS last_attempt, coalesce(c.n, 0) AS attempts FROM {EV} e
 LEFT JOIN {_LAST} l ON l.evidence_id = e.id LEFT JOIN (SELECT evidence_id, count(*) AS n FROM {NO} n GROUP BY 1) AS c ON c.evidence_id = e.id""")
 def jn02(spark, d):
-    return R.detail(view(spark, d, "evidence"), view(spark, d, "normalizations")).select("id", "status", "last_status", "last_attempt", "attempts")
+    return R.detail(view(spark, d, "evidence"), view(spark, d, "normalizations"), "ref").select("id", "status", "last_status", "last_attempt", "attempts")
 
 
 @query("jn03_eager_children", "SELECT d.doc_id, coalesce(string_agg(CAST(l.toxic AS VARCHAR), ',' ORDER BY l.quality), '') AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
