@@ -21,12 +21,31 @@ PREVIEW, JSON_PREVIEW = 1000, 2000
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Files as rows (path, modificationTime, length, content) with mime, category and digests."""
+    """Files as rows (path, modificationTime, length, content) with mime, category and digests.
+
+    The source leaves out empty files; they are listed and added, so that they can be rejected by name.
+    """
     df = spark.read.format("binaryFile").load(path)
+    empty = empty_files(spark, path)
+    if empty:
+        rows = spark.createDataFrame([(p, t, bytearray()) for p, t in empty], "path string, t long, content binary")
+        df = df.unionByName(rows.select("path", F.timestamp_millis("t").alias("modificationTime"), F.lit(0).cast("long").alias("length"), "content"))
     mime = resolve_mime(F.lit(None).cast("string"), F.col("path"))
     return df.withColumns({"mime": mime, "category": category(mime), "sha256": F.sha2("content", 256), "md5": F.md5("content")})
 
 
+def empty_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, modification time) of the files of length 0 in a folder or under a glob."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for top in fs.globStatus(p) or []:
+        for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+            if f.isFile() and f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")):
+                found.append((f.getPath().toString(), f.getModificationTime()))
+    return found
+
+
 def encoding(content: Column) -> tuple[Column, Column]:
     """(name, confidence): UTF-8 if the bytes are, else by byte order mark, else UTF-8 at 0.5."""
     head = F.hex(F.substring(content, 1, 3))
