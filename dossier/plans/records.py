@@ -126,9 +126,9 @@ _FOLD = f"""(WITH RECURSIVE s AS (SELECT l_orderkey AS id, l_partkey % 3 AS f, l
 r AS (SELECT id, f, ord, n, CAST(1.0 AS DOUBLE) AS before, greatest(0.0, least(1.0, CAST(factor AS DOUBLE))) AS after FROM s WHERE n = 1 UNION ALL SELECT s.id, s.f, s.ord, s.n, r.after, greatest(0.0, least(1.0, r.after * CAST(s.factor AS DOUBLE))) FROM r JOIN s ON s.id = r.id AND s.f = r.f AND s.n = r.n + 1) SELECT * FROM r)"""
 
 
-@query("win07_confidence", f"SELECT id, concat('f', CAST(f AS VARCHAR)) AS field, ord, round(before, 6) AS before, round(after, 6) AS after FROM {_FOLD} x")
+@query("win07_confidence", f"SELECT id, concat('f', CAST(f AS VARCHAR)) AS field, ord, floor(before * 1e6 + 0.4999999) / 1e6 AS before, floor(after * 1e6 + 0.4999999) / 1e6 AS after FROM {_FOLD} x")
 def win07(spark, d):
-    return _steps(spark, d).select("id", "field", "ord", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+    return _steps(spark, d).select("id", "field", "ord", *[(F.floor(F.col(c) * 1e6 + 0.4999999) / 1e6).alias(c) for c in ("before", "after")])
 
 
 @query("agg15_composite", f"SELECT id, count(*) AS transformation_count, floor(sum(before - after) * 10000 + 0.4999999) / 10000 AS lost, count(DISTINCT f) AS fields FROM {_FOLD} x GROUP BY 1")
@@ -318,9 +318,9 @@ def cls15(spark, d):
     return view(spark, d, "regions").select("page", "seq", C.region_type(*c, F.lit(900), F.lit(1200), F.col("edges"), F.col("stroke") > 0.5).alias("region_type"))
 
 
-@query("agg12_dominant", f"SELECT page, arg_max(content, area * 100.0 - first) AS dominant FROM (SELECT page, content, sum(w * h) AS area, min(seq) AS first FROM (SELECT *, {_CONTENT} AS content FROM {RG} r) AS a GROUP BY 1, 2) AS b GROUP BY 1")
+@query("agg12_dominant", f"SELECT page, arg_max(content, area * 1e7 - first) AS dominant FROM (SELECT page, content, sum(w * h) AS area, min(seq * 10000 + x) AS first FROM (SELECT *, {_CONTENT} AS content FROM {RG} r) AS a GROUP BY 1, 2) AS b GROUP BY 1")
 def agg12(spark, d):
-    r = view(spark, d, "regions").withColumn("content", C.content_type(F.col("stroke"), F.col("edges")))
+    r = view(spark, d, "regions").withColumns({"content": C.content_type(F.col("stroke"), F.col("edges")), "seq": F.expr("seq * 10000 + x")})
     return layout.dominant_content(r, "page").select("page", "dominant")
 
 
