@@ -62,10 +62,15 @@ def _normal(kind: str, pattern: str, value: Column) -> Column:
 def entities(text: Column, kinds: list[str] | None = None) -> Column:
     """Array of (entity_type, raw_value, normalized_value, confidence) in the order of PATTERNS; references to anatomy are capped at 50."""
     parts: dict[str, list[Column]] = {}
+    low = F.lower(F.upper(text))
     for kind, pattern, flags, confidence in PATTERNS:
         if kinds and kind not in kinds:
             continue
-        found = F.transform(F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(1)), strip)
+        matches = F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(1))
+        word = _needed(kind, pattern)
+        if word:  # a plain search for what every match holds spares most patterns
+            matches = F.when(F.contains(low, F.lit(word)), matches).otherwise(F.array().cast("array<string>"))
+        found = F.transform(matches, strip)
         some = F.filter(found, _test(kind, pattern))
         cut = 300 if kind == "ORGAN_FINDING" else 500
         made = F.transform(some, _struct(kind, pattern, confidence, cut))
@@ -74,6 +79,17 @@ def entities(text: Column, kinds: list[str] | None = None) -> Column:
     return F.coalesce(F.concat(*arrays), F.array().cast("array<struct<entity_type:string,raw_value:string,normalized_value:string,confidence:double>>"))
 
 
+def _needed(kind: str, pattern: str) -> str | None:
+    """A lower-case word that every match of the pattern holds."""
+    if kind == "TOXICOLOGY_FINDING":
+        return pattern[1:].split("\\w")[0]
+    if kind == "ANATOMICAL_REFERENCE":
+        return pattern[3:-3]
+    if kind == "ORGAN_FINDING":
+        return pattern[1:].split("\\s")[0].removesuffix("s?")
+    return None
+
+
 def _test(kind: str, pattern: str):
     return lambda v: _keep(kind, pattern, v)
 

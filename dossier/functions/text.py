@@ -87,15 +87,20 @@ def synonym_rules() -> list[tuple[str, str, str]]:
 def resolve_synonyms(c: Column) -> Column:
     """Every rule in turn over what the ones before it left, whole words in any case.
 
-    One alternation guards the cascade: texts without any term skip all rules. (Later rules may only
-    meet terms that earlier ones wrote if some rule fired at all, so the guard loses nothing.)
+    One alternation guards the cascade: a text without any term skips all rules, as rules write terms
+    only where some rule fired. Inside, the rules are folded over the text, and a rule's pattern runs
+    only if a plain search finds its term.
     """
     rules = synonym_rules()
     any_term = "|".join(re.escape(t) for t, _, _ in rules)
-    out = c
-    for term, new, _ in rules:
-        out = F.regexp_replace(out, rf"{FLAGS}\b{re.escape(term)}\b", new.replace("\\", "\\\\").replace("$", "\\$"))
-    return F.when(c.rlike(rf"{FLAGS}\b(?:{any_term})\b"), out).otherwise(c)
+    made = [F.struct(F.lit(t).alias("t"), F.lit(rf"{FLAGS}\b{re.escape(t)}\b").alias("p"), F.lit(new.replace("\\", "\\\\").replace("$", "\\$")).alias("n")) for t, new, _ in rules]
+    both = lambda x: F.struct(x.alias("t"), F.lower(F.upper(x)).alias("low"))
+
+    def rule(now: Column, r: Column) -> Column:
+        return F.when(F.contains(now["low"], r["t"]), both(F.regexp_replace(now["t"], r["p"], r["n"]))).otherwise(now)
+
+    folded = F.aggregate(F.array(*made), both(c), rule, lambda z: z["t"])
+    return F.when(c.rlike(rf"{FLAGS}\b(?:{any_term})\b"), folded).otherwise(c)
 
 
 _LOG = T.ArrayType(T.StructType([T.StructField("original", T.StringType()), T.StructField("resolved", T.StringType()), T.StructField("category", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("position", T.IntegerType())]))
