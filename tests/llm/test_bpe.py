@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from dossier.llm.bpe import Codec, PrefixTable, count_tokens, counter, decode_ids, encode_texts, parse_ranks
+from dossier.llm.bpe import Codec, PrefixTable, count_tokens, counter, decode_ids, encode_texts, parse_ranks, piece_pattern, splitter
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 ODD = ["", " ", "a", "  \n\n x", "don't we'll", "a\x1c\x1d b\x85c d", "é" * 50, "aaaa" * 300, "日本語 テキスト🙂🙂", "<|endoftext|>", "x<|endoftext|>y <|endoftext|>", "1234567890" * 20, "!!!???///" * 9, "Aaá‍", "\u0000\u0001", "the " * 2000]
@@ -37,6 +37,13 @@ def test_encode_matches_library(codec, library):
         assert codec.coder.decode(ids) == t.encode()
 
 
+def test_ascii_splitter_is_the_pattern():
+    r, split, pattern = random.Random(5), splitter(P.PATTERN), piece_pattern(P.PATTERN)
+    for _ in range(3000):
+        t = "".join(r.choice("aZ09 '\t\n\x0b\x0c\r\x1c\x1f\x00._-s tdm") for _ in range(r.randrange(40)))
+        assert split(t) == pattern.findall(t), t
+
+
 def test_prefix_table_appends_and_edits(codec):
     r = random.Random(3)
     for _ in range(40):
