@@ -80,9 +80,13 @@ def child_counts(parents: DataFrame, children: DataFrame, key: str, name: str =
 
 
 def fresh(incoming: DataFrame, known: DataFrame | None, digest: str, arrival: str) -> DataFrame:
-    """Incoming rows whose digest was not seen before, neither in ``known`` nor earlier in the batch; adds duplicate."""
-    first = F.row_number().over(Window.partitionBy(digest).orderBy(arrival)) > 1
-    out = incoming.withColumn("duplicate", first)
+    """Incoming rows whose digest was not seen before, neither in ``known`` nor earlier in the batch; adds duplicate.
+
+    The first arrival of each digest is a minimum with partial sums, joined back, so that a digest that
+    a large part of the batch shares does not gather in one task. ``arrival`` is unique in a batch.
+    """
+    first = incoming.groupBy(digest).agg(F.min(arrival).alias("__first"))
+    out = incoming.join(first, digest).withColumn("duplicate", F.col(arrival) > F.col("__first")).drop("__first")
     if known is not None:
         seen = known.select(digest).distinct().withColumn("__seen", F.lit(True))
         out = out.join(seen, digest, "left").withColumn("duplicate", F.col("duplicate") | F.col("__seen").isNotNull()).drop("__seen")
