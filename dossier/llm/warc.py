@@ -291,8 +291,8 @@ def archived_pages(pages: DataFrame, least: int = 0, id_col: str = "page_id", ur
     kind = pages.schema[id_col].dataType
     number = lambda c: F.nullif(F.regexp_extract(c, f"{RECORD}([^>]*)", 1), F.lit("")).cast(kind)
     records = materialize(read_archive(spark, path).select(number(F.col("record")).alias("id"), number(F.col("refers")).alias("refers_to"), "type", F.regexp_replace("declared", "^sha1:", "").alias("declared"), "payload_bytes", "payload_digest"), "pages")
-    first = records.where("type = 'response'").groupBy("id").agg(F.min("payload_bytes").alias("full")).withColumnRenamed("id", "of")
-    again = records.where("type = 'revisit'").join(first, F.col("refers_to") == F.col("of"), "left")
+    first = records.where("type = 'response'").groupBy(F.col("id").alias("of"), F.col("declared").alias("of_digest")).agg(F.min("payload_bytes").alias("full"))
+    again = records.where("type = 'revisit'").join(first, (F.col("refers_to") == F.col("of")) & (F.col("declared") == F.col("of_digest")), "left")
     again = again.select("id", F.col("full").alias("payload_bytes"), F.col("declared").alias("payload_digest"), "type", "refers_to")
     own = records.where("type = 'response'").select("id", "payload_bytes", "payload_digest", "type", "refers_to")
     return own.union(again).select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")

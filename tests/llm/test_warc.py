@@ -11,7 +11,7 @@ FAKE = "a\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:dossier
 BIG = "\r\n\r\nWARC/1.1\r\nContent-Length: 99999999\r\n\r\n"
 ROWS = [
     (3, "http://a", "same"), (1, "http://b", "same"), (2, "http://c\r\nX: y", "same"), (7, None, None), (6, "u", ""), (8, "WARC/1.1", "WARC/1.1\r\n\r\nx"), (9, "v", FAKE), (10, "w", FAKE * 3 + "é🙂"), (11, "x", BIG + FAKE),
-    (12, "y", "\r\n\r\n" * 5), (13, "z", "WARC/1.\r\n\r\nWARC/1.\r\n\r\nWARC/1."), (14, "z", "long " * 20_000), (15, "z", FAKE * 400), (15, "z", FAKE * 400), (16, "q", "\r\n"), (17, "q", "\r\n\r\nWARC/1."), (None, "n", "same"), (None, "n", "alone"),
+    (12, "y", "\r\n\r\n" * 5), (13, "z", "WARC/1.\r\n\r\nWARC/1.\r\n\r\nWARC/1."), (14, "z", "long " * 20_000), (15, "z", FAKE * 400), (15, "z", FAKE * 400), (16, "q", "\r\n"), (17, "q", "\r\n\r\nWARC/1."), (None, "n", "same"), (None, "n", "alone"), (1, "dup", "another payload of page 1"),
 ]
 
 
