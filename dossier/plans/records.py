@@ -393,3 +393,50 @@ def udf08(spark, d):
     """Engine by content: handwriting to the vision model, doubtful regions to both."""
     content = C.content_type(F.col("stroke"), F.col("edges"))
     return view(spark, d, "regions").select("page", "seq", F.when(content == "handwritten", "vision").when(F.col("stroke") < 0.1, "both").otherwise("print").alias("engine"))
+
+
+# ---------------------------------------------------------------- pixels
+
+
+def _images(spark, d):
+    """Bytes of long texts as grey squares."""
+    docs = table(spark, d, "documents").where("octet_length(text) >= 1024")
+    return docs.select(F.col("doc_id").alias("id"), F.lit(32).alias("width"), F.lit(32).alias("height"), F.substring(F.col("text").cast("binary"), 1, 1024).alias("pixels"))
+
+
+@query("mth04_pixel_measures")
+def mth04(spark, d):
+    """MTH-04 and MTH-07: sharpness, noise, contrast, edges, strokes, grids."""
+    from ..operators import pixels
+
+    return pixels.measured(_images(spark, d))
+
+
+@query("mth03_page_gate")
+def mth03_gate(spark, d):
+    from ..operators import pixels
+
+    return pixels.page_quality(_images(spark, d)).select("id", "overall", "legibility", "passes_gate", "sharpness", "content", "turn_by")
+
+
+@query("mth06_prepared")
+def mth06(spark, d):
+    """MTH-05 and MTH-06: crop, upscale, equalize, denoise, threshold."""
+    from ..operators import pixels
+
+    return pixels.prepare(_images(spark, d)).select("id", "width", "height", F.sha2("pixels", 256).alias("sha256"))
+
+
+@query("mth07_text_blocks")
+def mth07(spark, d):
+    from ..operators import pixels
+
+    return pixels.text_blocks(_images(spark, d))
+
+
+@query("udf06_detector_hook")
+def udf06(spark, d):
+    """A stand-in detector: dark pages."""
+    from ..operators import pixels
+
+    return pixels.detected(_images(spark, d), lambda a: [("dark", float(1 - a.mean() / 255))] if a.mean() < 100 else [])

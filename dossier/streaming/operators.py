@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 MOST_ATTEMPTS, LOCK_MINUTES = 5, 30
@@ -103,3 +103,23 @@ class Lockout(StatefulProcessor):
 
 def lockout_stream(logins: DataFrame) -> DataFrame:
     return logins.groupBy("user").transformWithStateInPandas(Lockout(), "user bigint, at double, outcome string, attempts int", "append", "none")
+
+
+class Progress(StreamingQueryListener):
+    """Calls a function with (query id, batch, rows) after each batch."""
+
+    def __init__(self, say: Callable[[str, int, int], None]):
+        self.say = say
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802, ANN001
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802, ANN001
+        p = event.progress
+        self.say(str(p.id), p.batchId, p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802, ANN001
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802, ANN001
+        pass

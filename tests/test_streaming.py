@@ -72,3 +72,17 @@ def test_routing_and_progress(spark):
     assert sorted((r.id, r.r) for r in out.collect()) == [(1, "A"), (2, "B")]
     f = spark.createDataFrame([(1, "COMPLETED", 2), (1, "DUPLICATE", 2), (2, "FAILED", 2)], "s int, status string, total int")
     assert {r.s: r.is_complete for r in S.session_progress(f, "s", "status", "total").collect()} == {1: True, 2: False}
+
+
+def test_progress_listener(spark, tmp_path):
+    said = []
+    listener = S.Progress(lambda i, batch, rows: said.append((batch, rows)))
+    spark.streams.addListener(listener)
+    try:
+        spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/src")
+        q = S.poll(spark.readStream.schema("id long").parquet(f"{tmp_path}/src"), lambda df, b: df.count(), f"{tmp_path}/check", once=True)
+        q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    assert q.lastProgress.numInputRows == 5
