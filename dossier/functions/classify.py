@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .text import lookup
+from .text import bind, lookup
 
 
 def holds_any(text: Column, some: list[str]) -> Column:
-    return F.lower(text).rlike("|".join(re.escape(w) for w in some))
+    return bind(F.lower(text), lambda low: _any(low, some))
+
+
+def _any(low: Column, some: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in some])
 
 
 def first_class(text: Column, classes: dict[str, list[str]], default: str) -> Column:
     """The first class with one of its words in the text."""
-    chain = None
-    for name, some in classes.items():
-        chain = F.when(holds_any(text, some), name) if chain is None else chain.when(holds_any(text, some), name)
-    return chain.otherwise(default)
+
+    def choose(low: Column) -> Column:
+        chain = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name, some in classes.items():
+            chain = chain.when(_any(low, some), name)
+        return chain.otherwise(default)
+
+    return bind(F.lower(text), choose)
 
 
 def severity(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,9 +21,27 @@ def literal_map(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with ``x`` evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def lookup(table: dict[str, str], key: Column, default: Column | None = None) -> Column:
-    """Value of a small fixed table; ``default`` (null if absent) where the key is unknown."""
-    found = F.try_element_at(literal_map(table), key)
+    """Value of a small fixed table; ``default`` (null if absent) where the key is unknown.
+
+    Literal maps are searched one key after another, so larger tables are one map for each key length.
+    """
+    by_length: dict[int, dict[str, str]] = {}
+    for k, v in table.items():
+        by_length.setdefault(len(k), {})[k] = v
+
+    def find(k: Column) -> Column:
+        chain = F.when(F.lit(False), F.lit(None).cast("string"))
+        for n, part in by_length.items():
+            chain = chain.when(F.length(k) == n, F.try_element_at(literal_map(part), k))
+        return chain
+
+    found = F.try_element_at(literal_map(table), key) if len(table) <= 16 else bind(key, find)
     return found if default is None else F.coalesce(found, default)
 
 
@@ -65,8 +84,7 @@ def words(c: Column) -> Column:
 
 def expand_abbreviations(c: Column) -> Column:
     """Whole words that are abbreviations once lower-cased and freed of .,;:() are written out; single blanks between words."""
-    table = literal_map(ABBREVIATIONS)
-    said = F.transform(words(c), lambda w: F.coalesce(F.try_element_at(table, F.trim(F.lower(w), F.lit(".,;:()"))), w))
+    said = F.transform(words(c), lambda w: lookup(ABBREVIATIONS, F.trim(F.lower(w), F.lit(".,;:()")), w))
     return F.array_join(said, " ")
 
 

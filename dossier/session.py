@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings the operators rely on: UTC clocks, AQE with skew handling.
 SETTINGS = {
@@ -21,3 +21,13 @@ def build_session(app: str = "dossier", master: str | None = None, **conf: str)
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer splits than there are cores, for work that is heavy in CPU.
+
+    A small file in one row group is one task however many cores wait. Large inputs have splits enough
+    and are left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
