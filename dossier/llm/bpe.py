@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from .common import Memo, claim, ship_code
 
 #: Distinct pieces that one Python worker remembers in each of two generations.
-PIECE_BOUND = 400_000
+PIECE_BOUND = 300_000
 #: Token pairs whose validity one Python worker remembers in each of two generations.
-PAIR_BOUND = 200_000
+PAIR_BOUND = 150_000
 
 
 def piece_pattern(pattern: str) -> regex.Pattern:
