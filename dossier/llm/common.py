@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Upper bound, in rows, of a table that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: Rows of a batch between the JVM and Python at most: texts are long, and batches are held on both sides.
+BATCH_ROWS = 2000
+
 _shipped: set[str] = set()
 
 
@@ -25,7 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python can import it."""
+    """Send this package to the executors once per application, so that their Python can import it; bound the batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
