@@ -9,7 +9,7 @@ from ..functions import lexicon as L
 from ..functions import measures as M
 from ..operators import layout, quality, relational, timeline
 from .inputs import duck, table, view
-from .registry import query
+from .registry import ORACLES, query
 
 MD, NOW = duck("metadata"), "2024-06-01"
 
@@ -281,25 +281,34 @@ _EVEN = "floor({} * 10000 + 0.4999999) / 10000 AS confidence"
 
 
 @query("agg10_lines", f"SELECT * REPLACE ({_EVEN.format('confidence')}) FROM {_LINE} l")
-def agg10(spark, d):
-    return layout.lines(view(spark, d, "words"), ["doc_id", "page", "line"]).withColumn("confidence", _even(F.col("confidence")))
+def agg10(spark, d, words="words"):
+    return layout.lines(view(spark, d, words), ["doc_id", "page", "line"]).withColumn("confidence", _even(F.col("confidence")))
 
 
 _PAGE = f"(SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line) AS text, avg(confidence) FILTER (confidence > 0) AS confidence FROM {_LINE} l GROUP BY 1, 2)"
 
 
 @query("agg11_pages", f"SELECT * REPLACE ({_EVEN.format('confidence')}) FROM {_PAGE} p")
-def agg11(spark, d):
-    p = layout.pages(layout.lines(view(spark, d, "words"), ["doc_id", "page", "line"]), "doc_id", "page", "line")
+def agg11(spark, d, words="words"):
+    p = layout.pages(layout.lines(view(spark, d, words), ["doc_id", "page", "line"]), "doc_id", "page", "line")
     return p.withColumn("confidence", _even(F.col("confidence")))
 
 
 @query("agg11_documents", f"SELECT doc_id, md5(string_agg(text, concat(chr(10), chr(10), '--- Page Break ---', chr(10), chr(10)) ORDER BY page)) AS text_md5, {_EVEN.format('avg(confidence) FILTER (confidence > 0)')}, count(*) AS pages FROM {_PAGE} p GROUP BY 1")
-def agg11_docs(spark, d):
-    p = layout.pages(layout.lines(view(spark, d, "words"), ["doc_id", "page", "line"]), "doc_id", "page", "line")
+def agg11_docs(spark, d, words="words"):
+    p = layout.pages(layout.lines(view(spark, d, words), ["doc_id", "page", "line"]), "doc_id", "page", "line")
     return layout.documents(p, "doc_id", "page").select("doc_id", F.md5("text").alias("text_md5"), _even(F.col("confidence")), "pages")
 
 
+def _whole_query(name, f):
+    """The layout query over the words of every document."""
+    query(f"{name}_whole", ORACLES[name].replace(W, duck("whole_words")))(lambda spark, d: f(spark, d, "whole_words"))
+
+
+for _name, _f in (("agg10_lines", agg10), ("agg11_pages", agg11), ("agg11_documents", agg11_docs)):
+    _whole_query(_name, _f)
+
+
 RG = duck("regions")
 _CONTENT = "CASE WHEN stroke > 0.4 AND edges > 0.08 THEN 'handwritten' WHEN stroke < 0.2 THEN 'printed' ELSE 'mixed' END"
 
