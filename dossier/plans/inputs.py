@@ -101,6 +101,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
 }
 
+#: Whole texts with the dirt of "messy", which has their first 400 characters.
+VIEWS["whole_messy"] = (["documents"], VIEWS["messy"][1].replace("left(text, 400)", "text"))
 #: The words of every document; the view "words" has those of each fifth one.
 VIEWS["whole_words"] = VIEWS["words"]
 
@@ -111,6 +113,7 @@ HEAVY = {
     "metadata": ["o_orderkey", "o_totalprice"],
     "measurements": ["l_orderkey", "l_linenumber", "l_quantity"],
     "messy": ["doc_id", "text"],
+    "whole_messy": ["doc_id", "text"],
 }
 
 

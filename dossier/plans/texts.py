@@ -12,7 +12,7 @@ from ..functions import lexicon as L
 from ..functions import measures as M
 from ..functions import text as X
 from .inputs import duck, rows, table, view
-from .registry import query
+from .registry import ORACLES, query
 
 RE, ME = duck("reports"), duck("measurements")
 
@@ -57,8 +57,8 @@ _UNIX = "regexp_replace({}, '\\r\\n?', chr(10), 'g')"
 
 
 @query("txt01_clean", f"SELECT doc_id, trim({_UNIX.format(_NOCTRL.format(_LINES))}, {_WS}) AS text FROM {duck('messy')} m")
-def txt01(spark, d):
-    return view(spark, d, "messy").select("doc_id", X.clean_text(F.col("text"), normalize=False).alias("text"))
+def txt01(spark, d, messy="messy"):
+    return view(spark, d, messy).select("doc_id", X.clean_text(F.col("text"), normalize=False).alias("text"))
 
 
 @query("txt02_nfc", "SELECT doc_id, nfc_normalize(replace(text, 'é', concat('e', chr(769)))) AS text FROM documents")
@@ -68,27 +68,36 @@ def txt02(spark, d):
 
 
 @query("txt03_spaces", f"SELECT doc_id, {_LINES} AS text FROM {duck('messy')} m")
-def txt03(spark, d):
-    return view(spark, d, "messy").select("doc_id", X.collapse_spaces(F.col("text")).alias("text"))
+def txt03(spark, d, messy="messy"):
+    return view(spark, d, messy).select("doc_id", X.collapse_spaces(F.col("text")).alias("text"))
 
 
 @query("txt04_controls", f"SELECT doc_id, {_NOCTRL.format('text')} AS text FROM {duck('messy')} m")
-def txt04(spark, d):
-    return view(spark, d, "messy").select("doc_id", X.drop_controls(F.col("text")).alias("text"))
+def txt04(spark, d, messy="messy"):
+    return view(spark, d, messy).select("doc_id", X.drop_controls(F.col("text")).alias("text"))
 
 
 @query("txt05_line_ends", f"SELECT doc_id, {_UNIX.format('text')} AS text FROM {duck('messy')} m")
-def txt05(spark, d):
-    return view(spark, d, "messy").select("doc_id", X.unix_lines(F.col("text")).alias("text"))
+def txt05(spark, d, messy="messy"):
+    return view(spark, d, messy).select("doc_id", X.unix_lines(F.col("text")).alias("text"))
 
 
 @query("txt06_nested_clean", f"SELECT doc_id, trim({_UNIX.format(_NOCTRL.format(_LINES))}, {_WS}) AS v FROM {duck('messy')} m")
-def txt06(spark, d):
+def txt06(spark, d, messy="messy"):
     """Cleaning of every value of a map."""
-    m = view(spark, d, "messy").select("doc_id", F.create_map(F.lit("a"), F.col("text")).alias("m"))
+    m = view(spark, d, messy).select("doc_id", F.create_map(F.lit("a"), F.col("text")).alias("m"))
     return m.select("doc_id", F.transform_values("m", lambda _, v: X.clean_text(v, normalize=False))["a"].alias("v"))
 
 
+def _whole_query(name, f):
+    """The cleaning query over whole texts."""
+    query(f"{name}_whole", ORACLES[name].replace(duck("messy"), duck("whole_messy")))(lambda spark, d: f(spark, d, "whole_messy"))
+
+
+for _name, _f in (("txt01_clean", txt01), ("txt03_spaces", txt03), ("txt04_controls", txt04), ("txt05_line_ends", txt05), ("txt06_nested_clean", txt06)):
+    _whole_query(_name, _f)
+
+
 @query("txt07_encoding", "SELECT doc_id, 'utf-8' AS encoding, 1.0 AS confidence FROM documents")
 def txt07(spark, d):
     from ..sources.readers import encoding
@@ -162,6 +171,15 @@ def txt14(spark, d):
     return table(spark, d, "documents").select("doc_id", X.script_language(F.expr(_MIXED)).alias("language"))
 
 
+_MIXED_WHOLE = "CASE doc_id % 5 WHEN 0 THEN concat(repeat('मृत्यु ', CAST(length(text) / 5 + 1 AS INT)), text) WHEN 1 THEN concat('का ', text) WHEN 2 THEN concat('123 ', text) ELSE text END"
+
+
+@query("txt14_language_whole", ORACLES["txt14_language"].replace(_MIXED, _MIXED_WHOLE))
+def txt14_whole(spark, d):
+    """Whole texts with Devanagari words before them."""
+    return table(spark, d, "documents").select("doc_id", X.script_language(F.expr(_MIXED_WHOLE)).alias("language"))
+
+
 _MARKED = "CASE id % 3 WHEN 0 THEN concat(text, ' [ILLEGIBLE]') WHEN 1 THEN repeat('[ILLEGIBLE] ', 7) ELSE text END"
 
 
@@ -348,6 +366,11 @@ def ent10(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.nullif(F.left("text", F.lit(20)), F.lit("")), F.col("lang")).alias("text"))
 
 
+@query("ent10_text_selection_whole", ORACLES["ent10_text_selection"].replace("left(text, 20)", "text"))
+def ent10_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.nullif("text", F.lit("")), F.col("lang")).alias("text"))
+
+
 @query("ent11_all_entities")
 def ent11(spark, d):
     """The long table of entities with their order (also SET-01)."""
