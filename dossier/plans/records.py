@@ -8,6 +8,7 @@ from ..functions import classify as C
 from ..functions import lexicon as L
 from ..functions import measures as M
 from ..operators import layout, quality, relational, timeline
+from ..session import spread
 from .inputs import duck, table, view
 from .registry import ORACLES, query
 
@@ -408,9 +409,11 @@ def udf08(spark, d):
 
 
 def _images(spark, d):
-    """Bytes of long texts as grey squares."""
-    docs = table(spark, d, "documents").where("octet_length(text) >= 1024")
-    return docs.select(F.col("doc_id").alias("id"), F.lit(32).alias("width"), F.lit(32).alias("height"), F.substring(F.col("text").cast("binary"), 1, 1024).alias("pixels"))
+    """All bytes of every text as a grey page: one row under 64 bytes, else about a square; the last row, and an empty text's only pixel, is filled with spaces."""
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes")))
+    n = F.greatest(F.octet_length("bytes"), F.lit(1))
+    wide = docs.withColumn("width", F.when(n < 64, n).otherwise(F.ceil(F.sqrt(n))).cast("int")).withColumn("height", F.ceil(n / F.col("width")).cast("int"))
+    return wide.select("id", "width", "height", F.expr("rpad(bytes, width * height, X'20')").alias("pixels"))
 
 
 @query("mth04_pixel_measures")

@@ -57,3 +57,19 @@ def test_language_and_selection_take_whole_texts(spark, small):
     assert got == {1: "eng+hin", 2: "eng", 5: "hin", 7: "eng", 13: "eng", 20: "hin", 21: "hin"}
     texts = {x.doc_id: x.text for x in QUERIES["ent10_text_selection_whole"](spark, small).collect()}
     assert all(texts[i] == t + "\nen" for i, t in TEXTS.items()) and texts[21] == ""
+
+
+def test_images_hold_every_byte(spark, small):
+    from dossier.plans.records import _images
+
+    texts = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r.id: r for r in _images(spark, small).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        x = got[i]
+        assert bytes(x.pixels) == t.ljust(x.width * x.height, b" ") and x.width * x.height - len(t) < max(x.width, 2)
+        assert x.height == 1 if len(t) < 64 else abs(x.width - x.height) <= 1
+    for name in ("mth04_pixel_measures", "mth03_page_gate", "mth06_prepared"):
+        assert {x.id for x in QUERIES[name](spark, small).collect()} == set(texts)
+    assert QUERIES["mth07_text_blocks"](spark, small).count() > 0
+    assert {x.id for x in QUERIES["udf06_detector_hook"](spark, small).collect()} >= {1, 7}
