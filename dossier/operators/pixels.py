@@ -109,16 +109,31 @@ def prepared(a: np.ndarray) -> np.ndarray:
     return np.where(a > otsu(a), 255, 0).astype(np.uint8)
 
 
-def skew(a: np.ndarray, most: float = 5.0, step: float = 0.5) -> float:
-    """The angle in degrees at which rows of ink line up best, by shearing."""
+def skew(a: np.ndarray, most: float = 30.0, step: float = 0.5, fine: float = 0.1) -> float:
+    """The angle in degrees, up to ``most`` each way, at which rows of ink line up best, by shearing.
+
+    Steps of ``step`` on a page reduced to COARSE cells a side, as a step moves the far end of a long row
+    by many pixels; then steps of ``fine`` around the best one on the whole page.
+    """
     ink = a <= otsu(a)
     y, x = np.nonzero(ink)
     if not len(y):
         return 0.0
-    angles = np.arange(-most, most + step / 2, step)
-    score = [np.square(np.bincount(np.round(y - x * np.tan(np.radians(g))).astype(int) + a.shape[1] + a.shape[0])).sum() for g in angles]
-    best = np.flatnonzero(np.array(score) == max(score))
-    return float(angles[best[np.abs(angles[best]).argmin()]])
+
+    def best(y: np.ndarray, x: np.ndarray, n: np.ndarray | None, angles: np.ndarray) -> float:
+        score = [np.square(np.bincount(np.round(y - x * np.tan(np.radians(g))).astype(int) + a.shape[1] + a.shape[0], n)).sum() for g in angles]
+        top = np.flatnonzero(np.array(score) == max(score))
+        return float(angles[top[np.abs(angles[top]).argmin()]])
+
+    cell = -(-max(a.shape) // COARSE)
+    at, n = np.unique(y // cell * COARSE + x // cell, return_counts=True)
+    rough = best(at // COARSE, at % COARSE, n, np.arange(-most, most + step / 2, step))
+    near = np.round(np.arange(rough - step, rough + step + fine / 2, fine), 6)
+    return best(y, x, None, near[np.abs(near) <= most]) + 0.0
+
+
+#: Cells a side of the reduced page on which the skew is looked for first.
+COARSE = 256
 
 
 def blocks(a: np.ndarray, gap: int = 3) -> list[tuple[int, int, int, int]]:

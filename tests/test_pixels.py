@@ -56,3 +56,16 @@ def test_dataframes(spark):
     assert P.prepare(df.limit(0)).count() == 0
     f = spark.createDataFrame([("c", 1, bytearray(b"\0\0")), ("c", 2, bytearray(b"\5\0")), ("d", 1, bytearray(b"\1"))], "cam string, n int, pixels binary")
     assert sorted((r.cam, r.n, r.diff) for r in P.frame_differences(f, "cam", "n").collect() if r.diff is not None) == [("c", 2, 5.0)]
+
+
+def test_skew_of_steep_pages():
+    """Tilts up to 30 degrees, on small pages and on a wide one with thin lines."""
+    wide = np.full((1500, 3000), 240, np.uint8)
+    for k in range(100, 1400, 60):
+        wide[k : k + 12, 100:2900] = 20
+    for a in (page(), wide):
+        y, x = np.indices(a.shape)
+        for tilt in (-20, -10, 3.3, 10, 20, 28):
+            rows = np.round(y - (x - a.shape[1] // 2) * np.tan(np.radians(tilt))).astype(int)
+            tilted = np.where((rows >= 0) & (rows < a.shape[0]), a[np.clip(rows, 0, a.shape[0] - 1), x], 240).astype(np.uint8)
+            assert abs(P.skew(tilted) - tilt) <= 0.3, (a.shape, tilt, P.skew(tilted))
