@@ -15,10 +15,11 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may be an identifier: a word with an at sign or a digit.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Rounds over the pattern-instance graph.
-ROUNDS = 3
+#: What may be an identifier: numbers with single spaces between them, or a word with an at sign or a digit.
+NUMBER = r"[0-9][0-9().+-]*+(?![^\s,;:!?])"
+CANDIDATE = rf"(?<!\S)(?:[+(]?{NUMBER}(?:\x20\(?{NUMBER})*+|[^\s0-9@]*+[0-9@]\S*+)"
+#: Rounds over the pattern-instance graph: this many at least, then until nothing changes; a graph that swings ends at the most.
+ROUNDS, MOST_ROUNDS = 3, 50
 #: Distinct seeds that a pattern needs, and the share of its instances that must be identifiers.
 SUPPORT, CONFIDENCE = 3, 0.8
 
@@ -26,7 +27,7 @@ SPAN = "array<struct<s:int,e:int,m:string,l:string,r:string>>"
 
 
 def spans(text: Column, pattern: str, guard: str) -> Column:
-    """Matches of ``pattern`` as (start, end, match, text before, text after); code points, end exclusive.
+    """Matches of ``pattern`` as (start, end, match, word before, word after); code points, end exclusive.
 
     The pieces between the matches give the offsets, as no function returns them. ``guard`` is a cheap
     pattern without which a text has no match.
@@ -38,7 +39,7 @@ def spans(text: Column, pattern: str, guard: str) -> Column:
     def step(state: Column, x: Column) -> Column:
         s = state["at"] + F.length(x["l"])
         e = s + F.length(x["m"])
-        span = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["l"], F.lit(80)).alias("l"), F.left(x["r"], F.lit(80)).alias("r"))
+        span = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), word(x["l"], True).alias("l"), word(x["r"], False).alias("r"))
         return F.struct(e.alias("at"), F.concat(state["out"], F.array(span)).cast(SPAN).alias("out"))
 
     def walk(b: Column) -> Column:
@@ -74,41 +75,54 @@ def shape(m: Column) -> Column:
     return F.when(m.contains("@"), "@").when(m.rlike(r"\p{L}"), "a").otherwise("9")
 
 
+def mixed(m: Column) -> Column:
+    """Letters and digits, five or more together."""
+    return m.rlike(r"\p{L}") & m.rlike("[0-9]") & (F.length(F.regexp_replace(m, r"[^0-9\p{L}]", "")) >= 5)
+
+
 def word(text: Column, last: bool) -> Column:
-    """The last or first word of a context, in lower case."""
-    return F.lower(F.regexp_extract(text, r"(\S+)\s+$" if last else r"^\s+(\S+)", 1))
+    """The last or first word of a context, in lower case; a last word is read backwards, in linear time."""
+    found = F.regexp_extract(F.reverse(text) if last else text, r"^\s++(\S++)", 1)
+    return F.lower(F.reverse(found) if last else found)
 
 
 def discovered(cands: DataFrame) -> DataFrame:
-    """(rid, kind, s, e) of candidates that contexts of seeds tell to be identifiers.
+    """(rid, kind, s, e) of candidates that contexts of identifiers tell to be identifiers.
 
-    ``cands``: rid, s, e, m, left, right, kind (a seed's kind, else null). A pattern is a side, the
-    word on it and the shape of what stands there. Patterns and instances (distinct strings) form a
-    graph. A pattern's score is the share of its instances that count as identifiers, each with its
-    confidence: 1 for a seed, a half for others at first, later that one of its good patterns is right.
+    ``cands``: rid, s, e, m, left, right, kind (a seed's kind, else null). A pattern is a side, the word
+    on it, and the shape of what stands there or any shape. Patterns and instances (distinct strings)
+    form a graph. Each round takes patterns anew from seeds and instances trusted so far. A pattern's
+    score is the mean confidence of its instances: 1 for a seed, a half for one that no pattern rated
+    yet, else that one of its good patterns is right. Rounds end when the trusted ones stay the same.
     """
     sides = F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("r "), "right"))
-    edges = cands.select(F.explode(sides).alias("side"), shape(F.col("m")).alias("shape"), "m", "kind").where(F.length("side") > 2)
+    edges = cands.select(F.explode(sides).alias("side"), F.array(F.lit("*"), shape(F.col("m"))).alias("shapes"), "m", "kind").where(F.length("side") > 2)
+    edges = edges.select("side", F.explode("shapes").alias("shape"), "m", "kind")
     edges = materialize(edges.groupBy("side", "shape", "m").agg(F.max("kind").alias("kind")), "contexts")
-    seeds = edges.where("kind is not null").groupBy("side", "shape").agg(F.count("*").alias("seeds"), F.mode("kind", True).alias("kind"))
-    seeds = seeds.where(F.col("seeds") >= SUPPORT)
-    unknown = materialize(edges.where("kind is null").select("side", "shape", "m").join(seeds, ["side", "shape"]), "unknown")
-    if unknown.isEmpty():
-        return cands.select("rid", F.lit("").alias("kind"), "s", "e").limit(0)
-    trust = unknown.select("m", "shape").distinct().withColumn("trust", F.lit(0.5))
-    for _ in range(ROUNDS):
-        scored = unknown.join(trust, ["m", "shape"]).groupBy("side", "shape").agg(((F.max("seeds") + F.sum("trust")) / (F.max("seeds") + F.count("*"))).alias("score"), F.max("kind").alias("kind"))
-        good = unknown.drop("kind").join(scored.where(F.col("score") >= CONFIDENCE), ["side", "shape"])
-        trust = materialize(good.groupBy("m", "shape").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("trust"), F.max_by("kind", F.struct("score", "kind")).alias("best")), "trust")
-        best, trust = trust, unknown.select("m", "shape").distinct().join(trust.select("m", "shape", "trust"), ["m", "shape"], "left").fillna(0.0, ["trust"])
-    sure = best.where(F.col("trust") >= CONFIDENCE).select("m", F.col("best").alias("kind"))
-    return cands.where("kind is null").drop("kind").join(sure, "m").select("rid", "kind", "s", "e")
+    sure, rated, was = CONFIDENCE - 1e-9, None, None
+    for n in range(MOST_ROUNDS):
+        told = edges.withColumns({"trust": F.lit(None).cast("double"), "best": F.lit(None).cast("string")}) if rated is None else edges.join(rated, "m", "left")
+        told = told.withColumn("known", F.coalesce("kind", F.when(F.col("trust") >= sure, F.col("best"))))
+        trust = F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("trust", F.lit(0.5)))
+        patterns = told.groupBy("side", "shape").agg(F.count("known").alias("support"), F.mode("known", True).alias("of"), F.avg(trust).alias("score")).where(F.col("support") >= SUPPORT)
+        patterns = patterns.select("side", "shape", "of", F.when(F.col("score") >= sure, F.col("score")).otherwise(0.0).alias("score"))
+        on = edges.where("kind is null").select("side", "shape", "m").join(patterns, ["side", "shape"])
+        on = on.groupBy("m", "side").agg(F.max("score").alias("score"), F.max_by("of", F.struct("score", "of")).alias("of"))
+        rated = materialize(on.groupBy("m").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("trust"), F.max_by("of", F.struct("score", "of")).alias("best")), "trust")
+        mark = tuple(rated.where(F.col("trust") >= sure).agg(F.count("*"), F.bit_xor(F.xxhash64("m", "best"))).first())
+        if not mark[0]:
+            return cands.select("rid", F.lit("").alias("kind"), "s", "e").limit(0)
+        if mark == was and n >= ROUNDS:
+            break
+        was = mark
+    found = rated.where(F.col("trust") >= sure).select("m", F.col("best").alias("kind"))
+    return cands.where("kind is null").drop("kind").join(found, "m").select("rid", "kind", "s", "e")
 
 
 def sound(i: int, kind: str) -> Column:
     """Base spans of a kind that hold."""
     held = F.filter(F.col(f"__{kind}"), lambda x: valid(kind, x["m"]))
-    return F.transform(held, lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), word(x["l"], True).alias("left"), word(x["r"], False).alias("right")))
+    return F.transform(held, lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["l"].alias("left"), x["r"].alias("right")))
 
 
 def taken(i: int, kind: str) -> Column:
@@ -122,7 +136,8 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     n_email to n_phone and base_sha256 are of the base spans; spans also has the n_added spans found
     by context, each with the kind that its best pattern's seeds have. A candidate is a word with an
-    at sign or five or more digits that touches no base span and no match that failed its check. Null texts count as
+    at sign, with five or more digits, or with five or more letters and digits mixed, or a run of numbers
+    of five or more digits; it touches no base span and no match that failed its check. Null texts count as
     empty; repeated rows are searched each; an empty table gives an empty result; other columns are
     ignored. The work grows with the text and, within one text, mildly with its number of matches.
     """
@@ -134,9 +149,9 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     touched = F.concat(*[taken(i, k) for i, k in enumerate(KINDS)])
     stage = stage.select("__id", "__cand", base.alias("base"), touched.alias("touched"))
 
-    likely = F.filter(F.col("__cand"), lambda x: x["m"].contains("@") | (F.length(digits(x["m"])) >= 5))
+    likely = F.filter(F.col("__cand"), lambda x: x["m"].contains("@") | (F.length(digits(x["m"])) >= 5) | mixed(x["m"]))
     free = F.filter(likely, lambda x: ~F.exists("touched", lambda t: (t["s"] < x["e"]) & (t["e"] > x["s"])))
-    cands = F.transform(free, lambda x: F.struct(F.lit(None).cast("int").alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), word(x["l"], True).alias("left"), word(x["r"], False).alias("right")))
+    cands = F.transform(free, lambda x: F.struct(F.lit(None).cast("int").alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["l"].alias("left"), x["r"].alias("right")))
     stage = materialize(stage.select("__id", F.monotonically_increasing_id().alias("rid"), "base", cands.alias("cands")), "spans")
 
     names = F.array(*[F.lit(k) for k in KINDS])

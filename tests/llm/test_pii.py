@@ -64,3 +64,27 @@ def test_contexts_find_unseen_identifiers(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert personal_data(df).count() == 0
+
+
+def test_second_hop_letters_and_spaced_numbers(spark):
+    """Found identifiers induce patterns: tickets share a context only with what round one found, orders only with tickets."""
+    rows = [f"please dial +1 (555) 010-{1000 + i} soon" for i in range(20)]
+    rows += [f"please dial AB-1234{i} soon" for i in range(10)] + [f"the ticket AB-1234{i} closes" for i in range(10)]
+    rows += ["the ticket CD-99999 closes", "please dial 555 123 4567 soon", "the weather 1234567 holds"]
+    rows += [f"the ticket EF-8888{i} closes" for i in range(3)] + [f"an order EF-8888{i} ships" for i in range(3)] + ["an order GH777 ships"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {rows[x.doc_id]: x.spans for x in personal_data(df).collect()}
+    assert got["please dial AB-12341 soon"] == "phone:12:20"
+    assert got["please dial 555 123 4567 soon"] == "phone:12:24"
+    assert got["the ticket CD-99999 closes"] == "phone:11:19"
+    assert got["an order GH777 ships"] == "phone:9:14"
+    assert got["the weather 1234567 holds"] == ""
+
+
+def test_context_words_are_whole(spark):
+    """Context words that differ only beyond 80 characters are different ones."""
+    far = lambda i: f"{'x' if i else 'y'}{'z' * 90}"
+    rows = [f"{far(1)} +1 (555) 010-{1000 + i}" for i in range(12)] + [f"{far(1)} 5550199", f"{far(0)} 5550188"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x.doc_id: x.n_added for x in personal_data(df).collect()}
+    assert got[12] == 1 and got[13] == 0
