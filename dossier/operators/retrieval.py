@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +24,61 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Query vectors that one pass over the vectors answers.
+QUERY_ROWS = 2048
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score): the ``k`` best by cosine, for one query row, as a top-k without a full sort."""
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q")).limit(1))
-    scored = vectors.crossJoin(q).select("query_id", id_col, F.round(cosine(F.col("q"), F.col(vec_col)), 6).alias("score"))
-    return scored.orderBy(F.col("score").desc(), id_col).limit(k)
+    """(query_id, id, score): for each query row its ``k`` best by cosine, equal scores by id.
+
+    Queries are fetched in blocks of QUERY_ROWS; a pass over the vectors for each block keeps the ``k``
+    best of a batch for each query, and only those of a task are shuffled. Vectors without a cosine
+    (null, zero, of another length) score null and come last.
+    """
+    kinds = (queries.schema[id_col].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString())
+    rows = queries.select(id_col, vec_col).toLocalIterator()
+    parts, start = [], 0
+    while block := list(islice(rows, QUERY_ROWS)):
+        parts.append(_block(vectors.select(id_col, vec_col), block, start, k, f"n bigint, query_id {kinds[0]}, `{id_col}` {kinds[1]}, score double"))
+        start += len(block)
+    parts = parts or [_block(vectors.select(id_col, vec_col), [], 0, k, f"n bigint, query_id {kinds[0]}, `{id_col}` {kinds[1]}, score double")]
+    ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.col("score").desc(), id_col)))
+    return ranked.where(F.col("rank") <= k).select("query_id", id_col, "score")
+
+
+def _block(vectors: DataFrame, block: list, start: int, k: int, schema: str) -> DataFrame:
+    """The ``k`` best of each batch of vectors for each query row of ``block``, numbered from ``start``."""
+    ids, asked, names = [r[0] for r in block], [r[1] for r in block], ["n", "query_id", vectors.columns[0], "score"]
+    by_size: dict[int, list[int]] = {}
+    for i, v in enumerate(asked):
+        by_size.setdefault(len(v or []), []).append(i)
+    matrices = {n: (at, np.array([asked[i] or [] for i in at], np.float64).reshape(len(at), n)) for n, at in by_size.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                vec = part.column(1)
+                size = np.array(vec.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+                score = np.full((len(ids), part.num_rows), np.nan)
+                for n, (at, q) in matrices.items():
+                    on = np.flatnonzero(size == n)
+                    if n and len(on):
+                        m = vec.take(pa.array(on)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            score[np.ix_(at, on)] = np.round(q @ m.T / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((m * m).sum(1))), 6)
+                score = np.where(np.isfinite(score), score, -np.inf)
+                by_id = np.asarray(pc.sort_indices(part.column(0), null_placement="at_start")).astype(np.int64)
+                best = [by_id[np.argsort(-s[by_id], kind="stable")[:k]] for s in score]
+                n = np.repeat(np.arange(len(ids)), np.array([len(b) for b in best], np.int64))
+                at = np.concatenate([np.empty(0, np.int64), *best])
+                s = score[n, at]
+                yield pa.RecordBatch.from_arrays([pa.array(n + start), pa.array(ids, kind).take(pa.array(n)), part.column(0).take(pa.array(at)), pa.array(s, mask=~np.isfinite(s))], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(T._parse_datatype_string(schema)["query_id"].dataType)
+    return vectors.mapInArrow(run, schema)
 
 
 #: fixed values: body temperature, ambient temperature, rigor code, lividity code -> hours

@@ -376,3 +376,13 @@ def udf03(spark, d):
 
     e = table(spark, d, "embeddings")
     return nearest(e.where("vec_id <> 3"), e.where("vec_id = 3"), 10)
+
+
+@query("udf03_retrieve_all", """SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (
+SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) AS s) AS r WHERE k <= 10""")
+def udf03_all(spark, d):
+    """The ten nearest of all vectors for every vector whose id 100 divides."""
+    from ..operators.retrieval import nearest
+
+    e = table(spark, d, "embeddings")
+    return nearest(e, e.where("vec_id % 100 = 0"), 10)
