@@ -261,6 +261,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     one with the fewest edits, then the first, is told. Null and empty texts hold nothing; null,
     empty and very short items are nowhere; repeated rows are told each; empty tables give an empty
     result; other columns are ignored. Texts are read once for each block of items and not shuffled.
+    Each document and item gives one occurrence, that of the fewest edits. Items too short for a q-gram hit
+    (under 11 folded characters by default) are not searched.
     """
     spark = docs.sparkSession
     ship_code(spark)

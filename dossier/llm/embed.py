@@ -103,6 +103,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
     Cells are squares of the two leading basis coordinates with the side sqrt(2 - 2 threshold), the
     largest distance of linked unit vectors: links lie in one cell or in neighbouring ones. Large cells
     are cut into tiles. A tile pair returns link counts and a spanning star, not its pairs.
+    Vectors of over FULL_BASIS dimensions are ordered by the energy of their own axes instead of by PCA;
+    the result is exact either way.
     """
     spark = df.sparkSession
     ship_code(spark)
