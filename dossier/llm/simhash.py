@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import claim, materialize, ship_code
 from .graph import components, unite
+from .shingles import alike_sets, fingerprinted_sets
 from .tiles import tile_pairs
 
 #: Reference fingerprints of the distance table; a multiple of 8, as 8 distances make one long.
@@ -155,27 +156,46 @@ def link_buckets(rows: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, words: int = 3, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alike_fingerprints(reps: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) that span the classes whose fingerprints differ in ``bits`` bits or fewer."""
+    masks = block_masks(bits, reps.count())
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)])
+    rows = reps.select("rep", "fp", *distance_table(F.col("fp")), F.inline(keys))
+    rows = tile_pairs(rows, ["k", "key"], "fp", TILE_ROWS)
+    rows = rows.repartition("k", "key", "lo", "hi").sortWithinPartitions("k", "key", "lo", "hi", F.col("p0").bitwiseAND(F.lit(255)))
+    return link_buckets(rows, bits)
+
+
+def near_duplicates(df: DataFrame, words: int = 3, bits: int = 3, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, fingerprint (16 hex digits), component_id.
 
-    component_id is the smallest id reachable over links of ``bits`` or fewer differing bits. Equal
-    fingerprints are one class with its smallest id before any pair is formed. Null texts count as
-    empty (fingerprint zero, linked like any other). Rows without id get their fingerprint and a null
-    component; repeated rows are kept; an empty table gives an empty result; other columns are ignored.
+    component_id is the smallest id reachable over links of ``bits`` or fewer differing bits. Ids are of
+    any type that has an order (structs too). Equal fingerprints are one class with its smallest id before
+    any pair is formed. Null texts count as empty (fingerprint zero, linked like any other). Rows without
+    id get their fingerprint and a null component; repeated rows are kept; an empty table gives an empty
+    result; other columns are ignored.
 
     Classes meet in buckets of agreeing bit blocks, as distances to pivots alone leave a quadratic
     number of pairs; inside a bucket the pivot table prunes, and what survives is verified exactly.
+
+    With ``share``, links are pairs whose sets of word shingles have that Jaccard similarity or more, the
+    fingerprint is of the distinct shingles, and classes are equal sets. Pairs at 0.8 lie about ten bits
+    apart, up to ``bits`` (28 loses fewer than one in ten million); neither bit blocks nor pivots prune at
+    that radius, so buckets come from minima of the shingles' hashes (``shingles.bands``), fingerprints
+    discard pairs inside the buckets, and whole sets verify. See ``alike_sets``.
     """
-    found = materialize(fingerprints(df, words, id_col, text_col), "fingerprints")
-    reps = materialize(found.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "classes")
-    masks = block_masks(bits, reps.count())
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)])
-    rows = reps.select("rep", "fp", *distance_table(F.col("fp")), F.inline(keys))
-    rows = tile_pairs(rows, ["k", "key"], "fp", TILE_ROWS)
-    rows = rows.repartition("k", "key", "lo", "hi").sortWithinPartitions("k", "key", "lo", "hi", F.col("p0").bitwiseAND(F.lit(255)))
-    comps = components(link_buckets(rows, bits))
-    classes = reps.join(comps, reps.rep == comps.node, "left").select(F.col("fp").alias("class"), F.coalesce("component", "rep").alias("component_id"))
-    joined = found.join(classes, found.fp == F.col("class"), "left")
+    make = fingerprints if share is None else fingerprinted_sets
+    key = ["fp"] if share is None else ["h1", "h2"]
+    found = materialize(make(df, words, id_col, text_col), "fingerprints")
+    more = [] if share is None else [F.first("fp").alias("fp"), F.first("bands").alias("bands")]
+    reps = found.where(F.col(id_col).isNotNull()).groupBy(*key).agg(F.min(id_col).alias("low"), *more)
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    comps = components(alike_fingerprints(reps, bits) if share is None else alike_sets(df, reps, words, bits, share, id_col, text_col))
+    member = comps.join(reps.select(F.col("rep").alias("node"), "low"), "node")
+    lowest = member.groupBy("component").agg(F.min("low").alias("lowest"))
+    named = comps.join(lowest, "component").select(F.col("node").alias("rep"), "lowest")
+    classes = reps.join(named, "rep", "left").select(*[F.col(k).alias(f"of_{k}") for k in key], F.coalesce("lowest", "low").alias("component_id"))
+    joined = found.join(classes, [F.col(k) == F.col(f"of_{k}") for k in key], "left")
     return joined.select(
         id_col,
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

@@ -9,7 +9,7 @@ from dossier.llm.bpe import parse_ranks
 from dossier.llm.quality import ACCEPT, SLOPE, Indicators, logistic, train
 from tests.llm.test_decontam import plain as plain_leaks
 from tests.llm.test_linededup import plain as plain_lines
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_shingles import plain_components
 
 DIR = "/root/testdata/sf0.001"
 
@@ -38,8 +38,7 @@ def test_stages_keep_columns_and_match_plain_versions(spark, tables):
             assert {i: x.text for i, x in got.items()} == {i: t for i, t, _, _ in lines}
             assert all(x.n_chars == len(x.text) for x in got.values())
         elif name == "simhash_dedup":
-            comps = plain_components({i: plain_fingerprint(t) for i, t in texts.items()})
-            assert set(got) == set(comps.values())
+            assert set(got) == set(plain_components(texts, 5, 0.8).values())
         elif name == "decontamination":
             items = [tuple(x) for x in tables["benchmark"].select("item_id", "text").collect()][:3]
             assert not {d for d, _, _ in plain_leaks(items, [x for x in texts.items() if len(x[1]) < 3000])} & set(got)

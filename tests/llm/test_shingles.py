@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from dossier.llm import shingles as S
+from dossier.llm.simhash import near_duplicates
 
 
 def plain_sets(texts, words=5):
@@ -64,13 +65,38 @@ def test_large_bucket_in_tiles(spark, monkeypatch):
     base = texts[1].split()
     texts |= {1000 + k: " ".join([*base[:k], f"new{k}", *base[k:]]) for k in range(50)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert dict(map(tuple, S.similar_documents(df).collect())) == plain_components(texts)
+    assert {x.doc_id: x.component_id for x in near_duplicates(df, 5, 28, 0.8).collect()} == plain_components(texts)
+
+
+def test_members_of_a_bucket_that_its_first_one_does_not_reach(monkeypatch):
+    """Sets of one start do not meet again, those of others do, within and across tiles."""
+    sets = [np.unique(np.arange(k, k + 40, dtype=np.uint64)) for k in (0, 20, 22, 23, 100)]
+    fp = np.zeros(5, np.uint64)
+    root = S.spanning_links(sets, fp, np.array([7, 9, 9, 11, 12]), np.zeros(5, np.int64), 0, False, 28, 0.8)
+    assert root.tolist() == [0, 1, 1, 1, 4]
+    root = S.spanning_links(sets, fp, np.arange(5), np.array([0, 0, 1, 1, 1]), 0, True, 28, 0.8)
+    assert root.tolist() == [0, 1, 1, 1, 4]
+
+
+def test_ids_of_other_types(spark):
+    texts = near_copies()
+    df = spark.createDataFrame([(f"d{i:05d}", t) for i, t in texts.items()], "doc_id string, text string")
+    want = {f"d{i:05d}": f"d{c:05d}" for i, c in plain_components(texts).items()}
+    assert {x.doc_id: x.component_id for x in near_duplicates(df, 5, 28, 0.8).collect()} == want
+
+
+def test_two_texts_under_one_id(spark):
+    one, two = "the first text has these words " * 3, "quite another thing stands here now " * 3
+    rows = [(1, one, 0), (1, two, 0), (2, one, 0), (None, two, 0), (1, one, 0), (None, "a third text of some words here", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = sorted((x.doc_id or 0, x.text) for x in corpus_pipeline.simhash_dedup(spark, df, "").collect())
+    assert got == sorted([(1, one), (1, two), (0, "a third text of some words here")])
 
 
 def test_sets_and_long_texts(monkeypatch):
     r = random.Random(3)
     text = " ".join(str(r.randrange(10**6)) for _ in range(9000))
-    found = S.shingles(text)
+    found = S.shingles(text, 5)
     assert len(found) == len(plain_sets({1: text})[1])
     whole = S.bands(found)
     monkeypatch.setattr(S, "PART", 100)

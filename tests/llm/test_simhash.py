@@ -93,3 +93,9 @@ def test_texts_nulls_ties_repeats_and_clashing_columns(spark):
     quick = f"{plain_fingerprint('the quick brown fox jumps'):016x}"
     assert got == sorted([(5, "0" * 16, 3), (3, "0" * 16, 3), (8, quick, 6), (8, quick, 6), (6, quick, 6), (1, f"{plain_fingerprint('zz zz zz'):016x}", 1), (0, quick, None)])
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", "one two three four"), ("a", "one two three four"), (None, "one two three four"), ("c", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted((x.doc_id or "", x.component_id or "") for x in near_duplicates(df).collect()) == [("", ""), ("a", "a"), ("b", "a"), ("c", "c")]
