@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -48,9 +49,12 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. A temporary one is made only where
+    it is unset and one process does all the work; on a cluster others could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("DOSSIER_WORK_DIR")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="dossier-work-")
         os.environ["DOSSIER_WORK_DIR"] = found
     return found.rstrip("/")

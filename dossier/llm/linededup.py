@@ -9,8 +9,8 @@ from .common import BROADCAST_ROWS, materialize
 
 #: A line is boilerplate on a host if more than this share of the host's pages have it ...
 RATIO = 0.08
-#: ... and at least this many pages.
-MIN_PAGES = 5
+#: ... and at least this many pages: a line on one page does not repeat.
+MIN_PAGES = 2
 
 
 def _lines(text: Column) -> Column:
@@ -41,10 +41,11 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     """All columns of ``df``, its text without boilerplate lines, and n_lines and n_dropped.
 
     Lines are compared without the spaces around them; blank lines stay. A line that is on exactly
-    ``ratio`` of the pages stays, and so does one on fewer than ``min_pages`` pages: a host of up to four
-    pages loses nothing, and below 50 pages the share that counts is above 8 %. Null hosts form one host, apart from the empty one. A null text stays
-    null with 0 lines; an empty one has one line. Repeated rows count as pages. Columns of ``df``
-    named n_lines or n_dropped are replaced; other names do not matter.
+    ``ratio`` of the pages stays, and so does one on fewer than ``min_pages`` pages (two: a host of one
+    page loses nothing, on a host of up to 24 pages every line on two of them goes). Null hosts form one
+    host, apart from the empty one. A null text stays null with 0 lines; an empty one has one line.
+    Repeated rows count as pages. Columns of ``df`` named n_lines or n_dropped are replaced; other names
+    do not matter.
     """
     host = F.concat(F.lit("h"), F.col(host_col).cast("string"))
     host = F.coalesce(host, F.lit(""))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Kinds in the order of the result. Possessive quantifiers and anchors at the start of a run (or where
 #: the match before ended) find what the plain patterns find, in linear time and without deep recursion.
@@ -26,6 +28,35 @@ SUPPORT, CONFIDENCE = 3, 0.8
 SPAN = "array<struct<s:int,e:int,m:string,l:string,r:string>>"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, as an array's only element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], start: Column) -> Column:
+    """What ``merge`` has made of the elements before each one, of an int array.
+
+    Appending copies what is there, so the array goes in blocks of about the root of its size: 100,000
+    elements cost some 30 million copied ints and not five billion.
+    """
+    ints = F.array().cast("array<int>")
+
+    def chain(part: Column, first: Column) -> Column:
+        step = lambda z, x: F.struct(merge(z["at"], x).alias("at"), F.concat(z["out"], F.array(z["at"])).alias("out"))
+        return F.aggregate(part, F.struct(first.alias("at"), ints.alias("out")), step, lambda z: z["out"])
+
+    def blocks(v: Column, width: Column) -> Column:
+        count = F.floor((F.size(v) - 1) / width).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(v, i * width + 1, width))
+
+    def walk(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, start, merge))
+        return bind(chain(totals, start), lambda firsts: F.flatten(F.transform(parts, lambda p, i: chain(p, F.get(firsts, i)))))
+
+    cut = lambda v: bind(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda width: bind(blocks(v, width), walk))
+    return bind(values, lambda v: F.when(F.size(v) == 0, ints).otherwise(cut(v)))
+
+
 def spans(text: Column, pattern: str, guard: str) -> Column:
     """Matches of ``pattern`` as (start, end, match, word before, word after); code points, end exclusive.
 
@@ -34,20 +65,40 @@ def spans(text: Column, pattern: str, guard: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        s = state["at"] + F.length(x["l"])
-        e = s + F.length(x["m"])
-        span = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), word(x["l"], True).alias("l"), word(x["r"], False).alias("r"))
-        return F.struct(e.alias("at"), F.concat(state["out"], F.array(span)).cast(SPAN).alias("out"))
 
     def walk(b: Column) -> Column:
-        around = F.transform(b["f"], lambda m, i: F.struct(m.alias("m"), F.element_at(b["p"], i + 1).alias("l"), F.element_at(b["p"], i + 2).alias("r")))
-        return F.aggregate(around, start, step, lambda z: z["out"])
+        sizes = F.transform(b["f"], lambda m, i: F.length(m) + F.length(F.get(b["p"], i)))
+
+        def placed(before: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                left, right = F.get(b["p"], i), F.get(b["p"], i + 1)
+                s = F.get(before, i) + F.length(left)
+                return F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"), word(left, True).alias("l"), word(right, False).alias("r"))
+
+            return F.transform(b["f"], one)
+
+        return bind(running(sizes, lambda a, n: a + n, F.lit(0)), placed)
+
+    return F.when(text.rlike(guard), bind(F.struct(found.alias("f"), pieces.alias("p")), walk)).otherwise(F.array().cast(SPAN))
+
+
+def untouched(cands: Column, touched: Column) -> Column:
+    """The spans of ``cands`` that overlap none of ``touched`` (s, e): both are sorted together once."""
+    far = F.lit(2**31 - 1)
+    event = lambda x, tag, rest: F.struct(x["s"].alias("s"), F.lit(tag).alias("tag"), x["e"].alias("e"), rest.alias("x"))
+    every = F.concat(F.transform(touched, lambda t: event(t, 0, F.lit(None).cast(SPAN[6:-1]))), F.transform(cands, lambda c: event(c, 1, c)))
+
+    def sift(ev: Column) -> Column:
+        ends = running(F.transform(ev, lambda x: F.when(x["tag"] == 0, x["e"]).otherwise(0)), lambda a, b: F.greatest(a, b), F.lit(0))
+        starts = running(F.transform(F.reverse(ev), lambda x: F.when(x["tag"] == 0, x["s"]).otherwise(far)), lambda a, b: F.least(a, b), far)
+
+        def free(b: Column) -> Column:
+            alone = F.filter(ev, lambda x, i: (x["tag"] == 1) & (F.get(b["ends"], i) <= x["s"]) & (F.get(b["starts"], F.size(ev) - 1 - i) >= x["e"]))
+            return F.transform(alone, lambda x: x["x"])
+
+        return bind(F.struct(ends.alias("ends"), starts.alias("starts")), free)
 
-    bound = F.transform(F.array(F.struct(found.alias("f"), pieces.alias("p"))), walk)  # the pieces are bound once, as an array's only element
-    return F.when(text.rlike(guard), F.element_at(bound, 1)).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(cands) == 0, F.array().cast(SPAN)).when(F.size(touched) == 0, cands).otherwise(bind(F.array_sort(every), sift))
 
 
 def digits(m: Column) -> Column:
@@ -108,7 +159,9 @@ def discovered(cands: DataFrame) -> DataFrame:
         patterns = patterns.select("side", "shape", "of", F.when(F.col("score") >= sure, F.col("score")).otherwise(0.0).alias("score"))
         on = edges.where("kind is null").select("side", "shape", "m").join(patterns, ["side", "shape"])
         on = on.groupBy("m", "side").agg(F.max("score").alias("score"), F.max_by("of", F.struct("score", "of")).alias("of"))
-        rated = materialize(on.groupBy("m").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("trust"), F.max_by("of", F.struct("score", "of")).alias("best")), "trust")
+        last, rated = rated, materialize(on.groupBy("m").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("trust"), F.max_by("of", F.struct("score", "of")).alias("best")), "trust")
+        if last is not None:
+            discard(last)
         mark = tuple(rated.where(F.col("trust") >= sure).agg(F.count("*"), F.bit_xor(F.xxhash64("m", "best"))).first())
         if not mark[0]:
             return cands.select("rid", F.lit("").alias("kind"), "s", "e").limit(0)
@@ -139,7 +192,8 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at sign, with five or more digits, or with five or more letters and digits mixed, or a run of numbers
     of five or more digits; it touches no base span and no match that failed its check. Null texts count as
     empty; repeated rows are searched each; an empty table gives an empty result; other columns are
-    ignored. The work grows with the text and, within one text, mildly with its number of matches.
+    ignored. The work grows with the text and, within one text, with its number of matches and the copies
+    of ``running``.
     """
     text = F.coalesce(F.col("__text"), F.lit(""))
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -150,8 +204,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stage = stage.select("__id", "__cand", base.alias("base"), touched.alias("touched"))
 
     likely = F.filter(F.col("__cand"), lambda x: x["m"].contains("@") | (F.length(digits(x["m"])) >= 5) | mixed(x["m"]))
-    free = F.filter(likely, lambda x: ~F.exists("touched", lambda t: (t["s"] < x["e"]) & (t["e"] > x["s"])))
-    cands = F.transform(free, lambda x: F.struct(F.lit(None).cast("int").alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["l"].alias("left"), x["r"].alias("right")))
+    cands = F.transform(bind(likely, lambda c: untouched(c, F.col("touched"))), lambda x: F.struct(F.lit(None).cast("int").alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["l"].alias("left"), x["r"].alias("right")))
     stage = materialize(stage.select("__id", F.monotonically_increasing_id().alias("rid"), "base", cands.alias("cands")), "spans")
 
     names = F.array(*[F.lit(k) for k in KINDS])
