@@ -37,9 +37,11 @@ def test_linked_pairs_drops_none():
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*map(np.ndarray.tolist, want)))
 
 
-@pytest.mark.parametrize("tile", [8, 1024])
-def test_matches_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(embed, "TILE_ROWS", tile)
+@pytest.mark.parametrize("numbers", [100, 1 << 19])
+def test_matches_brute_force(spark, monkeypatch, numbers):
+    monkeypatch.setattr(embed, "TILE_NUMBERS", numbers)
+    monkeypatch.setattr(embed, "SLABS", 4)
+    monkeypatch.setattr(embed, "PAIRS", 50)
     r = np.random.default_rng(2)
     rows, n = [], 0
     for label in (1, 2):
@@ -59,3 +61,9 @@ def test_empty_and_without_id(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, near_vectors(df).collect()), key=str) == [(4, 0, 4, True), (None, 0, None, False)]
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", [1.0, 0.1], 1), ("a", [1.0, 0.1], 1), ("c", [1.0, 0.11], 1), ("d", [0.0, 1.0], 1), ("e", None, 1)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int")
+    assert sorted(map(tuple, near_vectors(df).collect())) == [("a", 2, "a", True), ("b", 2, "a", False), ("c", 2, "a", False), ("d", 0, "d", True), ("e", 0, "e", True)]
