@@ -17,6 +17,8 @@ MAGIC = "WARC/1."
 #: Texts are split here. No header holds it, and its first byte does not come again in it: the split
 #: reader underneath can miss a delimiter that overlaps itself where its buffer ends.
 CUT = "\n" + MAGIC
+#: Bits of a stretch of a file (1 MB) in which pieces meet the records that they belong to.
+STRETCH_BITS = 20
 RECORD = "urn:dossier:page:"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,7 +39,8 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, id_col: str = "pa
     Of rows with equal payloads (by SHA-1 and length) of at least ``least`` bytes, those with the
     smallest id are responses, the others revisits of it; all other rows are responses. The payload is
     the html in UTF-8, null counts as empty. A row without id is never the one referred to. Line breaks
-    in an address are written as %0A. Only digests and ids are shuffled.
+    in an address are written as %0A. Digests and ids are shuffled; the pages too, once, if more than
+    200,000 payloads come again.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]+", "%0A").alias("url"), html.alias("html"))
@@ -258,23 +261,29 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     whole = real.where("whole").drop("body", "whole")
     if split_up.isEmpty():
         return whole
+    # a record's pieces begin inside it: they meet it by stretches of the file, however many records or pieces a file has
+    stretch = lambda c: F.shiftright(c, STRETCH_BITS)
     placed = pieces(spark, path).mapInArrow(offsets, "file string, split bigint, value binary, at bigint").join(broadcast_if_small(placing), ["file", "split"]).withColumn("at", F.col("at") + F.col("base")).where(F.col("upto").isNull() | (F.col("at") < F.col("upto")))
-    wanted = split_up.select(F.col("file").alias("f"), "offset", "body", "size")
-    parts = placed.join(broadcast_if_small(wanted), (F.col("file") == F.col("f")) & (F.col("at") < F.col("body") + F.col("size")) & (F.col("at") + F.length("value") + len(CUT) > F.col("body")))
-    cut = F.lit(CUT).cast("binary")
-    blocks = parts.groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"), F.first("body").alias("body"), F.first("size").alias("size"))
-    joined = F.aggregate("parts", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["value"], cut))
-    blocks = blocks.select("file", "offset", F.substring(joined, F.col("body") - F.col("parts")[0]["at"] + 1, F.col("size")).alias("block"))
+    placed = placed.select("file", stretch(F.col("at")).alias("stretch"), "at", "value")
+    wanted = split_up.select("file", "offset", "body", "size", (F.col("body") + F.col("size")).alias("end"))
+    wanted = wanted.withColumn("stretch", F.explode(F.sequence(stretch(F.col("offset")), stretch(F.col("end")))))
+    parts = placed.join(broadcast_if_small(wanted), ["file", "stretch"]).where((F.col("at") >= F.col("offset")) & (F.col("at") < F.col("end")))
+    blocks = parts.groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"), F.first("body").alias("body"), F.first("size").alias("length"))
     late = split_up.drop("payload_bytes", "payload_digest", "body", "whole").join(blocks, ["file", "offset"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, block = batch.schema.get_field_index("content_type"), batch.schema.get_field_index("block")
-            got = [payload_of(b, (k or "").encode()) for k, b in zip(batch.column(kind).to_pylist(), batch.column(block).to_pylist())]
-            keep = [i for i in range(batch.num_columns) if i != block]
+            kind, at = (batch.schema.get_field_index(c) for c in ("content_type", "parts"))
+            body, length = (batch.schema.get_field_index(c) for c in ("body", "length"))
+            got = []
+            for k, some, first, n in zip(*(batch.column(c).to_pylist() for c in (kind, at, body, length))):
+                whole = CUT.encode().join([*(x["value"] for x in some), b""])
+                start = first - some[0]["at"]
+                got.append(payload_of(whole[start : start + n], (k or "").encode()))
+            keep = [i for i in range(batch.num_columns) if i not in (at, body, length)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array([len(p) for p in got], pa.int64()), pa.array([digest(p) for p in got])], names=[*[batch.schema.names[i] for i in keep], "payload_bytes", "payload_digest"])
 
-    kinds = ", ".join(f"{n} {t}" for n, t in late.drop("block").dtypes)
+    kinds = ", ".join(f"{n} {t}" for n, t in late.drop("parts", "body", "length").dtypes)
     return whole.unionByName(late.mapInArrow(finish, kinds + ", payload_bytes bigint, payload_digest string"))
 
 
