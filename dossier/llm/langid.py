@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import claim, held_out, ship_code
-from .grams import class_sample, distinct, gram_codes
+from .grams import class_sample, distinct, draw, gram_codes
 
 #: Training rows of each language, about; the bound of the sample.
 SAMPLE_PER_LANG = 400
+#: Characters of those rows at most.
+SAMPLE_CHARS = 8_000_000
+#: Landmarks; every language has one at least.
 LANDMARKS = 128
 RIDGE = 1e-3
 #: Documents of one block of the matrix product.
@@ -35,7 +38,7 @@ class KernelModel:
         sets = [distinct(gram_codes(t.lower())) for t in texts]
         by = {g: [i for i, x in enumerate(langs) if x == g] for g in self.langs}
         turn = sorted((n, g, i) for g, rows in by.items() for n, i in enumerate(rows))
-        chosen = [i for _, _, i in turn if len(sets[i])][:landmarks]
+        chosen = [i for _, _, i in turn if len(sets[i])][: max(landmarks, len(self.langs))]
         self.grams = distinct(np.concatenate([sets[i] for i in chosen])) if chosen else np.zeros(0, np.int64)
         self.marks = np.zeros((len(self.grams), len(chosen)), np.float32)
         for k, i in enumerate(chosen):
@@ -77,10 +80,11 @@ class KernelModel:
         return langs, scores
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> KernelModel:
-    """Learn from a bounded sample (about ``per_lang`` rows a language) of the rows that are not held out."""
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    got = sorted((r.t, r.l) for r in class_sample(rows, "l", per_lang, "i", "t").select("t", "l").collect())
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, most_chars: int = SAMPLE_CHARS) -> KernelModel:
+    """Learn from a bounded sample (about ``per_lang`` rows and ``most_chars`` characters a language) of the rows that are not held out."""
+    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
+    rows = known.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), draw(id_col, text_col).alias("draw"))
+    got = class_sample(rows, per_lang, most_chars)
     return KernelModel([t for t, _ in got], [g for _, g in got])
 
 

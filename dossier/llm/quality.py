@@ -11,11 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, claim, held_out, ship_code
-from .grams import class_sample, gram_codes
+from .common import Memo, broadcast_if_small, claim, discard, held_out, materialize, ship_code
+from .grams import class_sample, draw, gram_codes
 
 #: Labelled rows of each class to learn from, about; the bound of the sample.
 SAMPLE_PER_CLASS = 3000
+#: Characters of those rows at most.
+SAMPLE_CHARS = 64_000_000
 #: Indicators are hashed to this many bits.
 BITS = 18
 #: Score at which a document is accepted.
@@ -104,13 +106,21 @@ def logistic(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> SupportVectors:
-    """Learn from a bounded sample (about ``per_class`` labelled rows a class) of the rows that are not held out."""
-    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
-    some = class_sample(rows, "y", per_class, "i")
-    got = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i").select("t", "y").collect()
-    got = sorted((r.t or "", r.y) for r in got)
-    return SupportVectors([t for t, _ in got], [int(y) for _, y in got])
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, most_chars: int = SAMPLE_CHARS) -> SupportVectors:
+    """Learn from a bounded sample (about ``per_class`` labelled rows and ``most_chars`` characters a class) of the rows that are not held out.
+
+    Labels are drawn before the documents are read; a repeated id counts once, with its smallest text.
+    """
+    told = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("l"))
+    counts = {r[0]: r[1] for r in told.groupBy("l").count().collect()}
+    lot, take = draw("i"), F.lit(False)
+    for value, n in counts.items():
+        take = take | ((F.col("l") == value) & (lot < F.lit(min(1.0, 1.2 * per_class / n))))
+    some = materialize(told.where(take).distinct(), "labels")
+    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).join(broadcast_if_small(some), "i")
+    got = class_sample(rows.select("t", "l", draw("i").alias("draw")), per_class, most_chars) if counts else []
+    discard(some)
+    return SupportVectors([t for t, _ in got], [y for _, y in got])
 
 
 def score_quality(docs: DataFrame, model: SupportVectors, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

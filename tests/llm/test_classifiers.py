@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from dossier.llm import langid, quality
-from dossier.llm.grams import distinct, gram_codes
+from dossier.llm.grams import class_sample, distinct, draw, gram_codes
 
 SYL = {"en": "the ing er on an st re th ou".split(), "de": "sch ung ein ich ver ge ber ü".split(), "fr": "eau tion oi ê re ment que é".split()}
 
@@ -76,3 +76,57 @@ def test_quality_held_out_accuracy_and_edges(spark):
     assert by[700].score == by[701].score and by[702].predicted == 0
     assert quality.score_quality(docs.limit(0), model).count() == 0
     assert {x.score for x in quality.score_quality(docs, quality.train(docs, lab.limit(0))).collect()} == {0.5}
+
+
+def test_ridge_matches_plain_kernel_regression():
+    """With every text a landmark, the scores are those of ridge regression in the kernel's own feature space, in plain loops."""
+    r = random.Random(9)
+    texts = [words(r, g, r.randrange(2, 12)) for g in SYL for _ in range(8)]
+    langs = [g for g in SYL for _ in range(8)]
+    model = langid.KernelModel(texts, langs, landmarks=len(texts), ridge=0.01)
+    sets = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    k = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    known = [sets(t) for t in texts]
+    gram = np.array([[k(a, b) for b in known] for a in known])
+    target = np.array([[1.0 if x == g else -1.0 for g in sorted(SYL)] for x in langs])
+    alpha = np.linalg.solve(gram + 0.01 * len(texts) * np.eye(len(texts)), target)
+    new = [words(r, g, 5) for g in SYL for _ in range(4)]
+    want = np.array([[k(sets(t), b) for b in known] for t in new]) @ alpha
+    got, scores = model.predict(new)
+    assert got == [sorted(SYL)[i] for i in want.argmax(1)]
+    assert np.allclose(scores, np.clip((want.max(1) + 1) / 2, 0, 1), atol=0.01)
+
+
+def test_every_language_has_a_landmark():
+    langs = [f"l{i:03d}" for i in range(200)]
+    texts = [f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}{chr(0x6E00 + i)}" for i in range(200)]
+    assert langid.KernelModel(texts, langs).predict(texts)[0] == langs
+
+
+def test_support_vectors_match_a_plain_dual_solver():
+    """Margins on a small table against the hinge-loss dual, solved by projected gradient on the whole kernel matrix."""
+    r = random.Random(11)
+    texts = [words(r, g, r.randrange(3, 9)) for g in ("en", "de") for _ in range(10)]
+    labels = [1] * 10 + [0] * 10
+    model = quality.SupportVectors(texts, labels, epochs=400)
+    find = quality.Indicators()
+    x = np.zeros((20, 1 << quality.BITS))
+    for row, t in zip(x, texts):
+        row[find(t)] = 1
+    y = np.array(labels) * 2.0 - 1
+    p, q = (1.0 + x[y == s].sum(0) for s in (1, -1))
+    scaled = x * (np.log(p / p.sum()) - np.log(q / q.sum())) / np.sqrt(x.sum(1, keepdims=True))
+    kernel = (scaled @ scaled.T + 1) * np.outer(y, y)
+    dual = np.zeros(20)
+    for _ in range(20_000):
+        dual = np.clip(dual + 0.9 / np.linalg.norm(kernel, 2) * (1 - kernel @ dual), 0, 1)
+    want = y * (kernel @ dual)
+    assert np.allclose([model.margin(find(t)) for t in texts], want, atol=0.02)
+
+
+def test_sample_is_bounded_by_rows_and_characters(spark):
+    rows = [("same text", 1)] * 500 + [(f"text {i} " * 50, 0) for i in range(500)]
+    df = spark.createDataFrame([(t, l, i) for i, (t, l) in enumerate(rows)], "t string, l int, i int").select("t", "l", draw("t").alias("draw"))
+    got = class_sample(df, 100, 10_000)
+    assert sum(l == 1 for _, l in got) <= 1 and 5 < sum(l == 0 for _, l in got) <= 40
+    assert sum(len(t) for t, l in got if l == 0) <= 10_000
