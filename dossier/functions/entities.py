@@ -14,8 +14,18 @@ from .lexicon import ANATOMY_TERMS, INJURY_STEMS, ORGANS, TOX_STEMS
 from .text import FLAGS, strip
 
 DOT = FLAGS + "(?s)"
+# The patterns of report parts.
 INJURY_BLOCK = r"(?:Injury\s*(?:No\.?\s*)?\d*\s*[:\-\.]\s*)(.*?)(?=Injury\s*(?:No\.?\s*)?\d+|External|Internal|Opinion|\z)"
 INJURY_LIST = r"\d+\.\s*((?:Lacerated|Incised|Contusion|Abrasion|Fracture|Bruise|Wound).*?)(?=\d+\.\s*(?:Lacerated|Incised|Contusion)|$)"
+INJURY_NUMBERED = r"Injury\s*(?:No\.?\s*)?\d+\s*[:\-\.]\s*(.*?)(?=Injury\s*(?:No\.?\s*)?\d+|External\s*Examination|Internal|Opinion|\z)"
+TOX_LINE = r"(?:(?:Ethanol|Alcohol|Blood\s*Alcohol)\s*[:\-]?\s*)(?:(?:Positive|Negative|Not\s*Detected|[\d\.]+\s*(?:mg|ng|ug)[/\s]*(?:dL|mL|L)).*?)(?:\n|$)"
+TOX_NAMED = r"(?:Opiate|Opioid|Cannabis|THC|Barbiturate|Benzodiazepine|Amphetamine|Cocaine|Organophosph\w+|Cyanide)\s*[:\-]?\s*(?:Positive|Negative|Detected|Not\s*Detected|Trace|[\d\.]+\s*\w+)"
+TOX_AMOUNT = r"([\d\.]+)\s*((?:mg|ng|ug)/(?:dL|mL|L))"
+DIMENSIONS = [
+    r"(\d+\.?\d*\s*[xX×]\s*\d+\.?\d*(?:\s*[xX×]\s*\d+\.?\d*)?\s*(?:cm|mm|inch))",
+    r"(\d+\.?\d*\s*(?:cm|mm)\s*[xX×]\s*\d+\.?\d*\s*(?:cm|mm))",
+    r"(\d+\.?\d*\s*(?:cm|mm)(?:\s*(?:in\s*)?(?:diameter|length|width|depth))?)",
+]
 DOCTORS = [r"(?:(?:Performed|Conducted)\s*by\s*[:\-]?\s*(?:Dr\.?\s*)?)([A-Z][a-zA-Z\s\.]+?)(?:\n|,|$)", r"(?:Dr\.?\s+)([A-Z][a-zA-Z\s\.]+?)(?:\s*,?\s*(?:MBBS|MD|Pathologist))"]
 
 #: entity type -> (pattern with one group, flags, confidence); fixed patterns, in the order of extraction
@@ -152,39 +162,28 @@ def age_status(age: Column) -> Column:
 
 def dimensions(c: Column) -> Column:
     """Measures such as 3 x 2 cm; '' if there are none."""
-    tries = [
-        r"(\d+\.?\d*\s*[xX×]\s*\d+\.?\d*(?:\s*[xX×]\s*\d+\.?\d*)?\s*(?:cm|mm|inch))",
-        r"(\d+\.?\d*\s*(?:cm|mm)\s*[xX×]\s*\d+\.?\d*\s*(?:cm|mm))",
-        r"(\d+\.?\d*\s*(?:cm|mm)(?:\s*(?:in\s*)?(?:diameter|length|width|depth))?)",
-    ]
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(c, FLAGS + p, 1)), F.lit("")) for p in tries], F.lit(""))
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(c, FLAGS + p, 1)), F.lit("")) for p in DIMENSIONS], F.lit(""))
 
 
 def report_injuries(text: Column) -> Column:
     """Array of (description, injury_type, body_region, dimensions) of numbered injuries, at least 5 characters each."""
-    block = r"Injury\s*(?:No\.?\s*)?\d+\s*[:\-\.]\s*(.*?)(?=Injury\s*(?:No\.?\s*)?\d+|External\s*Examination|Internal|Opinion|\z)"
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(DOT + p), F.lit(1)) for p in (block, INJURY_LIST)])
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(DOT + p), F.lit(1)) for p in (INJURY_NUMBERED, INJURY_LIST)])
     kept = F.filter(F.transform(found, strip), lambda d: F.length(d) >= 5)
     return F.transform(kept, lambda d: F.struct(F.left(d, F.lit(500)).alias("description"), field_injury(d).alias("injury_type"), field_region(d).alias("body_region"), dimensions(d).alias("dimensions")))
 
 
 def report_toxicology(text: Column) -> Column:
     """Array of (substance, result, concentration, unit), split at the first colon or dash."""
-    amount = r"[\d\.]+\s*(?:mg|ng|ug)[/\s]*(?:dL|mL|L)"
-    first = rf"(?:(?:Ethanol|Alcohol|Blood\s*Alcohol)\s*[:\-]?\s*)(?:(?:Positive|Negative|Not\s*Detected|{amount}).*?)(?:\n|$)"
-    names = r"Opiate|Opioid|Cannabis|THC|Barbiturate|Benzodiazepine|Amphetamine|Cocaine|Organophosph\w+|Cyanide"
-    second = rf"(?:{names})\s*[:\-]?\s*(?:Positive|Negative|Detected|Not\s*Detected|Trace|[\d\.]+\s*\w+)"
-    found = F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(FLAGS + p), F.lit(0)) for p in (first, second)]), strip)
+    found = F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(FLAGS + p), F.lit(0)) for p in (TOX_LINE, TOX_NAMED)]), strip)
 
     def one(x: Column) -> Column:
         parts = F.split(x, r"[:\-]\s*", 2)
         result = F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
-        conc = r"([\d\.]+)\s*((?:mg|ng|ug)/(?:dL|mL|L))"
         return F.struct(
             F.trim(F.get(parts, F.lit(0))).alias("substance"),
             F.when(result == "", "detected").otherwise(result).alias("result"),
-            F.regexp_extract(result, conc, 1).alias("concentration"),
-            F.regexp_extract(result, conc, 2).alias("unit"),
+            F.regexp_extract(result, TOX_AMOUNT, 1).alias("concentration"),
+            F.regexp_extract(result, TOX_AMOUNT, 2).alias("unit"),
         )
 
     return F.transform(found, one)

@@ -54,9 +54,9 @@ def reading_order(regions: DataFrame, page: str) -> DataFrame:
 
 
 def dominant_content(regions: DataFrame, page: str) -> DataFrame:
-    """The content type with the largest area of each page; the first seen of equals."""
+    """The content type with the largest area of each page; of equals the first seen, then the last by name."""
     areas = regions.groupBy(page, "content").agg(F.sum(F.col("w").cast("long") * F.col("h")).alias("area"), F.min("seq").alias("first"))
-    return areas.groupBy(page).agg(F.max_by("content", F.struct("area", -F.col("first"))).alias("dominant"), F.bool_or(F.col("content") == "handwritten").alias("has_handwriting"))
+    return areas.groupBy(page).agg(F.max_by("content", F.struct("area", -F.col("first"), "content")).alias("dominant"), F.bool_or(F.col("content") == "handwritten").alias("has_handwriting"))
 
 
 def motion_frames(frames: DataFrame, camera: str, order: str, score: str, threshold: float = 50_000) -> DataFrame:

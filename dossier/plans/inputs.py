@@ -62,7 +62,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "messy": (
         ["documents"],
-        """SELECT doc_id, concat('  ', replace(left(text, 400), ' ', CASE WHEN doc_id % 3 = 0 THEN concat(chr(9), ' ') WHEN doc_id % 3 = 1 THEN '  ' ELSE ' ' END),
+        """SELECT doc_id, concat('  ', replace(replace(text, 'é', 'e\u0301'), ' ', CASE WHEN doc_id % 3 = 0 THEN concat(chr(9), ' ') WHEN doc_id % 3 = 1 THEN '  ' ELSE ' ' END),
         CASE WHEN doc_id % 2 = 0 THEN concat(chr(13), chr(10), chr(7), 'x ', chr(13), 'y') ELSE concat(' ', chr(10), chr(10), ' end') END, ' ') AS text FROM {documents}""",
     ),
     "metadata": (
@@ -101,11 +101,6 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
 }
 
-#: Whole texts with the dirt of "messy", which has their first 400 characters.
-VIEWS["whole_messy"] = (["documents"], VIEWS["messy"][1].replace("left(text, 400)", "text"))
-#: The words of every document; the view "words" has those of each fifth one.
-VIEWS["whole_words"] = VIEWS["words"]
-
 
 #: Views whose queries are heavy in CPU, with the columns that they read.
 HEAVY = {
@@ -113,18 +108,16 @@ HEAVY = {
     "metadata": ["o_orderkey", "o_totalprice"],
     "measurements": ["l_orderkey", "l_linenumber", "l_quantity"],
     "messy": ["doc_id", "text"],
-    "whole_messy": ["doc_id", "text"],
 }
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view in Spark."""
     tables, sql = VIEWS[name]
-    if name in ("words", "whole_words"):
+    if name == "words":
         from pyspark.sql import functions as F
 
-        docs = table(spark, sf_dir, "documents")
-        docs = docs.where("doc_id % 5 = 0") if name == "words" else spread(docs.select("doc_id", "text"))
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         exploded = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
         return spark.sql(sql.replace("k / 60", "k div 60").replace("(k % 60) / 10", "(k % 60) div 10"), exploded=exploded)
     if name in HEAVY:
@@ -136,11 +129,9 @@ def duck(name: str) -> str:
     """The view as a DuckDB subquery."""
     tables, sql = VIEWS[name]
     sql = sql.replace("AS STRING", "AS VARCHAR")
-    if name == "whole_words":
-        return duck("words").replace(" WHERE doc_id % 5 = 0", "")
     if name == "words":
         sql = sql.replace("k / 60", "k // 60").replace("(k % 60) / 10", "(k % 60) // 10")
-        return "(" + sql.replace("{exploded}", "(SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS w FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents WHERE doc_id % 5 = 0) AS s)") + ")"
+        return "(" + sql.replace("{exploded}", "(SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS w FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents) AS s)") + ")"
     for t in tables:
         sql = sql.replace("{" + t + "}", t)
     return f"({sql})"

@@ -10,7 +10,7 @@ from ..functions import measures as M
 from ..operators import layout, quality, relational, timeline
 from ..session import spread
 from .inputs import duck, table, view
-from .registry import ORACLES, query
+from .registry import query
 
 MD, NOW = duck("metadata"), "2024-06-01"
 
@@ -160,28 +160,6 @@ def nst07(spark, d):
     return quality.envelope(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey")
 
 
-@query("cls12_13_autopsy_metadata")
-def cls12(spark, d):
-    from ..operators.normalize import autopsy_metadata
-
-    return autopsy_metadata(view(spark, d, "reports"))
-
-
-@query("normalize_all")
-def normalize_all(spark, d):
-    """All stages over all reports: cleaned, standardized, resolved texts, entities, codes, quality (section 3.2)."""
-    from ..operators.normalize import normalize
-
-    return normalize(view(spark, d, "reports"))
-
-
-@query("normalize_faithful")
-def normalize_faithful(spark, d):
-    from ..operators.normalize import normalize
-
-    return normalize(view(spark, d, "reports"), faithful=True)
-
-
 # ---------------------------------------------------------------- timelines
 
 _INPUT = "(event_id * 7919) % 10007"
@@ -250,7 +228,7 @@ def set05(spark, d):
 
 @query("strategy", f"""SELECT coalesce(h.user_id, g.user_id) AS user_id, CASE WHEN coalesce(h.s, 0) > 0 THEN h.k ELSE 'Inconclusive' END AS primary_hypothesis, round(coalesce(h.s, 0), 4) AS highest_confidence, coalesce(g.n, 0) AS critical_gaps, coalesce(a.n, 0) AS actions,
 CASE WHEN coalesce(a.n, 0) > 0 THEN 'Active - Requires Lead Follow-up' ELSE 'Analysis Complete' END AS investigation_status
-FROM (SELECT user_id, max(score) AS s, arg_max(kind, CAST(score AS DOUBLE) * 1e9 - seq) AS k FROM ({_HD}) AS x GROUP BY 1) AS h FULL JOIN (SELECT user_id, count(*) FILTER (h > 2) AS n FROM ({_GAPS}) AS y WHERE h > 0 GROUP BY 1) AS g ON g.user_id = h.user_id
+FROM (SELECT user_id, max(score) AS s, arg_max(kind, row(CAST(score AS DOUBLE), -seq)) AS k FROM ({_HD}) AS x GROUP BY 1) AS h FULL JOIN (SELECT user_id, count(*) FILTER (h > 2) AS n FROM ({_GAPS}) AS y WHERE h > 0 GROUP BY 1) AS g ON g.user_id = h.user_id
 LEFT JOIN (SELECT user_id, count(*) AS n FROM {_RECS} r GROUP BY 1) AS a ON a.user_id = coalesce(h.user_id, g.user_id)""")
 def strategy(spark, d):
     """UDF-05: gaps and hypotheses to ranked actions and a status."""
@@ -282,34 +260,25 @@ _EVEN = "floor({} * 10000 + 0.4999999) / 10000 AS confidence"
 
 
 @query("agg10_lines", f"SELECT * REPLACE ({_EVEN.format('confidence')}) FROM {_LINE} l")
-def agg10(spark, d, words="words"):
-    return layout.lines(view(spark, d, words), ["doc_id", "page", "line"]).withColumn("confidence", _even(F.col("confidence")))
+def agg10(spark, d):
+    return layout.lines(view(spark, d, "words"), ["doc_id", "page", "line"]).withColumn("confidence", _even(F.col("confidence")))
 
 
 _PAGE = f"(SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line) AS text, avg(confidence) FILTER (confidence > 0) AS confidence FROM {_LINE} l GROUP BY 1, 2)"
 
 
 @query("agg11_pages", f"SELECT * REPLACE ({_EVEN.format('confidence')}) FROM {_PAGE} p")
-def agg11(spark, d, words="words"):
-    p = layout.pages(layout.lines(view(spark, d, words), ["doc_id", "page", "line"]), "doc_id", "page", "line")
+def agg11(spark, d):
+    p = layout.pages(layout.lines(view(spark, d, "words"), ["doc_id", "page", "line"]), "doc_id", "page", "line")
     return p.withColumn("confidence", _even(F.col("confidence")))
 
 
 @query("agg11_documents", f"SELECT doc_id, md5(string_agg(text, concat(chr(10), chr(10), '--- Page Break ---', chr(10), chr(10)) ORDER BY page)) AS text_md5, {_EVEN.format('avg(confidence) FILTER (confidence > 0)')}, count(*) AS pages FROM {_PAGE} p GROUP BY 1")
-def agg11_docs(spark, d, words="words"):
-    p = layout.pages(layout.lines(view(spark, d, words), ["doc_id", "page", "line"]), "doc_id", "page", "line")
+def agg11_docs(spark, d):
+    p = layout.pages(layout.lines(view(spark, d, "words"), ["doc_id", "page", "line"]), "doc_id", "page", "line")
     return layout.documents(p, "doc_id", "page").select("doc_id", F.md5("text").alias("text_md5"), _even(F.col("confidence")), "pages")
 
 
-def _whole_query(name, f):
-    """The layout query over the words of every document."""
-    query(f"{name}_whole", ORACLES[name].replace(W, duck("whole_words")))(lambda spark, d: f(spark, d, "whole_words"))
-
-
-for _name, _f in (("agg10_lines", agg10), ("agg11_pages", agg11), ("agg11_documents", agg11_docs)):
-    _whole_query(_name, _f)
-
-
 RG = duck("regions")
 _CONTENT = "CASE WHEN stroke > 0.4 AND edges > 0.08 THEN 'handwritten' WHEN stroke < 0.2 THEN 'printed' ELSE 'mixed' END"
 
@@ -328,7 +297,7 @@ def cls15(spark, d):
     return view(spark, d, "regions").select("page", "seq", C.region_type(*c, F.lit(900), F.lit(1200), F.col("edges"), F.col("stroke") > 0.5).alias("region_type"))
 
 
-@query("agg12_dominant", f"SELECT page, arg_max(content, area * 1e7 - first) AS dominant FROM (SELECT page, content, sum(w * h) AS area, min(seq * 10000 + x) AS first FROM (SELECT *, {_CONTENT} AS content FROM {RG} r) AS a GROUP BY 1, 2) AS b GROUP BY 1")
+@query("agg12_dominant", f"SELECT page, arg_max(content, row(area, -first, content)) AS dominant FROM (SELECT page, content, sum(w * h) AS area, min(seq * 10000 + x) AS first FROM (SELECT *, {_CONTENT} AS content FROM {RG} r) AS a GROUP BY 1, 2) AS b GROUP BY 1")
 def agg12(spark, d):
     r = view(spark, d, "regions").withColumns({"content": C.content_type(F.col("stroke"), F.col("edges")), "seq": F.expr("seq * 10000 + x")})
     return layout.dominant_content(r, "page").select("page", "dominant")
@@ -340,7 +309,10 @@ def agg13(spark, d):
     return layout.dominant_content(r, "page").select("page", "has_handwriting")
 
 
-@query("win06_reading_order")
+@query("win06_reading_order", f"""WITH RECURSIVE s AS (SELECT page, seq, x, y, h, row_number() OVER (PARTITION BY page ORDER BY y, x, seq, h) AS n FROM {RG} r),
+b AS (SELECT page, seq, x, y, n, 0 AS band, y AS top FROM s WHERE n = 1 UNION ALL
+SELECT s.page, s.seq, s.x, s.y, s.n, CASE WHEN abs(s.y - b.top) < s.h * 0.5 THEN b.band ELSE b.band + 1 END, CASE WHEN abs(s.y - b.top) < s.h * 0.5 THEN b.top ELSE s.y END FROM b JOIN s ON s.page = b.page AND s.n = b.n + 1)
+SELECT page, seq, CAST(row_number() OVER (PARTITION BY page ORDER BY band, x, y, seq) - 1 AS INT) AS reading_order, band FROM b""")
 def win06(spark, d):
     return layout.reading_order(view(spark, d, "regions"), "page")
 
@@ -382,7 +354,11 @@ def str05(spark, d):
     return expired(table(spark, d, "events"), "ts", F.expr("TIMESTAMP_NTZ '2024-01-20'"), 7).select("event_id")
 
 
-@query("win10_lockout")
+@query("win10_lockout", """WITH RECURSIVE s AS (SELECT user_id, event_id, epoch_us(ts) AS at, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+step AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS outcome, 0 AS attempts, CAST(0 AS BIGINT) AS until FROM s WHERE n = 1 UNION ALL
+SELECT s.user_id, s.n, s.event_id, CASE WHEN s.at < p.until THEN 'LOCKED' WHEN s.ok THEN 'OK' WHEN p.attempts >= 4 THEN 'LOCKED_NOW' ELSE 'FAILED' END,
+CASE WHEN s.at < p.until THEN p.attempts WHEN s.ok THEN 0 ELSE p.attempts + 1 END, CASE WHEN s.at < p.until THEN p.until WHEN NOT s.ok AND p.attempts >= 4 THEN s.at + 1800000000 ELSE 0 END FROM step p JOIN s ON s.user_id = p.user_id AND s.n = p.n + 1)
+SELECT user_id, event_id, outcome, attempts FROM step WHERE n > 0""")
 def win10(spark, d):
     """STR-06 in batch form: every login with the attempts and lock after it."""
     from ..streaming.operators import lockouts

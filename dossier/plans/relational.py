@@ -356,7 +356,7 @@ def hsh01(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), F.octet_length("text").cast("long").alias("size"))
 
 
-@query("agg19_argmax", "SELECT o_custkey, arg_max(o_orderpriority, o_totalprice) AS best, max(o_totalprice) AS score FROM orders WHERE o_totalprice > 0 GROUP BY 1")
+@query("agg19_argmax", "SELECT o_custkey, arg_max(o_orderpriority, row(o_totalprice, -o_orderkey)) AS best, max(o_totalprice) AS score FROM orders WHERE o_totalprice > 0 GROUP BY 1")
 def agg19(spark, d):
     o = table(spark, d, "orders").where("o_totalprice > 0")
     return o.groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("best"), F.max("o_totalprice").alias("score"))
@@ -369,18 +369,9 @@ def win05(spark, d):
     return c.where("k <= 5").orderBy("conv_id", "turn").select("conv_id", "turn", "role")
 
 
-@query("udf03_retrieve", "SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id = 3 AND e.vec_id <> 3 ORDER BY score DESC, e.vec_id LIMIT 10")
-def udf03(spark, d):
-    """Retrieval for an answer: the ten nearest vectors of one query vector."""
-    from ..operators.retrieval import nearest
-
-    e = table(spark, d, "embeddings")
-    return nearest(e.where("vec_id <> 3"), e.where("vec_id = 3"), 10)
-
-
-@query("udf03_retrieve_all", """SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (
+@query("udf03_retrieve", """SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (
 SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) AS s) AS r WHERE k <= 10""")
-def udf03_all(spark, d):
+def udf03(spark, d):
     """The ten nearest of all vectors for every vector whose id 100 divides."""
     from ..operators.retrieval import nearest
 

@@ -12,7 +12,7 @@ from ..functions import lexicon as L
 from ..functions import measures as M
 from ..functions import text as X
 from .inputs import duck, rows, table, view
-from .registry import ORACLES, query
+from .registry import query
 
 RE, ME = duck("reports"), duck("measurements")
 
@@ -56,9 +56,12 @@ _NOCTRL = "regexp_replace({}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]
 _UNIX = "regexp_replace({}, '\\r\\n?', chr(10), 'g')"
 
 
-@query("txt01_clean", f"SELECT doc_id, trim({_UNIX.format(_NOCTRL.format(_LINES))}, {_WS}) AS text FROM {duck('messy')} m")
-def txt01(spark, d, messy="messy"):
-    return view(spark, d, messy).select("doc_id", X.clean_text(F.col("text"), normalize=False).alias("text"))
+_CLEAN = f"trim({_UNIX.format(_NOCTRL.format(_LINES))}, {_WS})"
+
+
+@query("txt01_clean", f"SELECT doc_id, {_CLEAN} AS text FROM (SELECT doc_id, nfc_normalize(text) AS text FROM {duck('messy')} m) AS n")
+def txt01(spark, d):
+    return view(spark, d, "messy").select("doc_id", X.clean_text(F.col("text")).alias("text"))
 
 
 @query("txt02_nfc", "SELECT doc_id, nfc_normalize(replace(text, 'é', concat('e', chr(769)))) AS text FROM documents")
@@ -68,36 +71,27 @@ def txt02(spark, d):
 
 
 @query("txt03_spaces", f"SELECT doc_id, {_LINES} AS text FROM {duck('messy')} m")
-def txt03(spark, d, messy="messy"):
-    return view(spark, d, messy).select("doc_id", X.collapse_spaces(F.col("text")).alias("text"))
+def txt03(spark, d):
+    return view(spark, d, "messy").select("doc_id", X.collapse_spaces(F.col("text")).alias("text"))
 
 
 @query("txt04_controls", f"SELECT doc_id, {_NOCTRL.format('text')} AS text FROM {duck('messy')} m")
-def txt04(spark, d, messy="messy"):
-    return view(spark, d, messy).select("doc_id", X.drop_controls(F.col("text")).alias("text"))
+def txt04(spark, d):
+    return view(spark, d, "messy").select("doc_id", X.drop_controls(F.col("text")).alias("text"))
 
 
 @query("txt05_line_ends", f"SELECT doc_id, {_UNIX.format('text')} AS text FROM {duck('messy')} m")
-def txt05(spark, d, messy="messy"):
-    return view(spark, d, messy).select("doc_id", X.unix_lines(F.col("text")).alias("text"))
+def txt05(spark, d):
+    return view(spark, d, "messy").select("doc_id", X.unix_lines(F.col("text")).alias("text"))
 
 
 @query("txt06_nested_clean", f"SELECT doc_id, trim({_UNIX.format(_NOCTRL.format(_LINES))}, {_WS}) AS v FROM {duck('messy')} m")
-def txt06(spark, d, messy="messy"):
+def txt06(spark, d):
     """Cleaning of every value of a map."""
-    m = view(spark, d, messy).select("doc_id", F.create_map(F.lit("a"), F.col("text")).alias("m"))
+    m = view(spark, d, "messy").select("doc_id", F.create_map(F.lit("a"), F.col("text")).alias("m"))
     return m.select("doc_id", F.transform_values("m", lambda _, v: X.clean_text(v, normalize=False))["a"].alias("v"))
 
 
-def _whole_query(name, f):
-    """The cleaning query over whole texts."""
-    query(f"{name}_whole", ORACLES[name].replace(duck("messy"), duck("whole_messy")))(lambda spark, d: f(spark, d, "whole_messy"))
-
-
-for _name, _f in (("txt01_clean", txt01), ("txt03_spaces", txt03), ("txt04_controls", txt04), ("txt05_line_ends", txt05), ("txt06_nested_clean", txt06)):
-    _whole_query(_name, _f)
-
-
 @query("txt07_encoding", "SELECT doc_id, 'utf-8' AS encoding, 1.0 AS confidence FROM documents")
 def txt07(spark, d):
     from ..sources.readers import encoding
@@ -106,9 +100,9 @@ def txt07(spark, d):
     return table(spark, d, "documents").select("doc_id", name.alias("encoding"), sure.alias("confidence"))
 
 
-def _abbrev(text: str = "text") -> str:
+def _abbrev(text: str = "text", source: str = RE) -> str:
     return f"""(SELECT id, string_agg(coalesce(a.v, w), ' ' ORDER BY pos) AS text FROM (SELECT id, unnest(p) AS w, unnest(range(len(p))) AS pos
-    FROM (SELECT id, list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '') AS p FROM {RE} r) AS s) AS e
+    FROM (SELECT id, list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '') AS p FROM {source} r) AS s) AS e
     LEFT JOIN {rows(list(L.ABBREVIATIONS.items()), 'k, v').replace('AS t(', 'AS a(')} ON a.k = trim(lower(w), '.,;:()') GROUP BY id)"""
 
 
@@ -162,22 +156,14 @@ def txt13(spark, d):
     return table(spark, d, "part").select("p_partkey", a.alias("resolved"), b.alias("confidence"), c.alias("category"))
 
 
-_MIXED = "CASE doc_id % 5 WHEN 0 THEN concat('मृत्यु ', left(text, 3)) WHEN 1 THEN concat('का ', left(text, 40)) WHEN 2 THEN '123' ELSE text END"
+_MIXED = "CASE doc_id % 5 WHEN 0 THEN concat(repeat('मृत्यु ', CAST(length(text) / 5 + 1 AS INT)), text) WHEN 1 THEN concat('का ', text) WHEN 2 THEN concat('123 ', text) ELSE text END"
 
 
 @query("txt14_language", f"""SELECT doc_id, CASE WHEN h + l = 0 THEN 'unknown' WHEN h > l THEN 'hin' WHEN h > 0 THEN 'eng+hin' ELSE 'eng' END AS language FROM (SELECT doc_id,
 len(regexp_extract_all(t, '[\\x{{0900}}-\\x{{097F}}]')) AS h, len(regexp_extract_all(t, '[A-Za-z]')) AS l FROM (SELECT doc_id, {_MIXED} AS t FROM documents) AS m) AS c""")
 def txt14(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.script_language(F.expr(_MIXED)).alias("language"))
-
-
-_MIXED_WHOLE = "CASE doc_id % 5 WHEN 0 THEN concat(repeat('मृत्यु ', CAST(length(text) / 5 + 1 AS INT)), text) WHEN 1 THEN concat('का ', text) WHEN 2 THEN concat('123 ', text) ELSE text END"
-
-
-@query("txt14_language_whole", ORACLES["txt14_language"].replace(_MIXED, _MIXED_WHOLE))
-def txt14_whole(spark, d):
     """Whole texts with Devanagari words before them."""
-    return table(spark, d, "documents").select("doc_id", X.script_language(F.expr(_MIXED_WHOLE)).alias("language"))
+    return table(spark, d, "documents").select("doc_id", X.script_language(F.expr(_MIXED)).alias("language"))
 
 
 _MARKED = "CASE id % 3 WHEN 0 THEN concat(text, ' [ILLEGIBLE]') WHEN 1 THEN repeat('[ILLEGIBLE] ', 7) ELSE text END"
@@ -200,7 +186,12 @@ def txt16(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"))
 
 
-@query("txt17_sections")
+def _section_sql(name: str) -> str:
+    body = f"trim(regexp_extract(text, '(?is)(?:{name}\\s*[:\\-]?\\s*\\n?)(.*?)(?:\\n\\s*(?:External|Internal|Opinion|Cause|Manner|Toxicology|Histopathology)|$)', 1), {_WS})"
+    return f"CASE WHEN length({body}) > 10 THEN left({body}, 2000) END"
+
+
+@query("txt17_sections", f"SELECT id, {_section_sql('opinion')} AS opinion, {_section_sql('external examination')} AS external FROM {RE} r")
 def txt17(spark, d):
     return view(spark, d, "reports").select("id", X.section(F.col("text"), "opinion").alias("opinion"), X.section(F.col("text"), "external examination").alias("external"))
 
@@ -314,7 +305,6 @@ def jn11(spark, d):
     return codes_by_type(e).select(F.col("id").alias("p_partkey"), "term", "code")
 
 
-@query("cls11_ontology")
 def cls11(spark, d):
     r = view(spark, d, "reports").select("id", F.inline(E.entities(F.col("text"), ["INJURY", "CAUSE_OF_DEATH", "ANATOMICAL_REFERENCE", "TOXICOLOGY_FINDING"])))
     return codes_by_type(r)
@@ -335,6 +325,43 @@ def _patterns(kind: str) -> list[str]:
     return [p for k, p, _, _ in E.PATTERNS if k == kind]
 
 
+_ENDS = r"(?:Injury\s*(?:No\.?\s*)?\d+|External|Internal|Opinion|$)"
+
+
+def _blocks(head: str, ends: str) -> str:
+    """Texts of numbered injuries: what follows a head up to the next one or to another part; no look-ahead in this dialect."""
+    return f"list_transform(regexp_split_to_array(text, {q('(?i)' + head)})[2:], lambda x: trim(regexp_extract(x, {q('(?is)^(.*?)' + ends)}, 1), {_WS}))"
+
+
+_NUMBERED = _values(r"\d+\.\s*((?:Lacerated|Incised|Contusion|Abrasion|Fracture|Bruise|Wound).*?)(?:\d+\.\s*(?:Lacerated|Incised|Contusion)|$)", "(?is)")
+_INJURY_BLOCKS = f"list_filter({_blocks(r'Injury\s*(?:No\.?\s*)?\d*\s*[:\-\.]\s*', _ENDS)}, lambda x: length(x) > 5 AND {any_of(L.INJURY_STEMS, 'lower(x)')})"
+_CAUSE = f"list_filter({_values(r'(?:Cause\s*of\s*Death|C\.?O\.?D\.?)\s*[:\-]\s*(.*?)(?:\n\n|\n[A-Z]|\.\s*\n|$)', '(?is)')}, lambda x: length(x) > 3)"
+
+
+def _values_of(kind: str, pattern: str) -> str:
+    if kind == "CAUSE_OF_DEATH":
+        return _CAUSE
+    if kind == "INJURY":
+        return _INJURY_BLOCKS if pattern == E.INJURY_BLOCK else _NUMBERED
+    found = _values(pattern, "" if kind == "EXAMINING_DOCTOR" else "(?i)")
+    return f"list_filter({found}, lambda x: length(x) > 10)" if kind == "ORGAN_FINDING" else found
+
+
+def _all_entities() -> str:
+    """All entities of ``text`` as one list of structs, in the order of the patterns."""
+    parts: dict[str, list[str]] = {}
+    for kind, pattern, _, sure in E.PATTERNS:
+        cut = 300 if kind == "ORGAN_FINDING" else 500
+        norm = {"DECEASED_GENDER": "CASE WHEN upper(v) IN ('M', 'MALE') THEN 'Male' ELSE 'Female' END", "ANATOMICAL_REFERENCE": q(pattern[3:-3])}.get(kind, f"left(v, {cut})")
+        one = f"{{'entity_type': '{kind}', 'raw_value': left(v, {cut}), 'normalized_value': {norm}, 'confidence': CAST({sure} AS DOUBLE)}}"
+        parts.setdefault(kind, []).append(f"list_transform({_values_of(kind, pattern)}, lambda v: {one})")
+    lists = [f"flatten([{', '.join(p)}])" + ("[1:50]" if k == "ANATOMICAL_REFERENCE" else "") for k, p in parts.items()]
+    return f"flatten([{', '.join(lists)}])"
+
+
+ENTITIES = f"(SELECT id, {_all_entities()} AS es FROM {RE} r)"
+
+
 def _entity_query(name: str, kind: str, oracle: str | None):
     @query(name, oracle)
     def run(spark, d):
@@ -354,30 +381,43 @@ def _concat_all(lists: list[str]) -> str:
 for _name, _kind in (("ent01_case_ids", "CASE_IDENTIFIER"), ("ent02_name", "DECEASED_NAME"), ("ent02_age", "DECEASED_AGE"), ("ent04_manner", "MANNER_OF_DEATH"), ("ent04_time", "TIME_OF_DEATH"), ("ent07_toxicology", "TOXICOLOGY_FINDING")):
     _entity_query(_name, _kind, f"SELECT id, array_to_string({_concat_all([_values(p) for p in _patterns(_kind)])}, '|') AS found FROM {RE} r")
 _entity_query("ent02_gender", "DECEASED_GENDER", f"SELECT id, array_to_string(list_transform({_values(_patterns('DECEASED_GENDER')[0])}, lambda x: CASE WHEN upper(x) IN ('M', 'MALE') THEN 'Male' ELSE 'Female' END), '|') AS found FROM {RE} r")
-_entity_query("ent03_cause", "CAUSE_OF_DEATH", None)
+_entity_query("ent03_cause", "CAUSE_OF_DEATH", f"SELECT id, array_to_string({_CAUSE}, '|') AS found FROM {RE} r")
 _entity_query("ent05_doctor", "EXAMINING_DOCTOR", f"SELECT id, array_to_string({_concat_all([_values(p, '') for p in E.DOCTORS])}, '|') AS found FROM {RE} r")
-_entity_query("ent06_injuries", "INJURY", None)
+_entity_query("ent06_injuries", "INJURY", f"SELECT id, array_to_string(list_concat({_INJURY_BLOCKS}, {_NUMBERED}), '|') AS found FROM {RE} r")
 _entity_query("ent08_anatomy", "ANATOMICAL_REFERENCE", f"SELECT id, array_to_string({_concat_all([f'list_transform({_values(p)}, lambda x: lower(x))' for p in _patterns('ANATOMICAL_REFERENCE')])}[1:50], '|') AS found FROM {RE} r")
 _entity_query("ent09_organs", "ORGAN_FINDING", f"SELECT id, array_to_string(list_filter({_concat_all([_values(p) for p in _patterns('ORGAN_FINDING')])}, lambda x: length(x) > 10), '|') AS found FROM {RE} r")
 
 
-@query("ent10_text_selection", "SELECT doc_id, concat_ws(chr(10), nullif(left(text, 20), ''), lang) AS text FROM documents")
+@query("ent10_text_selection", "SELECT doc_id, concat_ws(chr(10), nullif(text, ''), lang) AS text FROM documents")
 def ent10(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.nullif(F.left("text", F.lit(20)), F.lit("")), F.col("lang")).alias("text"))
-
-
-@query("ent10_text_selection_whole", ORACLES["ent10_text_selection"].replace("left(text, 20)", "text"))
-def ent10_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.nullif("text", F.lit("")), F.col("lang")).alias("text"))
 
 
-@query("ent11_all_entities")
+@query("ent11_all_entities", f"SELECT id, CAST(seq AS INT) AS seq, e.* FROM (SELECT id, unnest(range(len(es))) AS seq, unnest(es) AS e FROM {ENTITIES} x) AS y")
 def ent11(spark, d):
     """The long table of entities with their order (also SET-01)."""
     r = view(spark, d, "reports").select("id", F.posexplode(E.entities(F.col("text"))).alias("seq", "e"))
     return r.select("id", "seq", "e.*")
 
 
+def _coded(kind: str, dictionary: dict) -> str:
+    dim = rows([(i, k, c, n) for i, (k, (c, n)) in enumerate(dictionary.items())], "ord, k, code, name")
+    return f"""SELECT id, term, code, 'ICD-10' AS system, CASE WHEN k = term THEN 0.95 ELSE 0.7 END AS confidence FROM (SELECT id, term, seq, code, k, row_number() OVER (PARTITION BY id, seq ORDER BY k = term DESC, length(k) DESC, ord) AS n
+    FROM (SELECT * FROM terms WHERE entity_type = '{kind}') AS a JOIN {dim} ON contains(term, k) OR contains(k, term)) AS b WHERE n = 1"""
+
+
+def _looked_up(kind: str, table_rows: list[tuple], system: str, sure: float) -> str:
+    return f"SELECT id, term, v, '{system}', {sure} FROM terms JOIN {rows(table_rows, 'k, v')} ON k = term WHERE entity_type = '{kind}'"
+
+
+query(
+    "cls11_ontology",
+    f"""WITH terms AS (SELECT id, seq, e.entity_type AS entity_type, trim(lower(e.normalized_value)) AS term FROM (SELECT id, unnest(range(len(es))) AS seq, unnest(es) AS e FROM {ENTITIES} x) AS y WHERE trim(lower(e.normalized_value)) <> '')
+{_coded('INJURY', L.ICD_INJURIES)} UNION ALL {_coded('CAUSE_OF_DEATH', L.ICD_CAUSES)} UNION ALL {_looked_up('ANATOMICAL_REFERENCE', [(k, f'ANAT:{s}.{r}') for k, (s, r) in L.ANATOMY.items()], 'ANATOMICAL_HIERARCHY', 0.9)}
+UNION ALL {_looked_up('TOXICOLOGY_FINDING', [(k, f'DRUG:{v[0]}.{v[2]}') for k, v in L.DRUG_CLASSES.items()], 'DRUG_CLASSIFICATION', 0.85)}""",
+)(cls11)
+
+
 @query("ent11_spans")
 def ent11_spans(spark, d):
     r = view(spark, d, "reports").select("id", F.posexplode(E.entity_spans(F.col("text"))).alias("seq", "e"))
@@ -402,22 +442,35 @@ def ent12(spark, d):
     )
 
 
-@query("ent13_injury_list")
+_DIMS = ["(?i)" + p for p in E.DIMENSIONS]
+
+
+def _dims_sql(text: str) -> str:
+    return f"coalesce({', '.join(f'nullif(trim(regexp_extract({text}, {q(p)}, 1)), {q(str())})' for p in _DIMS)}, '')"
+
+
+@query("ent13_injury_list", f"""SELECT id, CAST(seq AS INT) AS seq, left(d, 500) AS description, {class_sql(L.FIELD_INJURY, 'unclassified', 'lower(d)')} AS injury_type, {class_sql(L.FIELD_REGION, 'unspecified', 'lower(d)')} AS body_region, {_dims_sql('d')} AS dimensions
+FROM (SELECT id, unnest(range(len(ds))) AS seq, unnest(ds) AS d FROM (SELECT id, list_filter(list_concat({_blocks(r'Injury\s*(?:No\.?\s*)?\d+\s*[:\-\.]\s*', _ENDS.replace('External', 'External\\s*Examination'))}, {_NUMBERED}), lambda x: length(x) >= 5) AS ds FROM {RE} r) AS a) AS b""")
 def ent13(spark, d):
     r = view(spark, d, "reports").select("id", F.posexplode(E.report_injuries(F.col("text"))).alias("seq", "i"))
     return r.select("id", "seq", "i.*")
 
 
-@query("ent14_toxicology_list")
+def _tox_rows(source: str) -> str:
+    """(id, seq, substance, result, concentration, unit) of the toxicology lines of ``source``."""
+    found = f"list_transform(list_concat(regexp_extract_all(text, {q('(?i)' + E.TOX_LINE)}), regexp_extract_all(text, {q('(?i)' + E.TOX_NAMED)})), lambda x: trim(x, {_WS}))"
+    return f"""(SELECT id, seq, substance, CASE WHEN r = '' THEN 'detected' ELSE r END AS result, regexp_extract(CASE WHEN r = '' THEN 'detected' ELSE r END, {q(E.TOX_AMOUNT)}, 1) AS concentration, regexp_extract(r, {q(E.TOX_AMOUNT)}, 2) AS unit
+    FROM (SELECT id, CAST(seq AS INT) AS seq, trim(regexp_extract(x, '(?s)^(.*?)(?:[:\\-]\\s*|$)', 1)) AS substance, trim(regexp_extract(x, '(?s)^.*?[:\\-]\\s*(.*)$', 1)) AS r
+    FROM (SELECT id, unnest(range(len(xs))) AS seq, unnest(xs) AS x FROM (SELECT id, {found} AS xs FROM {source} s0) AS a) AS b) AS c)"""
+
+
+@query("ent14_toxicology_list", f"SELECT * FROM {_tox_rows(RE)} t")
 def ent14(spark, d):
     r = view(spark, d, "reports").select("id", F.posexplode(E.report_toxicology(F.col("text"))).alias("seq", "t"))
     return r.select("id", "seq", "t.*")
 
 
-_DIMS = [r"(?i)(\d+\.?\d*\s*[xX×]\s*\d+\.?\d*(?:\s*[xX×]\s*\d+\.?\d*)?\s*(?:cm|mm|inch))", r"(?i)(\d+\.?\d*\s*(?:cm|mm)\s*[xX×]\s*\d+\.?\d*\s*(?:cm|mm))", r"(?i)(\d+\.?\d*\s*(?:cm|mm)(?:\s*(?:in\s*)?(?:diameter|length|width|depth))?)"]
-
-
-@query("ent15_dimensions", f"SELECT id, coalesce({', '.join(f'nullif(trim(regexp_extract(text, {q(p)}, 1)), {q(str())})' for p in _DIMS)}, '') AS dimensions FROM {RE} r")
+@query("ent15_dimensions", f"SELECT id, {_dims_sql('text')} AS dimensions FROM {RE} r")
 def ent15(spark, d):
     return view(spark, d, "reports").select("id", E.dimensions(F.col("text")).alias("dimensions"))
 
@@ -548,3 +601,61 @@ def mth02(spark, d):
 @query("mth05_deskew", f"SELECT id, n, CASE WHEN abs(a) < 0.3 THEN 0.0 ELSE a END AS angle FROM (SELECT id, n, greatest(-15.0, least(15.0, value - 25)) AS a FROM {ME} me) AS x")
 def mth05(spark, d):
     return view(spark, d, "measurements").select("id", "n", M.deskew_angle(F.col("value") - 25).alias("angle"))
+
+
+# ---------------------------------------------------------------- the whole normalization
+
+
+def _normalized(faithful: bool) -> str:
+    """Cleaned, standardized and resolved texts, counts and types of entities, and toxicology with levels."""
+    entities = _all_entities()
+    return f"""WITH cleaned AS (SELECT id, {_CLEAN} AS text FROM (SELECT id, nfc_normalize(text) AS text FROM {RE} r) AS n),
+standard AS (SELECT id, {_STD} AS text FROM {_abbrev(source='cleaned')} x), resolved AS (SELECT id, {_synonyms()} AS text FROM standard),
+source AS (SELECT * FROM {'resolved' if faithful else 'cleaned'}), found AS (SELECT id, list_transform({entities}, lambda e: e.entity_type) AS kinds FROM source),
+tox AS (SELECT id, string_agg(concat_ws(':', name, coalesce(res.v, result), level), '|' ORDER BY seq) AS toxicology FROM
+(SELECT *, {_LEVEL} AS level FROM (SELECT t.*, coalesce(sub.v, substance) AS name, lower(coalesce(sub.v, substance)) AS s, TRY_CAST(regexp_replace(concentration, '[^\\d.]', '', 'g') AS DOUBLE) AS amount FROM {_tox_rows('source')} t
+LEFT JOIN {rows(list(L.SUBSTANCES.items()), 'k, v').replace('AS t(', 'AS sub(')} ON sub.k = lower(substance)) AS a) AS b LEFT JOIN {rows(_RESULTS, 'k, v').replace('AS t(', 'AS res(')} ON res.k = lower(result) GROUP BY id)
+SELECT c.id, c.text AS cleaned, s.text AS standardized, r.text AS resolved, CAST(len(f.kinds) AS INT) AS entity_count, array_to_string(list_sort(list_distinct(f.kinds)), ',') AS entity_types, coalesce(t.toxicology, '') AS toxicology
+FROM cleaned c JOIN standard s USING (id) JOIN resolved r USING (id) JOIN found f USING (id) LEFT JOIN tox t USING (id)"""
+
+
+@query("normalize_all", _normalized(False))
+def normalize_all(spark, d):
+    """All stages over all reports: cleaned, standardized, resolved texts, entities, codes, quality (section 3.2)."""
+    from ..operators.normalize import normalize
+
+    return normalize(view(spark, d, "reports"))
+
+
+@query("normalize_faithful", _normalized(True))
+def normalize_faithful(spark, d):
+    from ..operators.normalize import normalize
+
+    return normalize(view(spark, d, "reports"), faithful=True)
+
+
+def _of(kind: str, at: int) -> str:
+    return f"list_filter(es, lambda e: e.entity_type = '{kind}')[{at}].normalized_value"
+
+
+def _canonical(table_: dict, value: str, alias: str) -> tuple[str, str]:
+    return f"coalesce({alias}.v, trim(lower({value})))", f"LEFT JOIN {rows(list(table_.items()), 'k, v').replace('AS t(', f'AS {alias}(')} ON {alias}.k = trim(lower({value}))"
+
+
+_MANNER, _MANNER_JOIN = _canonical(L.MANNERS, "manner_raw", "mn")
+_TYPE, _TYPE_JOIN = _canonical(L.INJURY_TYPES, "string_split(d, ' ')[1]", "ty")
+
+
+@query(
+    "cls12_13_autopsy_metadata",
+    f"""WITH a AS (SELECT id, es, {_of('CAUSE_OF_DEATH', 1)} AS cause, {_of('MANNER_OF_DEATH', 1)} AS manner_raw, {_of('TIME_OF_DEATH', 1)} AS time, {_of('EXAMINING_DOCTOR', 1)} AS examiner, {_of('CASE_IDENTIFIER', 1)} AS case_number,
+{_of('DECEASED_NAME', -1)} AS name, {_of('DECEASED_AGE', -1)} AS years, {_of('DECEASED_GENDER', -1)} AS gender FROM {ENTITIES} x),
+i AS (SELECT id, string_agg(concat_ws('/', {_TYPE}, {class_sql(L.SEVERITY, 'UNCLASSIFIED', 'lower(d)')}, {class_sql(L.WOUND_AGE, 'UNDETERMINED', 'lower(d)')}), '|' ORDER BY seq) AS injuries FROM
+(SELECT id, unnest(range(len(vs))) AS seq, unnest(vs) AS d FROM (SELECT id, list_transform(list_filter(es, lambda e: e.entity_type = 'INJURY'), lambda e: e.normalized_value) AS vs FROM a) AS b) AS c {_TYPE_JOIN} GROUP BY id)
+SELECT a.id, cause, CASE WHEN cause IS NOT NULL THEN {class_sql(L.CAUSES, 'UNDETERMINED', 'lower(cause)')} ELSE 'UNDETERMINED' END AS cause_class, {_MANNER} AS manner, time, examiner, case_number, name, TRY_CAST(years AS INT) AS age, CASE WHEN TRY_CAST(years AS INT) IS NULL THEN years END AS age_text, gender, coalesce(injuries, '') AS injuries
+FROM a LEFT JOIN i USING (id) {_MANNER_JOIN}""",
+)
+def cls12(spark, d):
+    from ..operators.normalize import autopsy_metadata
+
+    return autopsy_metadata(view(spark, d, "reports")).withColumn("injuries", F.array_join("injuries", "|"))

@@ -28,34 +28,34 @@ def plain_pages(doc_id, text):
 
 def test_layout_takes_every_document(spark, small):
     want = {i: plain_pages(i, t) for i, t in TEXTS.items()}
-    lines = [x for x in QUERIES["agg10_lines_whole"](spark, small).collect() if x.doc_id in TEXTS]
+    lines = [x for x in QUERIES["agg10_lines"](spark, small).collect() if x.doc_id in TEXTS]
     assert {(x.doc_id, x.page, x.line): x.text for x in lines} == {(i, p, n): t for i, ps in want.items() for p, ls in ps.items() for n, t in ls.items()}
     pages = {i: {p: "\n".join(ls[n] for n in sorted(ls)) for p, ls in ps.items()} for i, ps in want.items()}
-    got = [x for x in QUERIES["agg11_pages_whole"](spark, small).collect() if x.doc_id in TEXTS]
+    got = [x for x in QUERIES["agg11_pages"](spark, small).collect() if x.doc_id in TEXTS]
     assert {(x.doc_id, x.page): x.text for x in got} == {(i, p): t for i, ps in pages.items() for p, t in ps.items()}
-    docs = {x.doc_id: (x.text_md5, x.pages) for x in QUERIES["agg11_documents_whole"](spark, small).collect() if x.doc_id in TEXTS}
+    docs = {x.doc_id: (x.text_md5, x.pages) for x in QUERIES["agg11_documents"](spark, small).collect() if x.doc_id in TEXTS}
     joined = {i: "\n\n--- Page Break ---\n\n".join(ps[p] for p in sorted(ps)) for i, ps in pages.items()}
     assert docs == {i: (hashlib.md5(t.encode()).hexdigest(), len(pages[i])) for i, t in joined.items() if pages[i]}
 
 
 def test_cleaning_takes_whole_texts(spark, small):
     """The long text has 900 controls, tabs and runs of spaces; all are cleaned and its end is there."""
-    for name, column in (("txt01_clean_whole", "text"), ("txt06_nested_clean_whole", "v")):
+    for name, column in (("txt01_clean", "text"), ("txt06_nested_clean", "v")):
         got = {x.doc_id: x[column] for x in QUERIES[name](spark, small).collect()}
         assert got[20] == "ab c " * 900 + "the end\nx \ny"
         assert all(TEXTS[i] in got[i] for i in TEXTS)
-    controls = {x.doc_id: x.text for x in QUERIES["txt04_controls_whole"](spark, small).collect()}[20]
+    controls = {x.doc_id: x.text for x in QUERIES["txt04_controls"](spark, small).collect()}[20]
     assert "\u0007" not in controls and controls.count("c") == 900
-    spaces = {x.doc_id: x.text for x in QUERIES["txt03_spaces_whole"](spark, small).collect()}[20]
+    spaces = {x.doc_id: x.text for x in QUERIES["txt03_spaces"](spark, small).collect()}[20]
     assert "\t" not in spaces and "  " not in spaces and spaces.count("\u0007b c") == 900
-    ends = {x.doc_id: x.text for x in QUERIES["txt05_line_ends_whole"](spark, small).collect()}[20]
+    ends = {x.doc_id: x.text for x in QUERIES["txt05_line_ends"](spark, small).collect()}[20]
     assert "\r" not in ends and ends.count("c") == 900
 
 
 def test_language_and_selection_take_whole_texts(spark, small):
-    got = {x.doc_id: x.language for x in QUERIES["txt14_language_whole"](spark, small).collect()}
+    got = {x.doc_id: x.language for x in QUERIES["txt14_language"](spark, small).collect()}
     assert got == {1: "eng+hin", 2: "eng", 5: "hin", 7: "eng", 13: "eng", 20: "hin", 21: "hin"}
-    texts = {x.doc_id: x.text for x in QUERIES["ent10_text_selection_whole"](spark, small).collect()}
+    texts = {x.doc_id: x.text for x in QUERIES["ent10_text_selection"](spark, small).collect()}
     assert all(texts[i] == t + "\nen" for i, t in TEXTS.items()) and texts[21] == ""
 
 
