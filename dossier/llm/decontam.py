@@ -23,6 +23,8 @@ BLOCK = 1 << 16
 INDEX_CHARS = 1 << 22
 #: Hits that are held at once before they are counted, and cells of an alignment that go together.
 HITS, CELLS = 1 << 21, 1 << 20
+#: Buckets of the first, rough count of a block's hits.
+BUCKETS = 1 << 17
 
 _FOLD_TO = 0x20000
 _START = 32  # bits of a band's first place in an alignment's value
@@ -143,15 +145,31 @@ class Index:
         part = np.searchsorted(np.cumsum(n), np.arange(HITS, int(n.sum()) + HITS, HITS), "right") + 1
         least = int(self.size.max())
         width = ((len(text) + least) >> int(self.shift.min())) + 3
-        cell, place = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for a, b in zip([0, *part[:-1].tolist()], part.tolist()):
+        spans = list(zip([0, *part[:-1].tolist()], part.tolist()))
+
+        def cells(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             g, few = gram[a:b], n[a:b]
             k = _ranges(self.first[g].astype(np.int64), few)
             item, p = self.item[k].astype(np.int64), self.place[k].astype(np.int64)
-            c = item * width + ((np.repeat(at[a:b], few) - p + least) >> self.shift[item]) + 1
-            cell, place = distinct_pairs(np.concatenate([cell, c]), np.concatenate([place, p]))
-        full, first, n = np.unique(cell, return_index=True, return_counts=True)
-        pair = np.unique(np.concatenate([full, full - 1]))  # a band and the next one, by the first of them
+            return item * width + ((np.repeat(at[a:b], few) - p + least) >> self.shift[item]) + 1, p, item
+
+        # all hits of a band and of those that share its bucket: too few even so in most
+        kept = cells(*spans[0]) if len(spans) == 1 else None
+        rough = np.zeros(BUCKETS, np.int64)
+        for span in spans:
+            rough += np.bincount((kept or cells(*span))[0] % BUCKETS, minlength=BUCKETS)
+        cell, place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for span in spans:
+            c, p, item = kept or cells(*span)
+            own, need = rough[c % BUCKETS], self.need[item]
+            on = (own + rough[(c + 1) % BUCKETS] >= need) | (own + rough[(c - 1) % BUCKETS] >= need)
+            cell, place = distinct_pairs(np.concatenate([cell, c[on]]), np.concatenate([place, p[on]]))
+        if not len(cell):
+            return cell, place
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        full, n = cell[first], np.diff(np.append(first, len(cell)))
+        pair = np.sort(np.concatenate([full, full - 1]))  # a band and the next one, by the first of them
+        pair = pair[np.append(True, pair[1:] != pair[:-1])]
 
         def held(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             k = np.minimum(np.searchsorted(full, cells), len(full) - 1)
