@@ -124,12 +124,14 @@ def placed_vectors(classes: DataFrame, basis, side: float) -> DataFrame:
 def tile_vectors(placed: DataFrame, side: float) -> tuple[DataFrame, DataFrame]:
     """``placed`` with a tile number, each vector in one tile of bounded size; and the tile pairs (lo, hi, pair) to compare.
 
-    A cell of more than TILE_NUMBERS numbers is cut into slabs at quantiles of the third coordinate, and a
+    A label of up to TILE_NUMBERS numbers is one cell. A cell of more than that is cut into slabs at quantiles of the third coordinate, and a
     slab that ties leave too large by a hash. Of each tile the box of its leading coordinates is kept; two
     tiles are compared only if their cells are neighbours and their boxes come as near as linked vectors.
     """
     cell = ["label", "dim", "c1", "c2"]
     much = lambda n: F.ceil(n * F.col("dim") / TILE_NUMBERS).cast("int")
+    few = materialize(placed.groupBy("label", "dim").agg(F.count("*").alias("n")).where(much(F.col("n")) <= 1).select("label", "dim", F.lit(True).alias("one")), "few")
+    placed = placed.join(broadcast_if_small(few), ["label", "dim"], "left").withColumns({c: F.when(F.col("one"), 0).otherwise(F.col(c)).cast("int") for c in ("c1", "c2")}).drop("one")
     at = F.array(*[F.lit(i / SLABS) for i in range(1, SLABS)])
     cells = placed.groupBy(*cell).agg(F.count("*").alias("n"), F.percentile_approx(F.element_at("lead", 3), at, 2000).alias("q")).where(much(F.col("n")) > 1)
     cells = materialize(cells.select(*cell, F.least(much(F.col("n")), F.lit(SLABS)).alias("slabs"), "q"), "cells")
