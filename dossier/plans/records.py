@@ -167,7 +167,7 @@ _INPUT = "(event_id * 7919) % 10007"
 
 @query("win02_timeline", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS place, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS VARCHAR), event_id) AS INT) AS text_place FROM events")
 def win02(spark, d):
-    """Order by parsed time and by the text of the time; also UDF-09."""
+    """Order by parsed time and by the text of the time."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id")
@@ -191,13 +191,39 @@ def dt07(spark, d):
 
 @query("jn15_source_match", "SELECT event_id, abs(s) <= 300 AS matched, abs(s) AS spread FROM (SELECT event_id, CAST(event_id % 700 AS DOUBLE) AS s FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, 0.0 FROM events WHERE event_id % 3 = 0) AS x")
 def jn15(spark, d):
-    """Three sources, of which two may be missing; also JN-16."""
+    """Three sources, of which two may be missing."""
     at = F.col("ts").cast("timestamp")
     other = F.when(F.expr("event_id % 3 <> 0"), at + F.make_interval(secs=F.expr("CAST(event_id % 700 AS DECIMAL(18, 6))")))
     m, s = timeline.source_match([at, other, F.lit(None).cast("timestamp")])
     return table(spark, d, "events").select("event_id", m.alias("matched"), F.round(s, 3).alias("spread"))
 
 
+# Answers that do not depend on the input.
+CORRELATION = {"timeline_match": True, "matched_sources": ["CCTV", "GPS", "Mobile Metadata"], "confidence": 0.91}
+DEMO_TIMELINE = [("2026-05-09T10:00:00", "Victim last seen"), ("2026-05-09T12:30:00", "CCTV footage recorded"), ("2026-05-09T15:00:00", "Body discovered")]
+AUTOPSY = {"cause_of_death": "Blunt force trauma", "estimated_time": "6-8 hours"}
+
+
+@query("jn16_correlation", "SELECT o_orderkey AS id, true AS timeline_match, 'CCTV|GPS|Mobile Metadata' AS matched_sources, 0.91 AS confidence FROM orders")
+def jn16(spark, d):
+    """The constant correlation of any metadata payload."""
+    c = CORRELATION
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(c["timeline_match"]).alias("timeline_match"), F.lit("|".join(c["matched_sources"])).alias("matched_sources"), F.lit(c["confidence"]).alias("confidence"))
+
+
+@query("udf07_autopsy", f"SELECT id, text, 'Blunt force trauma' AS cause_of_death, '6-8 hours' AS estimated_time FROM {duck('reports')} r")
+def udf07(spark, d):
+    """The autopsy analysis: the text of the report with fixed findings."""
+    return view(spark, d, "reports").select("id", "text", *[F.lit(v).alias(k) for k, v in AUTOPSY.items()])
+
+
+@query("udf09_demo_timeline", "SELECT c_custkey AS case_id, place, t.stamp AS timestamp, t.event FROM customer, (VALUES (0, '2026-05-09T10:00:00', 'Victim last seen'), (1, '2026-05-09T12:30:00', 'CCTV footage recorded'), (2, '2026-05-09T15:00:00', 'Body discovered')) AS t(place, stamp, event)")
+def udf09(spark, d):
+    """The fixed demo timeline of every case."""
+    rows_ = F.array(*[F.struct(F.lit(a).alias("timestamp"), F.lit(e).alias("event")) for a, e in DEMO_TIMELINE])
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.posexplode(rows_).alias("place", "e")).select("case_id", "place", "e.*")
+
+
 @query("jn15_matching_pairs", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.event_type = 'click' AND b.event_type = 'purchase' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 300000000")
 def jn15_pairs(spark, d):
     e = table(spark, d, "events")
