@@ -40,3 +40,10 @@ def test_matches_plain_both_ways(spark, monkeypatch):
 
 def test_empty(spark):
     assert drop_boilerplate(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_small_host_loses_what_repeats(spark):
+    """On a host of four pages a line of all four goes, lines of one page stay; a host of one page loses nothing."""
+    rows = [(i, "four", f"Menu\nonly {i}") for i in range(4)] + [(9, "one", "Menu\nonly 9")]
+    got = {x.doc_id: (x.text, x.n_dropped) for x in drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == {i: (f"only {i}", 1) for i in range(4)} | {9: ("Menu\nonly 9", 0)}

@@ -34,7 +34,7 @@ def test_stages_keep_columns_and_match_plain_versions(spark, tables):
             want = {i for i, t in texts.items() if logistic(SLOPE * model.margin(find(t or ""))) >= ACCEPT}
             assert set(got) == want and 0 < len(want) < len(rows)
         elif name == "line_dedup":
-            lines = plain_lines([(i, x.source, x.text) for i, x in rows.items()], 0.08, 5)
+            lines = plain_lines([(i, x.source, x.text) for i, x in rows.items()], 0.08, 2)
             assert {i: x.text for i, x in got.items()} == {i: t for i, t, _, _ in lines}
             assert all(x.n_chars == len(x.text) for x in got.values())
         elif name == "simhash_dedup":
