@@ -18,12 +18,16 @@ def anomaly(kind: str, grade: str, field: str, when: Column) -> Column:
     return F.when(when, F.struct(F.lit(kind).alias("anomaly_type"), F.lit(grade).alias("severity"), F.lit(field).alias("field")))
 
 
-def anomalies(now: Column, fields: dict[str, Column], lat: Column, lon: Column, error: Column, page_count: Column, file_size: Column) -> Column:
-    """Array of (anomaly_type, severity, field) of a metadata record; absent fields are empty or null. ``now`` is given, so that a run can be repeated."""
+def anomalies(now: Column, fields: dict[str, Column], lat: Column, lon: Column, error: Column, page_count: Column, file_size: Column, parsed: dict[str, Column] | None = None) -> Column:
+    """Array of (anomaly_type, severity, field) of a metadata record; absent fields are empty or null. ``now`` is given, so that a run can be repeated.
+
+    ``parsed``: columns that hold the fields' timestamps already. Reading one is a chain of patterns, so a
+    caller that uses them again reads each once.
+    """
     found = []
     for name, value in fields.items():
         given = F.coalesce(value, F.lit("")) != ""
-        at, _ = parse_timestamp(value)
+        at = parsed[name] if parsed else parse_timestamp(value)[0]
         found += [
             anomaly("unparseable_timestamp", "warning", name, given & at.isNull()),
             anomaly("future_timestamp", "critical", name, at > now + F.expr("INTERVAL 1 DAY")),

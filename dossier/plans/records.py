@@ -43,21 +43,27 @@ _COUNT = " + ".join(f"CAST(coalesce({c}, false) AS INT)" for _, _, c in _RULES)
 _CRITICAL = " + ".join(f"CAST(coalesce({c}, false) AS INT)" for _, s, c in _RULES if s == "critical")
 
 
+def _dated(spark, d):
+    """The metadata view with both of its dates read once."""
+    return view(spark, d, "metadata").withColumns({"made": M.parse_timestamp(F.col("creation_date"))[0], "changed": M.parse_timestamp(F.col("modification_date"))[0]})
+
+
 def _anomalies():
+    """Of rows of _dated."""
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
     fields = {"creation_date": F.col("creation_date"), "modification_date": F.col("modification_date")}
-    return quality.anomalies(F.to_timestamp(F.lit(NOW)), fields, empty("lat"), empty("lon"), F.col("error"), F.col("page_count"), F.col("file_size"))
+    return quality.anomalies(F.to_timestamp(F.lit(NOW)), fields, empty("lat"), empty("lon"), F.col("error"), F.col("page_count"), F.col("file_size"), {"creation_date": F.col("made"), "modification_date": F.col("changed")})
 
 
 @query("anm_all", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT id, '{k}' AS anomaly_type, '{s}' AS severity FROM {_DATES} d WHERE {c}" for k, s, c in _RULES) + ") AS a")
 def anm_all(spark, d):
     """ANM-01, ANM-02, DT-06, GEO-03 and SET-02: all checks in one pass."""
-    return view(spark, d, "metadata").select("id", F.inline(_anomalies())).select("id", "anomaly_type", "severity")
+    return _dated(spark, d).select("id", F.inline(_anomalies())).select("id", "anomaly_type", "severity")
 
 
 @query("agg17_anomaly_counts", f"SELECT id, {_COUNT} AS anomaly_count, {_CRITICAL} AS critical_count FROM {_DATES} d")
 def agg17(spark, d):
-    m = view(spark, d, "metadata").withColumn("a", _anomalies())
+    m = _dated(spark, d).withColumn("a", _anomalies())
     return m.select("id", F.size("a").alias("anomaly_count"), F.size(F.filter("a", lambda x: x["severity"] == "critical")).alias("critical_count"))
 
 
@@ -68,8 +74,7 @@ _PRESENT = " + ".join(f"CAST(coalesce({f}, false) AS INT)" for f in _FLAGS)
 @query("agg09_quality", f"""SELECT id, p AS present_fields, round(p / 13.0, 4) AS completeness, round(greatest(0.0, p / 13.0 - (least(n * 0.1, 0.5) + c * 0.15)), 4) AS overall, n AS anomaly_count
 FROM (SELECT id, {_PRESENT} AS p, {_COUNT} AS n, {_CRITICAL} AS c FROM {_DATES} d) AS q""")
 def agg09(spark, d):
-    made, _ = M.parse_timestamp(F.col("creation_date"))
-    changed, _ = M.parse_timestamp(F.col("modification_date"))
+    made, changed = F.col("made"), F.col("changed")
     lat, lon, _ = M.checked_location(F.col("lat").try_cast("double"), F.col("lon").try_cast("double"))
     yes = F.lit(True)
     fields = {
@@ -79,7 +84,7 @@ def agg09(spark, d):
         "temporal_events": made.isNotNull() | changed.isNotNull(), "locations": lat.isNotNull() & lon.isNotNull(),
     }
     r = quality.quality_report(fields, F.col("a"))
-    m = view(spark, d, "metadata").withColumn("a", _anomalies())
+    m = _dated(spark, d).withColumn("a", _anomalies())
     return m.select("id", *[r[c].alias(c) for c in ("present_fields", "completeness", "overall", "anomaly_count")])
 
 
