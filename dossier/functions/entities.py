@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .classify import field_injury, field_region, holds_any
 from .lexicon import ANATOMY_TERMS, INJURY_STEMS, ORGANS, TOX_STEMS
-from .text import FLAGS, strip
+from .text import FLAGS, bind, strip
 
 DOT = FLAGS + "(?s)"
 # The patterns of report parts.
@@ -49,6 +49,7 @@ PATTERNS: list[tuple[str, str, str, float]] = [
     *[("ORGAN_FINDING", rf"({o}\s*[:\-]\s*.*?)(?:\n|$)", FLAGS, 0.7) for o in ORGANS],
 ]
 MOST_ANATOMICAL = 50
+ENTITIES = "array<struct<entity_type:string,raw_value:string,normalized_value:string,confidence:double>>"
 
 
 def _keep(kind: str, pattern: str, value: Column) -> Column:
@@ -71,22 +72,22 @@ def _normal(kind: str, pattern: str, value: Column) -> Column:
 
 def entities(text: Column, kinds: list[str] | None = None) -> Column:
     """Array of (entity_type, raw_value, normalized_value, confidence) in the order of PATTERNS; references to anatomy are capped at 50."""
+    return bind(F.lower(F.upper(text)), lambda low: _entities(text, low, kinds))
+
+
+def _entities(text: Column, low: Column, kinds: list[str] | None) -> Column:
     parts: dict[str, list[Column]] = {}
-    low = F.lower(F.upper(text))
     for kind, pattern, flags, confidence in PATTERNS:
         if kinds and kind not in kinds:
             continue
-        matches = F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(1))
+        found = F.transform(F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(1)), strip)
+        made = F.transform(F.filter(found, _test(kind, pattern)), _struct(kind, pattern, confidence, 300 if kind == "ORGAN_FINDING" else 500))
         word = _needed(kind, pattern)
         if word:  # a plain search for what every match holds spares most patterns
-            matches = F.when(F.contains(low, F.lit(word)), matches).otherwise(F.array().cast("array<string>"))
-        found = F.transform(matches, strip)
-        some = F.filter(found, _test(kind, pattern))
-        cut = 300 if kind == "ORGAN_FINDING" else 500
-        made = F.transform(some, _struct(kind, pattern, confidence, cut))
+            made = F.when(F.contains(low, F.lit(word)), made).otherwise(F.array().cast(ENTITIES))
         parts.setdefault(kind, []).append(made)
     arrays = [F.slice(F.concat(*p), 1, MOST_ANATOMICAL) if k == "ANATOMICAL_REFERENCE" else F.concat(*p) for k, p in parts.items()]
-    return F.coalesce(F.concat(*arrays), F.array().cast("array<struct<entity_type:string,raw_value:string,normalized_value:string,confidence:double>>"))
+    return F.coalesce(F.concat(*arrays), F.array().cast(ENTITIES))
 
 
 def _needed(kind: str, pattern: str) -> str | None:

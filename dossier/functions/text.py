@@ -51,8 +51,11 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC; there is no built-in, so texts that are not plain ASCII go through Arrow."""
-    return F.when(c.rlike(r"\A\p{ASCII}*\z"), c).otherwise(_nfc(c))
+    """Unicode NFC; there is no built-in, so texts with more bytes than characters go through Arrow, others as null.
+
+    A condition around the call would not spare them: Python columns are computed for all rows first.
+    """
+    return F.coalesce(_nfc(F.when(F.octet_length(c) > F.length(c), c)), c)
 
 
 def collapse_spaces(c: Column) -> Column:
