@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import records, relational, texts  # noqa: F401
+from . import files, records, relational, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -18,6 +18,8 @@ from ..functions.classify import category, resolve_mime
 from ..functions.measures import dms
 
 PREVIEW, JSON_PREVIEW = 1000, 2000
+#: Rows from which the types of a CSV file's columns are read.
+CSV_SAMPLE = 100
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +88,19 @@ def csv_metadata(spark: SparkSession, path: str, sample: float = 1.0) -> DataFra
     return lines.select(names.alias("columns"), F.lit(len(df.columns)).alias("column_count"), kinds.alias("dtypes"), "total_rows")
 
 
-# ---------------------------------------------------------------- container formats
+# ---------------------------------------------------------------- formats read from bytes
+
+
+def csv_file(content: bytes) -> dict[str, str]:
+    """Columns and their types by the first CSV_SAMPLE rows; total_rows is the number of physical lines less the header."""
+    head = pd.read_csv(io.BytesIO(content), nrows=CSV_SAMPLE)
+    kind = lambda t: str(t) if pd.api.types.is_numeric_dtype(t) or pd.api.types.is_bool_dtype(t) else "object"
+    names = [str(c) for c in head.columns]
+    return {
+        "columns": ",".join(names), "column_count": str(len(names)), "row_count_sample": str(len(head)),
+        "dtypes": ",".join(f"{n}:{kind(t)}" for n, t in zip(names, head.dtypes)),
+        "total_rows": str(sum(1 for _ in io.TextIOWrapper(io.BytesIO(content), "utf-8")) - 1),
+    }
 
 
 def _core(z: zipfile.ZipFile) -> dict[str, str]:
@@ -120,13 +134,8 @@ def xlsx(content: bytes) -> dict[str, str]:
 
 
 def pdf(content: bytes) -> dict[str, str]:
-    """Page count, document information and the text of simple content streams; what cannot be read is left out."""
-    out = {"page_count": str(len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", content)))}
-    for key, name in (("Author", "author"), ("Creator", "creator"), ("Producer", "producer"), ("Title", "title"), ("Subject", "subject"), ("CreationDate", "creation_date"), ("ModDate", "modification_date")):
-        m = re.search(rb"/" + key.encode() + rb"\s*\(((?:[^()\\]|\\.)*)\)", content)
-        if m:
-            out[name] = m[1].decode("latin-1")
-    text = []
+    """Page count and document information, in object streams too, and the text of simple content streams; what cannot be read is left out."""
+    streams = []
     for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
         data = m[1]
         if data[:1] == b"\x78":
@@ -134,7 +143,14 @@ def pdf(content: bytes) -> dict[str, str]:
                 data = zlib.decompress(data)
             except zlib.error:
                 continue
-        text += [t.decode("latin-1") for t in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", data)]
+        streams.append((b"/ObjStm" in content[max(content.rfind(b"obj", 0, m.start()), 0) : m.start()], data))
+    objects = b"\n".join([content, *(data for packed, data in streams if packed)])
+    out = {"page_count": str(len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", objects)))}
+    for key, name in (("Author", "author"), ("Creator", "creator"), ("Producer", "producer"), ("Title", "title"), ("Subject", "subject"), ("CreationDate", "creation_date"), ("ModDate", "modification_date")):
+        m = re.search(rb"/" + key.encode() + rb"\s*\(((?:[^()\\]|\\.)*)\)", objects)
+        if m:
+            out[name] = m[1].decode("latin-1")
+    text = [t.decode("latin-1") for packed, data in streams if not packed for t in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", data)]
     return out | {"content_preview": "\n".join(text)[:PREVIEW]}
 
 
@@ -245,6 +261,7 @@ def probe_columns(probe: Column) -> dict[str, Column]:
 
 #: mime -> reader of bytes; add your own with register()
 READERS: dict[str, Callable[[bytes], dict[str, str]]] = {
+    "text/csv": csv_file,
     "application/pdf": pdf,
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": docx,
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": xlsx,
@@ -275,13 +292,13 @@ def extract(files: DataFrame, readers: dict[str, Callable[[bytes], dict[str, str
 
     known = files.where(F.col("mime").isin(*table))
     binary = known.select("path", "mime", "content").mapInPandas(run, "path string, mime string, meta_type string, metadata map<string,string>")
-    text = files.where(F.col("mime").isin("text/plain", "text/csv")).select("path", "mime", F.col("content").cast("string").alias("t"))
+    text = files.where(F.col("mime") == "text/plain").select("path", "mime", F.col("content").cast("string").alias("t"))
     as_map = lambda cols: F.map_filter(F.create_map(*[x for n, c in cols.items() for x in (F.lit(n), c.cast("string"))]), lambda k, v: v.isNotNull())
     plain = text.select("path", "mime", F.lit("document").alias("meta_type"), as_map(text_metadata(F.col("t"))).alias("metadata"))
     j = files.where("mime = 'application/json'").select("path", "mime", F.col("content").cast("string").alias("t"))
     meta = json_metadata(F.col("t"))
     structured = j.select("path", "mime", F.when(meta["error"].isNull(), "structured").otherwise("error").alias("meta_type"), as_map({**meta, "top_level_keys": F.array_join(meta["top_level_keys"], ","), "sample_keys": F.array_join(meta["sample_keys"], ",")}).alias("metadata"))
-    others = files.where(F.col("mime").isNull() | ~F.col("mime").isin(*table, "text/plain", "text/csv", "application/json"))
+    others = files.where(F.col("mime").isNull() | ~F.col("mime").isin(*table, "text/plain", "application/json"))
     unknown = others.select("path", "mime", F.lit("unknown").alias("meta_type"), F.create_map(F.lit("warning"), F.lit("no reader for this type")).alias("metadata"))
     return binary.unionByName(plain).unionByName(structured).unionByName(unknown)
 

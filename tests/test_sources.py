@@ -2,6 +2,7 @@ import io
 import json
 import struct
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,21 @@ def test_readers(meta):
     assert meta["h.json"][1]["top_level_keys"] == "a,b" and meta["i.json"][1]["record_count"] == "2" and meta["i.json"][1]["sample_keys"] == "x"
 
 
+def test_csv_types_come_from_the_sample():
+    rows = "a,b\n" + "1,x\n" * readers.CSV_SAMPLE + 'late,"two\nlines"\n'
+    m = readers.csv_file(rows.encode())
+    assert (m["columns"], m["dtypes"], m["row_count_sample"], m["total_rows"]) == ("a,b", "a:int64,b:object", "100", "102")
+    with pytest.raises(ValueError):
+        readers.csv_file(b"")
+
+
+def test_pdf_objects_in_streams():
+    packed = zlib.compress(b"1 0 2 20 <</Type /Page>> <</Type /Page /Parent 9 0 R>> <</Title (Deep)>>")
+    shown = zlib.compress(b"BT (one) Tj (/Type /Page) Tj ET")
+    content = b"%PDF-1.5\n4 0 obj <</Type /ObjStm /Filter /FlateDecode>> stream\n" + packed + b"\nendstream endobj\n5 0 obj <</Filter /FlateDecode>> stream\n" + shown + b"\nendstream endobj\n6 0 obj <<>> stream\n\x78broken\nendstream endobj\n%%EOF"
+    assert readers.pdf(content) == {"page_count": "2", "title": "Deep", "content_preview": "one\n/Type /Page"}
+
+
 def test_unreadable_files_are_rows(meta):
     assert meta["j.json"][0] == "error" and meta["k.docx"][0] == "error" and meta["l.xyz"][0] == "unknown" and len(meta) == 15
 
