@@ -6,17 +6,14 @@ import contextlib
 import ctypes
 import gc
 import os
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper bound, in rows, of a table that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+from ..storage import BROADCAST_ROWS, broadcast_if_small, discard, materialize, new_path, work_dir  # noqa: F401
 
 #: Rows of a batch between the JVM and Python at most: texts are long, and batches are held on both sides.
 BATCH_ROWS = 2000
@@ -48,46 +45,6 @@ def ship_code(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir. A temporary one is made only where
-    it is unset and one process does all the work; on a cluster others could not read it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("DOSSIER_WORK_DIR")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="dossier-work-")
-        os.environ["DOSSIER_WORK_DIR"] = found
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/dossier-{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.dossier_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a DataFrame that materialize() returned and that nothing reads any more."""
-    path = getattr(df, "dossier_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (materialized: it is counted) with a broadcast hint if it has few rows; otherwise as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id as text leaves remainder 2 modulo 4 (a null id: false)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

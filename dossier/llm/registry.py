@@ -12,6 +12,7 @@ from .decontam import contaminated
 from .embed import near_vectors
 from .langid import predict_language
 from .linededup import LINE_SQL, drop_boilerplate
+from .merkle import MERKLE_SQL, document_manifest
 from .pii import personal_data
 from .quality import score_quality, train
 from .simhash import near_duplicates
@@ -59,5 +60,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe_roundtrip, op3_language_id, op4_warc_roundtrip, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup)}
-ORACLES: dict[str, str] = {"op10_line_dedup": LINE_SQL}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe_roundtrip, op3_language_id, op4_warc_roundtrip, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup, op11_merkle_manifest)}
+ORACLES: dict[str, str] = {"op10_line_dedup": LINE_SQL, "op11_merkle_manifest": MERKLE_SQL}
