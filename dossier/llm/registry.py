@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import spread
 from .bpe import count_tokens, encode_texts
 from .common import table
+from .convtrie import TRIE_SQL, prefix_trie
 from .decontam import contaminated
 from .embed import near_vectors
 from .langid import predict_language
@@ -64,5 +65,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe_roundtrip, op3_language_id, op4_warc_roundtrip, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup, op11_merkle_manifest)}
-ORACLES: dict[str, str] = {"op10_line_dedup": LINE_SQL, "op11_merkle_manifest": MERKLE_SQL}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe_roundtrip, op3_language_id, op4_warc_roundtrip, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup, op11_merkle_manifest, op13_prefix_trie)}
+ORACLES: dict[str, str] = {"op10_line_dedup": LINE_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_prefix_trie": TRIE_SQL}
