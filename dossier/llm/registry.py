@@ -17,6 +17,7 @@ from .merkle import MERKLE_SQL, document_manifest
 from .pii import personal_data
 from .quality import score_quality, train
 from .simhash import near_duplicates
+from .toxicity import learn_toxicity, score_toxicity
 from .warc import archived_pages
 
 
@@ -65,9 +66,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(spread(docs.select("doc_id", "text")), learn_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe_roundtrip, op3_language_id, op4_warc_roundtrip, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup, op11_merkle_manifest, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_bpe_roundtrip, op3_language_id, op4_warc_roundtrip, op5_quality, op6_simhash_neardup, op7_token_counts, op8_embedding_neardup, op9_pii, op10_line_dedup, op11_merkle_manifest, op12_toxicity, op13_prefix_trie)}
 ORACLES: dict[str, str] = {"op10_line_dedup": LINE_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_prefix_trie": TRIE_SQL}
