@@ -18,13 +18,13 @@ from .common import Memo, claim, ship_code
 from .grams import class_sample, draw
 
 #: Labelled rows of each class to learn from, about, and characters of those rows at most: the bound of the sample.
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 3000, 24_000_000
+SAMPLE_PER_CLASS, SAMPLE_CHARS = 2500, 16_000_000
 #: Buckets (bits) and dimensions of the embeddings, and the n-grams of a word in its marks < and >.
 BITS, DIMS, SHORTEST, LONGEST = 17, 8, 3, 5
 #: Words of a stretch. A document is two bags: all its words, and its most toxic stretch, as a few words in a long text are enough.
 STRETCH = 8
-#: Passes over the sample, documents of a step, and rate of a step.
-PASSES, STEP_DOCS, RATE = 14, 32, 1.0
+#: Passes over the sample: as many as give STEPS steps, from 6 to PASSES; documents of a step, and its rate.
+PASSES, STEPS, STEP_DOCS, RATE = 14, 900, 32, 1.0
 ACCEPT = 0.5
 #: Words whose scores a task remembers.
 WORD_BOUND = 400_000
@@ -85,6 +85,7 @@ class SubwordBags:
         weight = len(y) / (2 * np.bincount(y, minlength=2))
         slopes, tops = np.full(1 << BITS, 1e-6), [np.full((2, 2 * DIMS), 1e-6), np.full(2, 1e-6)]
         usable = [i for i in range(len(docs)) if len(docs[i])]
+        passes = min(passes, max(6, STEPS * STEP_DOCS // max(1, len(usable))))
         for n in range(passes):
             lean = (self.softmax[1] - self.softmax[0])[DIMS:]
             each = np.add.reduceat((self.vectors @ lean)[flat], starts[:-1]) / sizes
