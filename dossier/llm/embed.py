@@ -17,10 +17,12 @@ from .graph import components, unite
 TILE_NUMBERS = 1 << 19
 #: Leading coordinates whose boxes tell tiles apart, slabs of a large cell at most, and rows that are multiplied at once.
 LEAD, SLABS, BLOCK_ROWS = 8, 64, 256
+#: Products that are held at once at most.
+BLOCK_NUMBERS = 1 << 21
 #: Pairs whose products grow together beyond the first dimensions.
 PAIRS = 1 << 16
-#: Up to this width the full second moments are gathered; wider vectors keep their axes, ordered by energy.
-FULL_BASIS = 256
+#: Up to this width the full second moments are gathered; of wider vectors LEADING axes by POWERS block power steps.
+FULL_BASIS, LEADING, POWERS = 256, 32, 3
 #: Rounding that the bounds allow for; pairs this near the threshold are decided by the exact formula.
 SLACK = 1e-9
 
@@ -37,37 +39,65 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def bases(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """By width, an orthonormal basis with the most second moment of the unit vectors first.
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest component is near 1: no square under- or overflows, nothing is rounded."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
-    Moments are summed over all vectors, per task and then by moment, so the driver gets width x width
-    numbers whatever the number of vectors or tasks.
-    """
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def turned(u: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Unit vectors by a basis. A basis with fewer axes than dimensions gives its coordinates and then what is
+    left of the vector on its own axes, so products and norms stay the same."""
+    lead = u @ basis
+    return lead if basis.shape[0] == basis.shape[1] else np.hstack([lead, u - lead @ basis.T])
+
+
+def _summed(vectors: DataFrame, of, width: dict[int, int]) -> dict[int, np.ndarray]:
+    """By dimension, the sum of ``of(unit vectors, dimension)`` over all vectors: per task, then by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column(0).to_numpy()
             for d in np.unique(dims).tolist():
-                x = matrix(batch.column(1).filter(pa.array(dims == d)))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                total[d] = total.get(d, 0) + (x.T @ x if d <= FULL_BASIS else (x * x).sum(0))
+                total[d] = total.get(d, 0) + of(unit(matrix(batch.column(1).filter(pa.array(dims == d)))), d)
         for d, m in total.items():
             flat = m.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(flat.size, d, np.int32)), pa.array(np.arange(flat.size)), pa.array(flat)], names=["dim", "at", "moment"])
-
-    sums = vectors.select("dim", "vec").mapInArrow(run, "dim int, at bigint, moment double").groupBy("dim", "at").agg(F.sum("moment").alias("moment")).collect()
-    found: dict[int, np.ndarray] = {}
-    for d in {r["dim"] for r in sums}:
-        m = np.zeros(d * d if d <= FULL_BASIS else d)
-        for r in sums:
-            if r["dim"] == d:
-                m[r["at"]] = r["moment"]
-        if d <= FULL_BASIS:
-            values, axes = np.linalg.eigh(m.reshape(d, d))
-            found[d] = axes[:, np.argsort(-values, kind="stable")]
-        else:
-            found[d] = np.eye(d)[:, np.argsort(-m, kind="stable")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(flat.size, d, np.int32)), pa.array(np.arange(flat.size)), pa.array(flat)], names=["dim", "at", "value"])
+
+    sums = vectors.select("dim", "vec").mapInArrow(run, "dim int, at bigint, value double").groupBy("dim", "at").agg(F.sum("value").alias("value"))
+    found = {d: np.zeros(d * n) for d, n in width.items()}
+    for r in sums.collect():
+        found[r["dim"]][r["at"]] = r["value"]
+    return {d: v.reshape(d, -1) for d, v in found.items()}
+
+
+def bases(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """By width, orthonormal axes with the most second moment of the unit vectors first.
+
+    Up to FULL_BASIS dimensions all axes, from the full moments (width x width numbers reach the driver).
+    Beyond it the LEADING ones: each step multiplies the moments with a block of as many columns, task by
+    task, and makes the sums orthogonal (width x LEADING numbers a step).
+    """
+    dims = [r[0] for r in vectors.select("dim").distinct().collect()]
+    full = {d: d for d in dims if d <= FULL_BASIS}
+    found = {}
+    for d, m in (_summed(vectors.where(F.col("dim") <= FULL_BASIS), lambda u, _: u.T @ u, full) if full else {}).items():
+        values, axes = np.linalg.eigh(m)
+        found[d] = axes[:, np.argsort(-values, kind="stable")]
+    wide = {d: LEADING for d in dims if d > FULL_BASIS}
+    if wide:
+        blocks = {d: np.linalg.qr(np.random.default_rng(d).normal(size=(d, LEADING)))[0] for d in wide}
+        for _ in range(POWERS):
+            now = blocks
+            summed = _summed(vectors.where(F.col("dim") > FULL_BASIS), lambda u, d: u.T @ (u @ now[d]), wide)
+            blocks = {d: np.linalg.qr(m)[0] for d, m in summed.items()}
+        energy = _summed(vectors.where(F.col("dim") > FULL_BASIS), lambda u, d: np.pad(((u @ blocks[d]) ** 2).sum(0), (0, d - LEADING)), {d: 1 for d in wide})
+        found |= {d: blocks[d][:, np.argsort(-energy[d].ravel()[:LEADING], kind="stable")] for d in wide}
     return found
 
 
@@ -108,8 +138,7 @@ def placed_vectors(classes: DataFrame, basis, side: float) -> DataFrame:
             dims = batch.column(0).to_numpy()
             lead = np.zeros((len(dims), LEAD))
             for d in np.unique(dims).tolist():
-                x = matrix(batch.column(1).filter(pa.array(dims == d)))
-                x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ basis.value[d][:, :LEAD]
+                x = unit(matrix(batch.column(1).filter(pa.array(dims == d)))) @ basis.value[d][:, :LEAD]
                 lead[dims == d, : x.shape[1]] = x
             at = np.floor(lead[:, :2] / side).astype(np.int32)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(lead.ravel()), LEAD).cast(pa.list_(pa.float64()))
@@ -164,8 +193,9 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
     Cells are squares of the two leading basis coordinates with the side sqrt(2 - 2 threshold), the
     largest distance of linked unit vectors: links lie in one cell or in neighbouring ones. See
     ``tile_vectors`` for what is compared. A tile pair returns link counts and a spanning star, not its
-    pairs. Vectors of over FULL_BASIS dimensions are ordered by the energy of their own axes instead of by
-    PCA; the result is exact either way. Work is quadratic where vectors lie within that distance in all
+    pairs. Vectors of over FULL_BASIS dimensions have LEADING principal axes and the rest of the vector behind
+    them; the result is exact either way. Components of any size count: vectors are scaled by powers of two
+    before squares are taken. Work is quadratic where vectors lie within that distance in all
     leading coordinates, as each vector's links are counted.
     """
     spark = df.sparkSession
@@ -186,11 +216,12 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
         tile, rep, mult = (t.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "rep", "mult"))
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         counts, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        v = matrix(t.column("vec").combine_chunks())
-        u = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ basis.value[v.shape[1]]
+        v = scaled(matrix(t.column("vec").combine_chunks()))
+        u = turned(unit(v), basis.value[v.shape[1]])
         ones, others = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
-        for at in range(0, len(ones), BLOCK_ROWS):
-            p = ones[at : at + BLOCK_ROWS]
+        step = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // len(others)))
+        for at in range(0, len(ones), step):
+            p = ones[at : at + step]
             to = others if lo != hi else others[at:]
             i, j = linked_pairs(u[p], u[to], v[p], v[to], threshold)
             i, j = p[i], to[j]

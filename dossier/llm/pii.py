@@ -20,9 +20,7 @@ KINDS = {
 #: What may be an identifier: numbers with single spaces between them, or a word with an at sign or a digit.
 NUMBER = r"[0-9][0-9().+-]*+(?![^\s,;:!?])"
 CANDIDATE = rf"(?<!\S)(?:[+(]?{NUMBER}(?:\x20\(?{NUMBER})*+|[^\s0-9@]*+[0-9@]\S*+)"
-#: Rounds over the pattern-instance graph: this many at least, then until nothing changes; a graph that swings ends at the most.
-ROUNDS, MOST_ROUNDS = 3, 50
-#: Distinct seeds that a pattern needs, and the share of its instances that must be identifiers.
+#: Distinct known instances of one kind that a pattern of that kind needs, and the share of its instances that must be of it.
 SUPPORT, CONFIDENCE = 3, 0.8
 
 SPAN = "array<struct<s:int,e:int,m:string,l:string,r:string>>"
@@ -141,35 +139,37 @@ def discovered(cands: DataFrame) -> DataFrame:
     """(rid, kind, s, e) of candidates that contexts of identifiers tell to be identifiers.
 
     ``cands``: rid, s, e, m, left, right, kind (a seed's kind, else null). A pattern is a side, the word
-    on it, and the shape of what stands there or any shape. Patterns and instances (distinct strings)
-    form a graph. Each round takes patterns anew from seeds and instances trusted so far. A pattern's
-    score is the mean confidence of its instances: 1 for a seed, a half for one that no pattern rated
-    yet, else that one of its good patterns is right. Rounds end when the trusted ones stay the same.
+    on it, the shape of what stands there (or any shape) and a kind. Patterns and instances (distinct
+    strings) form a graph. A pattern's score is the mean over its instances: 1 for a known one of its kind,
+    0 for one of another kind, a half for an unknown one. Patterns with SUPPORT known instances and a score
+    of CONFIDENCE vouch for their unknown instances, which become known, of the kind that is vouched for
+    most (of equals the first by name); patterns are then scored anew. What is known stays known, so the
+    known ones grow until a round adds none: there is no cap on rounds.
     """
     sides = F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("r "), "right"))
     edges = cands.select(F.explode(sides).alias("side"), F.array(F.lit("*"), shape(F.col("m"))).alias("shapes"), "m", "kind").where(F.length("side") > 2)
     edges = edges.select("side", F.explode("shapes").alias("shape"), "m", "kind")
     edges = materialize(edges.groupBy("side", "shape", "m").agg(F.max("kind").alias("kind")), "contexts")
-    sure, rated, was = CONFIDENCE - 1e-9, None, None
-    for n in range(MOST_ROUNDS):
-        told = edges.withColumns({"trust": F.lit(None).cast("double"), "best": F.lit(None).cast("string")}) if rated is None else edges.join(rated, "m", "left")
-        told = told.withColumn("known", F.coalesce("kind", F.when(F.col("trust") >= sure, F.col("best"))))
-        trust = F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("trust", F.lit(0.5)))
-        patterns = told.groupBy("side", "shape").agg(F.count("known").alias("support"), F.mode("known", True).alias("of"), F.avg(trust).alias("score")).where(F.col("support") >= SUPPORT)
-        patterns = patterns.select("side", "shape", "of", F.when(F.col("score") >= sure, F.col("score")).otherwise(0.0).alias("score"))
-        on = edges.where("kind is null").select("side", "shape", "m").join(patterns, ["side", "shape"])
-        on = on.groupBy("m", "side").agg(F.max("score").alias("score"), F.max_by("of", F.struct("score", "of")).alias("of"))
-        last, rated = rated, materialize(on.groupBy("m").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("trust"), F.max_by("of", F.struct("score", "of")).alias("best")), "trust")
-        if last is not None:
-            discard(last)
-        mark = tuple(rated.where(F.col("trust") >= sure).agg(F.count("*"), F.bit_xor(F.xxhash64("m", "best"))).first())
-        if not mark[0]:
-            return cands.select("rid", F.lit("").alias("kind"), "s", "e").limit(0)
-        if mark == was and n >= ROUNDS:
+    known = None
+    while True:
+        told = edges if known is None else edges.join(known, "m", "left").withColumn("kind", F.coalesce("kind", "found"))
+        counts = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
+        scored = told.groupBy("side", "shape").agg(F.count("*").alias("n"), F.count_if(F.col("kind").isNull()).alias("open"), *counts)
+        kinds = F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).alias("support"), ((F.col(k) + F.col("open") / 2) / F.col("n")).alias("score")) for k in KINDS])
+        good = scored.where("open > 0").select("side", "shape", F.inline(kinds)).where((F.col("support") >= SUPPORT) & (F.col("score") >= CONFIDENCE - 1e-9))
+        on = told.where("kind is null").select("side", "shape", "m").join(good, ["side", "shape"])
+        on = on.groupBy("m", "of", "side").agg(F.max("score").alias("score"))
+        miss = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
+        more = on.groupBy("m", "of").agg(F.round(miss, 9).alias("miss")).groupBy("m").agg(F.min(F.struct("miss", "of"))["of"].alias("found"))
+        after = materialize(more if known is None else known.union(more), "known")
+        before = 0 if known is None else known.count()
+        if known is not None:
+            discard(known)
+        known = after
+        if known.count() == before:
             break
-        was = mark
-    found = rated.where(F.col("trust") >= sure).select("m", F.col("best").alias("kind"))
-    return cands.where("kind is null").drop("kind").join(found, "m").select("rid", "kind", "s", "e")
+    discard(edges)
+    return cands.where("kind is null").drop("kind").join(known.withColumnRenamed("found", "kind"), "m").select("rid", "kind", "s", "e")
 
 
 def sound(i: int, kind: str) -> Column:

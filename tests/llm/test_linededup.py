@@ -47,3 +47,20 @@ def test_small_host_loses_what_repeats(spark):
     rows = [(i, "four", f"Menu\nonly {i}") for i in range(4)] + [(9, "one", "Menu\nonly 9")]
     got = {x.doc_id: (x.text, x.n_dropped) for x in drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert got == {i: (f"only {i}", 1) for i in range(4)} | {9: ("Menu\nonly 9", 0)}
+
+
+def test_any_column_names(spark):
+    """Columns of the input keep their names and values, whatever these are."""
+    odd = ["__host", "__at", "__known", "__kept", "host", "known", "kept", "here", "c0", "c1", "h1"]
+    rows = [(i, "h", f"Menu\nown {i}", *range(len(odd))) for i in range(30)]
+    got = drop_boilerplate(spark.createDataFrame(rows, ["doc_id", "source", "text", *odd]))
+    assert got.columns == ["doc_id", "source", "text", *odd, "n_lines", "n_dropped"]
+    assert sorted(tuple(x) for x in got.collect()) == [(i, "h", f"own {i}", *range(len(odd)), 2, 1) for i in range(30)]
+
+
+def test_long_page_and_many_boilerplate_lines(spark):
+    """A page of 200,000 lines on a host with 20,000 boilerplate lines."""
+    menu = [f"m {i}" for i in range(20_000)]
+    rows = [(i, "h", "\n".join(menu)) for i in range(12)] + [(99, "h", "\n".join([*menu, *[f"own {i}" for i in range(180_000)]]))]
+    got = {x.doc_id: (x.n_lines, x.n_dropped) for x in drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == {i: (20_000, 20_000) for i in range(12)} | {99: (200_000, 20_000)}

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -123,41 +124,36 @@ def instances(text):
 
 
 def bootstrap(texts):
-    """Added spans of every text: the rounds over patterns and instances in plain loops."""
+    """Added spans of every text, by the rule: a pattern belongs to a kind, and other kinds count against it."""
     rows = [instances(t) for t in texts]
-    edges = {}
+    seeds, seen = {}, {}
     for row in rows:
         for _, _, m, left, right, kind in row:
-            for side in [f"l {left}"] * bool(left) + [f"r {right}"] * bool(right):
-                for form in ("*", shape(m)):
-                    some = edges.setdefault((side, form), {})
-                    some[m] = max(filter(None, (some.get(m), kind)), default=None)
-    rated, sure, was = {}, 0.8 - 1e-9, None
-    for n in range(50):
-        good = {}
-        for key, some in edges.items():
-            known = [k or rated[m][1] for m, k in some.items() if k or rated.get(m, (0,))[0] >= sure]
-            if len(known) >= 3:
-                of = min(set(known), key=lambda k: (-known.count(k), k))
-                score = sum(1 if k else rated.get(m, (0.5,))[0] for m, k in some.items()) / len(some)
-                good[key] = (score if score >= sure else 0.0, of)
-        by = {}
-        for key, some in edges.items():
-            for m in (m for m, k in some.items() if not k and key in good):
-                sides = by.setdefault(m, {})
-                sides[key[0]] = max(sides.get(key[0], (-1.0, "")), good[key])
-        rated = {}
-        for m, sides in by.items():
-            miss = 1.0
-            for score, _ in sides.values():
-                miss *= max(1 - score, 1e-9)
-            rated[m] = (1 - miss, max(sides.values())[1])
-        mark = {(m, k) for m, (t, k) in rated.items() if t >= sure}
-        if not mark or (mark == was and n >= 3):
+            for context in [("left", left)] * bool(left) + [("right", right)] * bool(right):
+                for form in ("any", shape(m)):
+                    seen.setdefault((*context, form), set()).add(m)
+                    if kind:
+                        seeds[*context, form, m] = max(kind, seeds.get((*context, form, m), ""))
+    told = {}
+    while True:
+        new = {}
+        for context, some in seen.items():
+            kind_of = {m: seeds.get((*context, m)) or told.get(m) for m in some}
+            for kind in PATTERNS:
+                votes = [1.0 if k == kind else 0.5 if k is None else 0.0 for k in kind_of.values()]
+                if votes.count(1.0) >= 3 and sum(votes) / len(votes) >= 0.8 - 1e-9:
+                    for m in (m for m, k in kind_of.items() if k is None):
+                        sides = new.setdefault(m, {}).setdefault(kind, {})
+                        sides[context[:2]] = max(sides.get(context[:2], 0.0), sum(votes) / len(votes))
+        new = {m: v for m, v in new.items() if m not in told}
+        if not new:
             break
-        was = mark
-    kinds = dict(mark)
-    return [sorted(f"{kinds[m]}:{s}:{e}" for s, e, m, _, _, k in row if not k and m in kinds) for row in rows]
+        for m, by in new.items():
+            doubt = {}
+            for kind, sides in by.items():
+                doubt[kind] = sum(math.log(max(1 - x, 1e-9)) for x in sides.values())
+            told[m] = min(by, key=lambda k: (round(doubt[k], 9), k))
+    return [sorted(f"{told[m]}:{s}:{e}" for s, e, m, _, _, k in row if not k and m in told) for row in rows]
 
 
 def planted(r, docs):
@@ -187,6 +183,24 @@ def test_discovery_matches_plain_rounds(spark):
         assert sum(map(len, want)) > 10
 
 
+def test_a_context_of_several_kinds_tells_nothing(spark):
+    """Secrets beside a word that stands beside e-mail addresses, addresses of hosts and telephones alike get no span."""
+    rows = [f"foo joe{i}@host.org bar" for i in range(4)] + [f"foo 10.0.0.{i} bar" for i in range(4)] + [f"foo +1 555 01000{i} bar" for i in range(4)] + ["foo ZZ99999 bar"]
+    got = {x.doc_id: x for x in personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got[12].spans == "" and got[12].n_added == 0
+
+
+def test_long_chains_of_finds_end(spark):
+    """Each find opens the next context, over more rounds than any cap would allow cheaply."""
+    rows = [f"w0 +1 555 01000{i} x" for i in range(9)]
+    for n in range(12):
+        rows += [f"w{n} id-{n}-7777{i} y{n}" for i in range(2)] + [f"w{n + 1} id-{n}-7777{i} z" for i in range(2)] + [f"w{n + 1} id-{n}-8888{i} z" for i in range(2)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = bootstrap(rows)
+    for x in personal_data(df).collect():
+        assert sorted(filter(None, x.spans.split(","))) == sorted([*filter(None, plain(rows[x.doc_id])[5].split(",")), *want[x.doc_id]])
+
+
 def test_many_matches_in_one_text(spark):
     """Work within a text is not quadratic in its matches: 60,000 numbers, addresses among them."""
     text = " ".join(f"{i * 7919 % 90000 + 10000}" + (f" n{i}@x.org" if i % 10 == 0 else "") for i in range(60_000))
