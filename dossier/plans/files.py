@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import category, resolve_mime
 from ..sources import readers, sinks
+from ..sources.ledger import Ledger
+from ..storage import new_path
 from .inputs import table
 from .registry import query
 
@@ -97,3 +99,24 @@ def snk04(spark, d):
 def snk05(spark, d):
     """One audit row for each file, taken or rejected."""
     return _batch(spark, d)["acquisition_logs"].drop("created_at")
+
+
+_COMMITTED = f"(SELECT *, row_number() OVER (PARTITION BY sha256(content) ORDER BY c_custkey % 3, path) AS seat FROM {_FILES} f WHERE kind NOT IN (7, 9))"
+_META = "CASE WHEN kind IN (0, 2, 4) THEN 'document' WHEN kind = 1 THEN 'structured' WHEN kind = 3 THEN 'exif' WHEN kind = 5 THEN 'video' ELSE 'error' END"
+
+
+@query("snk04_commits", f"SELECT {_ID} AS id, CAST(c_custkey % 3 AS BIGINT) AS batch, split_part(path, '/', 2) AS original_filename, sha256(content) AS sha256, md5(content) AS md5, {_META} AS meta_type FROM {_COMMITTED} g WHERE seat = 1 AND c_custkey % 3 < 2")
+def snk04_commits(spark, d):
+    """Three batches through the ledger: two are published, the second one twice (the later attempt has other rows
+    and loses), the third is left half-written. Evidence, checksums and metadata show the same two batches."""
+    found, ledger = files(spark, d), Ledger(spark, new_path(spark, "ledger"))
+    part = lambda n: found.where(F.expr(f"CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) % 3 = {n}"))
+    now = F.to_timestamp(F.lit(NOW))
+    ledger.commit(0, sinks.ingest(part(0), None, now))
+    ledger.commit(1, sinks.ingest(part(1), ledger.read("file_checksums"), now))
+    late = sinks.ingest(part(2), ledger.read("file_checksums"), now)
+    ledger.publish(1, *ledger.stage(1, late))
+    ledger.stage(2, {"evidence_files": late["evidence_files"]})
+    sums = ledger.read("file_checksums").select(F.col("evidence_file_id").alias("id"), "batch", "sha256", "md5")
+    meta = ledger.read("evidence_metadata").select(F.col("evidence_file_id").alias("id"), "batch", "meta_type")
+    return ledger.read("evidence_files").select("id", "batch", "original_filename").join(sums, ["id", "batch"]).join(meta, ["id", "batch"])

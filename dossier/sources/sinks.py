@@ -1,4 +1,4 @@
-"""Write side: partitioned storage, idempotent batch appends, audit rows."""
+"""Write side: partitioned storage, rows of an ingest batch (the ledger commits them), audit rows."""
 
 from __future__ import annotations
 
@@ -29,31 +29,23 @@ def remove(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def append_batch(tables: dict[str, DataFrame], root: str, batch: int) -> None:
-    """Write the tables of one ingest batch. Each batch has a folder of its own that a repeated run replaces,
-    so a batch that is retried after a lost driver does not appear twice."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
-
-
-def read_batches(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-
-
 def ingest(files: DataFrame, known: DataFrame | None, now: Column, most_bytes: int = 500 * 1024 * 1024) -> dict[str, DataFrame]:
-    """Scanned files (path, length, content, mime, category, sha256, md5) to evidence, checksums, rejects and audit rows.
+    """Scanned files (path, length, content, mime, category, sha256, md5) to evidence, checksums, metadata, rejects and audit rows.
 
     Rejected files are rows with an error code. A digest that is known, or came before in the batch, is
     a DUPLICATE.
     """
     from ..functions.classify import content_warning, upload_error
     from ..operators.relational import fresh
+    from .readers import extract
 
     checked = files.withColumn("error_code", upload_error(F.col("mime"), F.col("length"), most_bytes))
     good = fresh(checked.where("error_code is null"), known, "sha256", "path")
     ident = F.substring("sha256", 1, 32)
-    new = good.where("not duplicate").select(ident.alias("id"), F.element_at(F.split("path", "/"), -1).alias("original_filename"), F.col("mime").alias("mime_type"), "category", F.col("length").alias("file_size"), "sha256", "md5", F.lit("COMPLETED").alias("status"), content_warning(F.col("mime"), F.substring("content", 1, 12)).alias("warning"), now.alias("created_at"))
+    taken = good.where("not duplicate")
+    metadata = extract(taken.select(ident.alias("path"), "mime", "content")).select(F.col("path").alias("evidence_file_id"), "meta_type", "metadata")
+    new = taken.select(ident.alias("id"), F.element_at(F.split("path", "/"), -1).alias("original_filename"), F.col("mime").alias("mime_type"), "category", F.col("length").alias("file_size"), "sha256", "md5", F.lit("COMPLETED").alias("status"), content_warning(F.col("mime"), F.substring("content", 1, 12)).alias("warning"), now.alias("created_at"))
     bad = checked.where("error_code is not null").select("path", "error_code").union(good.where("duplicate").select("path", F.lit("DUPLICATE")))
     audit = new.select(F.col("id").alias("evidence_file_id"), F.lit("INGESTED").alias("action"), F.col("original_filename").alias("detail"), now.alias("created_at"))
     audit = audit.unionByName(bad.select(F.lit(None).cast("string").alias("evidence_file_id"), F.lit("REJECTED").alias("action"), F.concat_ws(" ", "error_code", "path").alias("detail"), now.alias("created_at")))
-    return {"evidence_files": new, "file_checksums": new.select(F.col("id").alias("evidence_file_id"), "sha256", "md5", "file_size"), "ingest_rejects": bad, "acquisition_logs": audit}
+    return {"evidence_files": new, "file_checksums": new.select(F.col("id").alias("evidence_file_id"), "sha256", "md5", "file_size"), "evidence_metadata": metadata, "ingest_rejects": bad, "acquisition_logs": audit}

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.sources import readers, sinks
+from dossier.sources.ledger import Ledger
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -94,14 +95,14 @@ def test_csv_and_probe(spark, folder):
 
 def test_ingest_is_idempotent_and_flags_duplicates(spark, folder, tmp_path):
     now = F.to_timestamp(F.lit("2024-06-01"))
-    for _ in range(2):
-        sinks.append_batch(sinks.ingest(readers.scan(spark, folder), None, now), f"{tmp_path}/t", 7)
-    ev = sinks.read_batches(spark, f"{tmp_path}/t", "evidence_files").collect()
-    bad = {r.path.split("/")[-1]: r.error_code for r in sinks.read_batches(spark, f"{tmp_path}/t", "ingest_rejects").collect()}
+    ledger = Ledger(spark, f"{tmp_path}/t")
+    assert [ledger.commit(7, sinks.ingest(readers.scan(spark, folder), None, now)) for _ in range(2)] == [True, False]
+    ev = ledger.read("evidence_files").collect()
+    bad = {r.path.split("/")[-1]: r.error_code for r in ledger.read("ingest_rejects").collect()}
     assert bad == {"l.xyz": "UNSUPPORTED_FILE_TYPE", "n.txt": "EMPTY_FILE", "m.txt": "DUPLICATE"} and len(ev) == 12
     assert {r.original_filename: r.warning for r in ev}["k.docx"] == "not a ZIP container"
-    assert sinks.read_batches(spark, f"{tmp_path}/t", "acquisition_logs").count() == 15
-    again = sinks.ingest(readers.scan(spark, folder), sinks.read_batches(spark, f"{tmp_path}/t", "file_checksums"), now)
+    assert ledger.read("acquisition_logs").count() == 15 and ledger.read("evidence_metadata").count() == 12
+    again = sinks.ingest(readers.scan(spark, folder), ledger.read("file_checksums"), now)
     assert again["evidence_files"].count() == 0
 
 
