@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .classify import field_injury, field_region, holds_any
 from .lexicon import ANATOMY_TERMS, INJURY_STEMS, ORGANS, TOX_STEMS
-from .text import FLAGS, bind, strip
+from .text import FLAGS, bind, match_starts, strip
 
 DOT = FLAGS + "(?s)"
 # The patterns of report parts.
@@ -49,6 +48,7 @@ PATTERNS: list[tuple[str, str, str, float]] = [
     *[("ORGAN_FINDING", rf"({o}\s*[:\-]\s*.*?)(?:\n|$)", FLAGS, 0.7) for o in ORGANS],
 ]
 MOST_ANATOMICAL = 50
+SPANS = "array<struct<entity_type:string,start:int,end:int>>"
 ENTITIES = "array<struct<entity_type:string,raw_value:string,normalized_value:string,confidence:double>>"
 
 
@@ -82,23 +82,37 @@ def _entities(text: Column, low: Column, kinds: list[str] | None) -> Column:
             continue
         found = F.transform(F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(1)), strip)
         made = F.transform(F.filter(found, _test(kind, pattern)), _struct(kind, pattern, confidence, 300 if kind == "ORGAN_FINDING" else 500))
-        word = _needed(kind, pattern)
-        if word:  # a plain search for what every match holds spares most patterns
-            made = F.when(F.contains(low, F.lit(word)), made).otherwise(F.array().cast(ENTITIES))
+        # a plain search for what every match holds spares most patterns
+        met = reduce(or_, [F.contains(low, F.lit(w)) for w in _needed(kind, pattern)])
+        made = F.when(met, made).otherwise(F.array().cast(ENTITIES))
         parts.setdefault(kind, []).append(made)
     arrays = [F.slice(F.concat(*p), 1, MOST_ANATOMICAL) if k == "ANATOMICAL_REFERENCE" else F.concat(*p) for k, p in parts.items()]
     return F.coalesce(F.concat(*arrays), F.array().cast(ENTITIES))
 
 
-def _needed(kind: str, pattern: str) -> str | None:
-    """A lower-case word that every match of the pattern holds."""
+def _initials(letters: str) -> list[str]:
+    """Three letters with or without dots between them."""
+    a, b, c = letters
+    return [a + x + b + y + c for x in ("", ".") for y in ("", ".")]
+
+
+#: What a match begins with, by the start of its pattern
+_BEGINS = {
+    r"(?:P\.?M": ["pm", "p.m"], r"(?:Case": ["case"], r"(?:M\.?L": _initials("mlc"), r"(?:FIR": ["fir"], r"(?:Name": ["name"], r"(?:Age": ["age"], r"(?:Sex": ["sex", "gender"],
+    r"(?:Cause": ["cause", *_initials("cod")], r"(?:Manner": ["manner", *_initials("mod")], r"(?:Time": ["time", "pmi", *_initials("tod")], r"(?:(?:Performed": ["performed", "conducted"], r"(?:Dr": ["dr"],
+    r"(?:Injury": ["injury"], r"\d+\.\s*((?:Lacerated": ["lacerated", "incised", "contusion", "abrasion", "fracture", "bruise", "wound"],
+}
+
+
+def _needed(kind: str, pattern: str) -> list[str]:
+    """Lower-case words of which every match of the pattern holds one."""
     if kind == "TOXICOLOGY_FINDING":
-        return pattern[1:].split("\\w")[0]
+        return [pattern[1:].split("\\w")[0]]
     if kind == "ANATOMICAL_REFERENCE":
-        return pattern[3:-3]
+        return [pattern[3:-3]]
     if kind == "ORGAN_FINDING":
-        return pattern[1:].split("\\s")[0].removesuffix("s?")
-    return None
+        return [pattern[1:].split("\\s")[0].removesuffix("s?")]
+    return next(words for begin, words in _BEGINS.items() if pattern.startswith(begin))
 
 
 def _test(kind: str, pattern: str):
@@ -109,12 +123,21 @@ def _struct(kind: str, pattern: str, confidence: float, cut: int):
     return lambda v: F.struct(F.lit(kind).alias("entity_type"), F.left(v, F.lit(cut)).alias("raw_value"), _normal(kind, pattern, v).alias("normalized_value"), F.lit(confidence).alias("confidence"))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("entity_type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def entity_spans(s: pd.Series) -> pd.Series:
-    """Where the patterns match (whole matches), for highlighting; offsets need Python, values do not."""
-    flags = {FLAGS: re.I, DOT: re.I | re.S, "(?uUd)": re.NOFLAG}
-    compiled = [(k, re.compile(p.replace(r"\z", r"\Z"), flags[f])) for k, p, f, _ in PATTERNS]
-    return s.map(lambda t: [{"entity_type": k, "start": m.start(), "end": m.end()} for k, p in compiled for m in p.finditer(t or "")])
+def entity_spans(text: Column) -> Column:
+    """Array of (entity_type, start, end): where the patterns match (whole matches, code points), for highlighting."""
+    return bind(F.lower(F.upper(text)), lambda low: _spans(text, low))
+
+
+def _spans(text: Column, low: Column) -> Column:
+    def places(kind: str, pattern: str):
+        row = lambda m, at: F.struct(F.lit(kind).alias("entity_type"), at.alias("start"), (at + F.length(m)).alias("end"))
+        return lambda found: bind(match_starts(text, F.lit(pattern), found), lambda at: F.transform(found, lambda m, i: row(m, F.get(at, i))))
+
+    parts = []
+    for kind, pattern, flags, _ in PATTERNS:
+        met = reduce(or_, [F.contains(low, F.lit(w)) for w in _needed(kind, pattern)])
+        parts.append(F.when(met, bind(F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0)), places(kind, flags + pattern)).cast(SPANS)).otherwise(F.array().cast(SPANS)))
+    return F.coalesce(F.concat(*parts), F.array().cast(SPANS))
 
 
 #: field -> patterns of which the first with a non-empty value counts; fixed patterns

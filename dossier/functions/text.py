@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -105,42 +106,102 @@ def synonym_rules() -> list[tuple[str, str, str]]:
     return sorted(rules, key=lambda r: -len(r[0]))
 
 
+def _first_word(term: str) -> str:
+    return re.match(r"\w+", term)[0]
+
+
+@cache
+def synonym_index() -> tuple[dict[str, list[int]], list[str]]:
+    """First word of a term -> numbers of the rules that a text with that word may need.
+
+    These are the rules whose terms begin with it and, over and over, those that what they write can call for.
+    """
+    rules = synonym_rules()
+    by_word: dict[str, set[int]] = {}
+    for i, (term, _, _) in enumerate(rules):
+        by_word.setdefault(_first_word(term), set()).add(i)
+    # what a rule writes may stand beside words of the text, so a written word calls for terms that hold it anywhere
+    holding = {w: {i for i, (t, _, _) in enumerate(rules) if w in re.findall(r"\w+", t)} for _, new, _ in rules for w in re.findall(r"\w+", new.lower())}
+    closed = {}
+    for word, own in by_word.items():
+        found, todo = set(own), list(own)
+        while todo:
+            called = set().union(*(holding[w] for w in re.findall(r"\w+", rules[todo.pop()][1].lower()))) - found
+            found |= called
+            todo += called
+        closed[word] = sorted(found)
+    return closed, list(closed)
+
+
+def _needed_rules(low: Column) -> Column:
+    """Numbers of the rules that a lower-case text may need, ascending: its words are split off once and looked up."""
+    closed, firsts = synonym_index()
+    met = F.array_intersect(F.split(low, r"(?U)\W+"), F.array(*map(F.lit, firsts)))
+    by_length = {n: F.create_map(*[x for w in firsts if len(w) == n for x in (F.lit(w), F.array(*map(F.lit, closed[w])))]) for n in sorted(set(map(len, firsts)))}
+
+    def numbers(w: Column) -> Column:
+        found = F.when(F.lit(False), F.array().cast("array<int>"))
+        for n, table in by_length.items():
+            found = found.when(F.length(w) == n, F.element_at(table, w))
+        return found
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(met, numbers))))
+
+
+def by_number(i: Column, made: list[Callable[[], Column]], first: int = 0) -> Column:
+    """The column of number ``i``, by halving: every rule keeps a pattern of its own, which is compiled once."""
+    if len(made) == 1:
+        return made[0]()
+    half = len(made) // 2
+    return F.when(i < first + half, by_number(i, made[:half], first)).otherwise(by_number(i, made[half:], first + half))
+
+
+def _java(new: str) -> str:
+    return new.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def _whole(term: str) -> str:
+    return rf"{FLAGS}\b{re.escape(term)}\b"
+
+
 def resolve_synonyms(c: Column) -> Column:
     """Every rule in turn over what the ones before it left, whole words in any case.
 
-    One alternation guards the cascade: a text without any term skips all rules, as rules write terms
-    only where some rule fired. Inside, the rules are folded over the text, and a rule's pattern runs
-    only if a plain search finds its term.
+    The text's words are split off once; only rules whose terms begin with one of them, and rules that what
+    these write can call for, run over the text, in the order of all rules.
     """
     rules = synonym_rules()
-    any_term = "|".join(re.escape(t) for t, _, _ in rules)
-    made = [F.struct(F.lit(t).alias("t"), F.lit(rf"{FLAGS}\b{re.escape(t)}\b").alias("p"), F.lit(new.replace("\\", "\\\\").replace("$", "\\$")).alias("n")) for t, new, _ in rules]
-    both = lambda x: F.struct(x.alias("t"), F.lower(F.upper(x)).alias("low"))
+    rule = lambda now, i: by_number(i, [lambda t=t, new=new: F.regexp_replace(now, _whole(t), _java(new)) for t, new, _ in rules])
+    return bind(c, lambda t: bind(_needed_rules(F.lower(F.upper(t))), lambda some: F.when(F.coalesce(F.size(some), F.lit(0)) < 1, t).otherwise(F.aggregate(some, t, rule))))
 
-    def rule(now: Column, r: Column) -> Column:
-        return F.when(F.contains(now["low"], r["t"]), both(F.regexp_replace(now["t"], r["p"], r["n"]))).otherwise(now)
 
-    folded = F.aggregate(F.array(*made), both(c), rule, lambda z: z["t"])
-    return F.when(c.rlike(rf"{FLAGS}\b(?:{any_term})\b"), folded).otherwise(c)
+LOG = "array<struct<original:string,resolved:string,category:string,confidence:double,position:int>>"
 
 
-_LOG = T.ArrayType(T.StructType([T.StructField("original", T.StringType()), T.StructField("resolved", T.StringType()), T.StructField("category", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("position", T.IntegerType())]))
+def match_starts(text: Column, pattern: Column, found: Column) -> Column:
+    """Where the matches ``found`` of a pattern begin, in code points: the pieces between them tell."""
+    lengths = bind(F.split(text, pattern, -1), lambda pieces: F.transform(found, lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("own"))))
+    step = lambda z, x: F.struct((z["at"] + x["gap"] + x["own"]).alias("at"), F.concat(z["out"], F.array(z["at"] + x["gap"])).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, step, lambda z: z["out"])
 
 
-@F.pandas_udf(_LOG)
-def synonym_log(s: pd.Series) -> pd.Series:
+def synonym_log(c: Column) -> Column:
     """The substitutions of resolve_synonyms with places in the text as it was then, last match of a rule first."""
-    rules = [(re.compile(rf"\b{re.escape(t)}\b", re.I), new, cat) for t, new, cat in synonym_rules()]
 
-    def one(text: str | None) -> list[dict]:
-        log = []
-        for pattern, new, cat in rules if text else ():
-            hits = list(pattern.finditer(text))
-            log += [{"original": m.group(), "resolved": new, "category": cat, "confidence": 0.9, "position": m.start()} for m in reversed(hits)]
-            text = pattern.sub(lambda _, new=new: new, text)
-        return log
+    def said(text: Column, term: str, new: str, cat: str) -> Column:
+        row = lambda m, at: F.struct(m.alias("original"), F.lit(new).alias("resolved"), F.lit(cat).alias("category"), F.lit(0.9).alias("confidence"), at.alias("position"))
+        rows = lambda found: bind(match_starts(text, F.lit(_whole(term)), found), lambda at: F.reverse(F.transform(found, lambda m, i: row(m, F.get(at, i)))))
+        return bind(F.regexp_extract_all(text, F.lit(_whole(term)), F.lit(0)), rows).cast(LOG)
 
-    return s.map(one)
+    def one(now: Column, term: str, new: str, cat: str) -> Column:
+        return F.struct(F.regexp_replace(now["t"], _whole(term), _java(new)).alias("t"), F.concat(now["log"], said(now["t"], term, new, cat)).alias("log"))
+
+    rules = synonym_rules()
+    rule = lambda now, i: by_number(i, [lambda r=r: one(now, *r) for r in rules])
+    none = F.array().cast(LOG)
+    folded = lambda t: bind(_needed_rules(F.lower(F.upper(t))), lambda some: F.aggregate(some, F.struct(t.alias("t"), none.alias("log")), rule, lambda z: z["log"]))
+    return F.when(c.isNull(), none).otherwise(bind(c, folded))
 
 
 def resolve_term(c: Column) -> tuple[Column, Column, Column]:
