@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import CONFIDENCE_FACTORS
 from ..functions.measures import checked_location, iso, parse_timestamp
 from ..functions.text import clean_text, lookup
+from .scan import clamped
 
 #: metadata field -> event type
 EVENT_TYPES = {"creation_date": "evidence_created", "modification_date": "evidence_modified", "datetime_original": "photo_taken", "datetime_digitized": "photo_digitized", "creation_time": "video_recorded"}
@@ -101,32 +102,30 @@ def canonical(df: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def confidence_steps(df: DataFrame, keys: list[str], order: str, kind: str, override: str | None = None, start: float = 1.0) -> DataFrame:
-    """Before and after of every transformation of a field, folded in order and clamped to 0..1 at each step.
+def confidence_steps(df: DataFrame, keys: list[str], order: str, kind: str, override: str | None = None, start: float = 1.0, block_bits: int = 8) -> DataFrame:
+    """Before and after of every transformation of a field, in order and clamped to 0..1 at each step.
 
-    A field's steps are few; the fold runs inside one array, as clamping is not associative.
+    Steps of one order go by factor, override and kind. A field may have any number of steps: see ``scan.clamped``.
     """
     factor = F.create_map(*[F.lit(x) for kv in CONFIDENCE_FACTORS.items() for x in kv])
     given = F.col(override) if override else F.lit(None).cast("double")
-    step = F.struct(F.col(order).alias("ord"), F.coalesce(F.try_element_at(factor, F.col(kind)), F.lit(1.0)).alias("factor"), given.alias("override"), F.col(kind).alias("kind"))
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    out_type = "array<struct<ord:bigint,kind:string,before:double,after:double>>"
-
-    def fold(state: Column, x: Column) -> Column:
-        after = F.when(x["override"].isNotNull(), clamp(x["override"])).otherwise(clamp(state["now"] * x["factor"]))
-        one = F.struct(x["ord"].cast("bigint").alias("ord"), x["kind"].alias("kind"), state["now"].alias("before"), after.alias("after"))
-        return F.struct(after.alias("now"), F.concat(state["out"], F.array(one)).cast(out_type).alias("out"))
-
-    begin = F.struct(F.lit(min(1.0, max(0.0, start))).alias("now"), F.array().cast(out_type).alias("out"))
-    return rows.select(*keys, F.inline(F.aggregate("steps", begin, fold, lambda z: z["out"])))
+    by = F.coalesce(F.try_element_at(factor, F.col(kind)), F.lit(1.0))
+    fixed = F.when(given.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)))
+    group = F.to_json(F.struct(*keys))
+    at = F.struct(F.col(order).cast("bigint").alias("ord"), by.alias("factor"), given.alias("override"), F.col(kind).alias("kind"))
+    items = df.select(group.alias("g"), *keys, at.alias("at"), F.when(given.isNull(), by).otherwise(0.0).alias("a"), F.coalesce(fixed, F.lit(0.0)).alias("lo"), F.coalesce(fixed, F.lit(1.0)).alias("hi"))
+    out = clamped(items, ["g"], min(1.0, max(0.0, start)), keys, block_bits)
+    return out.select(*keys, "at.ord", "at.kind", "before", "after")
 
 
 def audit(steps: DataFrame, key: str) -> DataFrame:
     """Number of transformations, the first 200 as an array, and the mean of the fields' last confidences."""
     last = steps.groupBy(key, "field").agg(F.max_by("after", "ord").alias("last")).groupBy(key).agg(F.round(F.avg("last"), 4).alias("composite"))
-    listed = steps.groupBy(key).agg(F.count("*").alias("transformation_count"), F.slice(F.array_sort(F.collect_list(F.struct("ord", "field", "kind"))), 1, MOST_AUDIT_ROWS).alias("transformations"))
-    return listed.join(last, key)
+    place = F.row_number().over(Window.partitionBy(key).orderBy("ord", "field", "kind"))
+    first = steps.withColumn("place", place).where(F.col("place") <= MOST_AUDIT_ROWS)
+    listed = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ord", "field", "kind"))), lambda x: F.struct(x["ord"].alias("ord"), x["field"].alias("field"), x["kind"].alias("kind"))).alias("transformations"))
+    counted = steps.groupBy(key).agg(F.count("*").alias("transformation_count"))
+    return counted.join(listed, key).join(last, key)
 
 
 def stage_status(outcomes: dict[str, Column]) -> tuple[Column, Column, Column]:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from .scan import ordered as ordered_rows
+from .scan import running, with_next
+
 
 def ordered(df: DataFrame, at: Column, tie: str) -> DataFrame:
     """A total order by time, equal times by ``tie``."""
@@ -13,8 +17,13 @@ def ordered(df: DataFrame, at: Column, tie: str) -> DataFrame:
 
 def conflicts(df: DataFrame, by: list[Column], ts: str, event: str, key: str | None = None) -> DataFrame:
     """Neighbours in input order of which the first is later than the second. ``key`` splits independent timelines;
-    without it all rows form one, which is one task's work."""
-    w = Window.partitionBy(key).orderBy(*by) if key else Window.orderBy(*by)
+    without it all rows form one, which is range-sorted and compared block by block, never in one task. ``by`` is a
+    complete order."""
+    if key is None:
+        names = {f"by{i}": c for i, c in enumerate(by)}
+        rows = ordered_rows(df.select(F.col(event).alias("event_1"), F.col(ts).alias("at"), *[c.alias(n) for n, c in names.items()]), [], list(names))
+        return with_next(rows, ["event_1", "at"]).where("at > next_at").select("event_1", F.col("next_event_1").alias("event_2"))
+    w = Window.partitionBy(key).orderBy(*by)
     after = df.withColumns({"event_2": F.lead(event).over(w), "__ts": F.lead(ts).over(w)})
     return after.where(F.col(ts) > F.col("__ts")).drop("__ts").withColumnRenamed(event, "event_1")
 
@@ -38,6 +47,29 @@ def source_match(times: list[Column], seconds: int = 300) -> tuple[Column, Colum
     return spread <= seconds, spread
 
 
+def nearest_in_time(a: DataFrame, b: DataFrame, ts: str, id_col: str, seconds: int = 300) -> DataFrame:
+    """For each row of ``a``: a_id, n_near (rows of ``b`` at most ``seconds`` away), before_id (the last of ``b`` up to its
+    time, of equals the largest id) and after_id (the first later one, of equals the smallest id), however far.
+
+    No pairs are made. Rows of ``b``, of ``a``, and two probes at the ends of each window go into one ordering;
+    running counts at the probes give the number between them, a running maximum and minimum give the
+    neighbours. Times of any density cost the same. Null times are left out.
+    """
+    span = F.make_interval(secs=F.lit(seconds))
+    at = F.col(ts).cast("timestamp")
+    none = F.lit(None).cast(b.schema[id_col].dataType)
+    points = F.array(*[F.struct(t.alias("at"), F.lit(side).alias("side")) for t, side in ((at - span, 0), (at, 2), (at + span, 3))])
+    mine = a.where(at.isNotNull()).select(F.inline(points), F.col(id_col).alias("a_id"), none.alias("b_id"))
+    theirs = b.where(at.isNotNull()).select(at.alias("at"), F.lit(1).alias("side"), F.lit(None).cast(a.schema[id_col].dataType).alias("a_id"), F.col(id_col).alias("b_id"))
+    rows = ordered_rows(materialize(mine.union(theirs), "points"), [], ["at", "side", "b_id"])
+    here = F.when(F.col("side") == 1, F.struct("at", "b_id"))
+    seen = running(rows, [], {"n": ("sum", F.when(F.col("side") == 1, 1).otherwise(0)), "last": ("max", here)})
+    coming = running(rows.select("row_no", "block_no", here.alias("here")), [], {"first": ("min", F.col("here"))}, backwards=True)
+    found = seen.where("side <> 1").join(coming.select("row_no", "first"), "row_no")
+    of = lambda c, side: F.max(F.when(F.col("side") == side, c))
+    return found.groupBy("a_id").agg((of(F.col("n"), 3) - of(F.col("n"), 0)).alias("n_near"), of(F.col("last.b_id"), 2).alias("before_id"), of(F.col("first.b_id"), 2).alias("after_id"))
+
+
 def matching_pairs(a: DataFrame, b: DataFrame, ts: str, id_col: str, seconds: int = 300) -> DataFrame:
     """(a_id, b_id) at most ``seconds`` apart: rows meet in time buckets, those of ``b`` also in the two next to theirs, so it is an equality join."""
     at = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / seconds)

@@ -184,6 +184,12 @@ def win03(spark, d):
     return timeline.conflicts(table(spark, d, "events"), [F.expr(_INPUT), F.col("event_id")], "ts", "event_id", "user_id").select("user_id", "event_1", "event_2")
 
 
+@query("win03_whole_timeline", f"SELECT event_id AS event_1, e2 AS event_2 FROM (SELECT event_id, ts, lead(event_id) OVER w AS e2, lead(ts) OVER w AS t2 FROM events WINDOW w AS (ORDER BY {_INPUT}, event_id)) AS x WHERE ts > t2")
+def win03_whole(spark, d):
+    """All events as one timeline, without a key."""
+    return timeline.conflicts(table(spark, d, "events"), [F.expr(_INPUT), F.col("event_id")], "ts", "event_id")
+
+
 @query("win04_after_sorting", "SELECT user_id, event_id AS event_1, event_id AS event_2 FROM events WHERE false")
 def win04(spark, d):
     return timeline.inconsistencies_after_sorting(table(spark, d, "events"), "ts", "event_id", "user_id").select("user_id", "event_1", "event_2")
@@ -235,6 +241,16 @@ def jn15_pairs(spark, d):
     return timeline.matching_pairs(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), "ts", "event_id")
 
 
+@query("jn15_nearest", """WITH a AS (SELECT * FROM events WHERE event_type = 'click'), b AS (SELECT * FROM events WHERE event_type = 'purchase'),
+n AS (SELECT a.event_id, count(*) AS n FROM a JOIN b ON b.ts BETWEEN a.ts - INTERVAL 300 SECOND AND a.ts + INTERVAL 300 SECOND GROUP BY 1),
+p AS (SELECT ts, max(event_id) AS last, min(event_id) AS first FROM b GROUP BY 1)
+SELECT a.event_id AS a_id, coalesce(n.n, 0) AS n_near, x.last AS before_id, y.first AS after_id FROM a LEFT JOIN n USING (event_id) ASOF LEFT JOIN p x ON a.ts >= x.ts ASOF LEFT JOIN p y ON a.ts < y.ts""")
+def jn15_nearest(spark, d):
+    """Clicks with the purchases around them: how many within five minutes, and the nearest on either side."""
+    e = table(spark, d, "events")
+    return timeline.nearest_in_time(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), "ts", "event_id")
+
+
 _GAPS = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, round((epoch_us(ts) - epoch_us(p)) / 3.6e9, 4) AS h FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) AS x"
 _HYP = "SELECT o_custkey AS user_id, o_orderkey AS seq, (o_orderkey % 100) / 100.0 AS score, o_orderpriority AS kind, concat('item ', CAST(o_orderkey % 3 AS STRING)) AS m1, concat('item ', CAST(o_orderkey % 5 AS STRING)) AS m2 FROM {orders}"
 _HD = _HYP.replace("STRING", "VARCHAR").format(orders="orders")
