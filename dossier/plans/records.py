@@ -414,6 +414,19 @@ def win10(spark, d):
     return lockouts(e, "user_id", "ts", "event_id", "success")
 
 
+@query("str02_queue", """WITH j AS (SELECT event_id AS job, event_type AS type, 1704067200000000 + (event_id // 3) * 1000000 AS came FROM events),
+n AS (SELECT *, row_number() OVER (ORDER BY came, job) - 1 AS n FROM j)
+SELECT job, CASE WHEN type IN ('click', 'view', 'purchase') THEN 'RELEASED' ELSE 'DEAD_LETTER' END AS status, (n * 2000000 + max(came - n * 2000000) OVER (ORDER BY n)) // 1000000 AS released_at FROM n""")
+def str02(spark, d):
+    """One queue for all jobs: three come in a second, one leaves in two; types without a handler become dead letters."""
+    from ..streaming.operators import release_times, routed
+
+    jobs = table(spark, d, "events").select(F.col("event_id").alias("job"), F.col("event_type").alias("type"), F.expr("timestamp_seconds(unix_seconds(TIMESTAMP '2024-01-01') + event_id DIV 3)").alias("at"))
+    handled = {k: (lambda df: df.withColumn("status", F.lit("RELEASED"))) for k in ("click", "view", "purchase")}
+    done, others = routed(release_times(jobs, [], "at", "job"), handled)
+    return done.unionByName(others.withColumn("status", F.lit("DEAD_LETTER"))).select("job", "status", F.unix_seconds("released_at").alias("released_at"))
+
+
 @query("str01_poll_batch", f"SELECT id FROM {duck('evidence')} e WHERE status = 'COMPLETED' AND NOT is_deleted AND NOT EXISTS (SELECT 1 FROM {duck('normalizations')} n WHERE n.evidence_id = e.id AND n.status IN ('COMPLETED', 'IN_PROGRESS')) ORDER BY created_at, id LIMIT 5")
 def str01(spark, d):
     """One poll: the five oldest pending."""

@@ -23,13 +23,87 @@ def evidence_stream(spark: SparkSession, path: str, schema, per_trigger: int = 5
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def routed(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], kind: str = "type") -> DataFrame:
-    """Each job type through its own handler; other types are left out."""
+def release_times(jobs: DataFrame, queue: list[str], at: str, job: str, seconds: int = 2) -> DataFrame:
+    """``jobs`` with released_at: first come, first served, one job every ``seconds`` for each queue (all jobs form one without a key).
+
+    Job n (from 0, by time and then id) leaves at max(its time, seconds after the one before it), which is
+    n * seconds + the running maximum of (time of job k - k * seconds): a running value, so a queue of any
+    length is cut into blocks. Queue keys must not be null.
+    """
+    from ..operators.scan import ordered, positions, running
+
+    rows = ordered(jobs, queue, [at, job])
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    placed = positions(rows.withColumn("all", F.lit(0)), [*queue, "all"])
+    lead = running(placed, queue, {"lead": ("max", micros - F.col("place") * (seconds * 1_000_000))})
+    return lead.withColumn("released_at", F.timestamp_micros(F.col("lead") + F.col("place") * (seconds * 1_000_000))).select(*jobs.columns, "released_at")
+
+
+class AnalysisQueue(StatefulProcessor):
+    """A first-in, first-out queue as stream state by queue name; rows: queue, at (timestamp), job, type, payload.
+
+    A job's release slot is its time, or ``seconds`` after the slot before it. A timer for each slot lets one job
+    out and through the handler of its type. A type without a handler and a handler that fails make a row
+    of status DEAD_LETTER with the reason: no job is lost, and none is released twice. Jobs of one batch join
+    the queue by time and id.
+    """
+
+    def __init__(self, handlers: dict[str, Callable[[str], str]], seconds: int = 2):
+        self.handlers, self.step = handlers, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "slot bigint, job bigint, type string, payload string")
+        self.last = handle.getValueState("last", "slot bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N803, ANN001, ANN201
+        came = sorted((int(t.value // 1000), int(j), k, p) for b in rows for t, j, k, p in zip(b["at"], b["job"], b["type"], b["payload"]))
+        last = self.last.get()[0] if self.last.exists() else None
+        joined = []
+        for at, job, kind, payload in came:
+            last = at if last is None else max(at, last + self.step)
+            joined.append((last, job, kind, payload))
+            self.handle.registerTimer(last // 1000 + 1)
+        self.waiting.appendList(joined)
+        self.last.update((last,))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803, ANN001, ANN201
+        until, out, rest = expiredTimerInfo.getExpiryTimeInMs() * 1000, [], []
+        for slot, job, kind, payload in self.waiting.get():
+            if slot >= until:
+                rest.append((slot, job, kind, payload))
+                continue
+            status, detail = "DEAD_LETTER", f"no handler for {kind}"
+            if kind in self.handlers:
+                try:
+                    status, detail = "DONE", self.handlers[kind](payload)
+                except Exception as e:  # any failing job: the error is the row
+                    detail = f"{type(e).__name__}: {e}"
+            out.append((key[0], job, kind, pd.Timestamp(slot, unit="us"), status, detail))
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(out, columns=["queue", "job", "type", "released_at", "status", "detail"])
+
+    def close(self) -> None:
+        pass
+
+
+def analysis_stream(jobs: DataFrame, handlers: dict[str, Callable[[str], str]], seconds: int = 2, late: str = "1 minute") -> DataFrame:
+    """(queue, job, type, released_at, status, detail) of a stream of jobs, each once its slot is behind the watermark."""
+    seen = jobs.select("queue", "at", "job", "type", "payload").withWatermark("at", late)
+    return seen.groupBy("queue").transformWithStateInPandas(AnalysisQueue(handlers, seconds), "queue string, job bigint, type string, released_at timestamp, status string, detail string", "append", "eventTime")
+
+
+def routed(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], kind: str = "type") -> tuple[DataFrame, DataFrame]:
+    """Each job type through its own handler; and the jobs of other types (null too), which no handler takes."""
     parts = [f(jobs.where(F.col(kind) == name)) for name, f in handlers.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out, jobs.where(~F.coalesce(F.col(kind).isin(*handlers), F.lit(False)))
 
 
 def rate_limits(requests: DataFrame, client: str, ts: str, most: int, minutes: int = 15, late: str = "1 hour") -> DataFrame:
@@ -82,27 +156,57 @@ def lockouts(logins: DataFrame, user: str, ts: str, tie: str, success: str) -> D
 
 
 class Lockout(StatefulProcessor):
-    """The lockout as stream state by user; rows: user, at (seconds), ok."""
+    """The lockout as stream state by user; rows: user, ts, event, ok.
+
+    Logins wait in list state until the watermark has passed them and are then taken in order of time and
+    event, so batches may come in any order within the watermark's delay. A user's state is forgotten after
+    ``idle_days`` without a login; a later login starts from no attempts.
+    """
+
+    def __init__(self, idle_days: float = 30.0):
+        self.idle = int(idle_days * 86_400_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("lock", "attempts int, until double")
+        self.handle = handle
+        self.state = handle.getValueState("lock", "attempts int, until double, last bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, event bigint, ok boolean")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N803, ANN001, ANN201
-        attempts, until = self.state.get() if self.state.exists() else (0, 0.0)
-        for b in rows:
-            out = []
-            for at, ok in sorted(zip(b["at"], b["ok"])):
-                attempts, until, said = after_login(attempts, until, at, ok)
-                out.append((key[0], at, said, attempts))
-            yield pd.DataFrame(out, columns=["user", "at", "outcome", "attempts"])
-        self.state.update((attempts, until))
+        came = [(int(t.value // 1000), int(e), bool(ok)) for b in rows for t, e, ok in zip(b["ts"], b["event"], b["ok"])]
+        self.waiting.appendList(came)
+        self.handle.registerTimer(max(came)[0] // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803, ANN001, ANN201
+        until, due, rest, out = expiredTimerInfo.getExpiryTimeInMs() * 1000, [], [], []
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            (due if row[0] < until else rest).append(tuple(row))
+        attempts, locked, last = self.state.get() if self.state.exists() else (0, 0.0, None)
+        for at, event, ok in sorted(due):
+            if last is not None and at - last > self.idle:
+                attempts, locked = 0, 0.0
+            attempts, locked, said = after_login(attempts, locked, at / 1e6, ok)
+            last = at
+            out.append((key[0], event, said, attempts))
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if due:
+            self.state.update((attempts, locked, last))
+            self.handle.registerTimer((last + self.idle) // 1000 + 1)
+        elif not rest and last is not None and until > last + self.idle:
+            self.state.clear()
+        yield pd.DataFrame(out, columns=["user", "event", "outcome", "attempts"])
 
     def close(self) -> None:
         pass
 
 
-def lockout_stream(logins: DataFrame) -> DataFrame:
-    return logins.groupBy("user").transformWithStateInPandas(Lockout(), "user bigint, at double, outcome string, attempts int", "append", "none")
+def lockout_stream(logins: DataFrame, late: str = "1 hour", idle_days: float = 30.0) -> DataFrame:
+    """(user, event, outcome, attempts) of a stream of logins (user, ts, event, ok), once they are behind the watermark."""
+    seen = logins.select("user", "ts", "event", "ok").withWatermark("ts", late)
+    return seen.groupBy("user").transformWithStateInPandas(Lockout(idle_days), "user bigint, event bigint, outcome string, attempts int", "append", "eventTime")
 
 
 class Progress(StreamingQueryListener):

@@ -50,26 +50,74 @@ def test_lockout_steps_and_batch(spark):
     assert got.count() == e.count() and got.where("outcome = 'LOCKED_NOW'").count() > 0
 
 
-def test_lockout_stream_matches_batch(spark, tmp_path):
-    src = f"{tmp_path}/src"
-    rows = [(u, float(t), t % 5 == 4) for u in (1, 2) for t in range(12)]
-    df = spark.createDataFrame(rows, "user long, at double, ok boolean")
-    df.coalesce(1).write.parquet(src)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def replay(spark, tmp_path, name, parts, made):
+    """Rows that a stream over ``parts`` (one file and batch each, in this order) has given by its end."""
+    src = f"{tmp_path}/{name}"
+    for i, df in enumerate(parts):
+        df.coalesce(1).write.parquet(f"{src}/n={i:04d}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
-        q = S.lockout_stream(spark.readStream.schema(df.schema).parquet(src)).writeStream.format("memory").queryName("locks").outputMode("append").trigger(availableNow=True).start()
+        stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/n=*")
+        q = made(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
-        got = sorted((r.user, r.at, r.outcome) for r in spark.table("locks").collect())
+        return spark.table(name).collect(), q.lastProgress
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    b = df.select("user", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("ts"), "at", "ok")
-    assert got == sorted((r.user, r.at, r.outcome) for r in S.lockouts(b, "user", "ts", "at", "ok").collect())
 
 
-def test_routing_and_progress(spark):
-    jobs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, type string")
-    out = S.routed(jobs, {"a": lambda d: d.withColumn("r", F.lit("A")), "b": lambda d: d.withColumn("r", F.lit("B"))})
-    assert sorted((r.id, r.r) for r in out.collect()) == [(1, "A"), (2, "B")]
+def test_shuffled_replay_of_logins_equals_the_batch_query(spark, tmp_path):
+    """Logins in five batches, out of order over the whole span, several to a user and batch: the same as one ordered pass."""
+    e = table(spark, DIR, "events").where("user_id < 12").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("event"), (F.col("event_type") == "purchase").alias("ok"))
+    parts = [e.where(F.pmod(F.xxhash64("event"), F.lit(5)) == i) for i in range(5)]
+    end = spark.createDataFrame([(-1, "2025-06-01 00:00:00", -1, True)], "user long, t string, event long, ok boolean").select("user", F.to_timestamp("t").alias("ts"), "event", "ok")
+    got, _ = replay(spark, tmp_path, "locks", [*parts, end], lambda df: S.lockout_stream(df, "60 days", 400))
+    want = S.lockouts(e, "user", "ts", "event", "ok").collect()
+    assert sorted((r.user, r.event, r.outcome, r.attempts) for r in got) == sorted((r.user, r.event, r.outcome, r.attempts) for r in want) and want
+    assert any(r.outcome == "LOCKED" for r in want) and any(r.outcome == "LOCKED_NOW" for r in want)
+
+
+def test_idle_users_are_forgotten(spark, tmp_path):
+    """Four failures, then nothing for a month: the fifth is the first again, and no state is left of who stays away."""
+    make = lambda rows: spark.createDataFrame(rows, "user long, t string, event long, ok boolean").select("user", F.to_timestamp("t").alias("ts"), "event", "ok")
+    first = make([(1, f"2024-01-01 00:0{i}:00", i, False) for i in range(4)] + [(2, "2024-01-01 00:00:00", 50, False)])
+    later = make([(1, "2024-03-01 00:00:00", 9, False)])
+    parts = [first, make([(3, "2024-01-02 00:00:00", 60, True)]), make([(3, "2024-02-20 00:00:00", 61, True)]), later, make([(3, "2024-09-01 00:00:00", 62, True)]), make([(3, "2025-03-01 00:00:00", 63, True)])]
+    got, progress = replay(spark, tmp_path, "idle", parts, lambda df: S.lockout_stream(df, "1 hour", 30))
+    assert {(r.user, r.event): (r.outcome, r.attempts) for r in got if r.user == 1} == {(1, 0): ("FAILED", 1), (1, 1): ("FAILED", 2), (1, 2): ("FAILED", 3), (1, 3): ("FAILED", 4), (1, 9): ("FAILED", 1)}
+    assert progress.stateOperators[0].numRowsTotal <= 8  # what is left is the last user's: state, waiting login, timers
+
+
+def test_queue_replay_keeps_order_and_every_job(spark, tmp_path):
+    """Jobs in three batches: one leaves every two seconds in order, unknown types and failures become dead letters."""
+    rows = [("q", 1000 + 10 * (i // 4), i, ["text", "image", "odd", None][i % 4], f"p{i}") for i in range(24)] + [("r", 1005, 100, "text", "bad")]
+    make = lambda x: spark.createDataFrame(x, "queue string, s long, job long, type string, payload string").select("queue", F.timestamp_seconds("s").alias("at"), "job", "type", "payload")
+    parts = [make(rows[:9]), make(rows[9:20]), make(rows[20:]), make([("end", 10_000, -1, "text", "")])]
+
+    def text(payload):
+        if payload == "bad":
+            raise ValueError("unreadable")
+        return payload.upper()
+
+    got, _ = replay(spark, tmp_path, "queue", parts, lambda df: S.analysis_stream(df, {"text": text, "image": lambda p: f"<{p}>"}))
+    got = sorted((r for r in got if r.queue != "end"), key=lambda r: (r.queue, r.released_at))
+    assert [r.job for r in got] == [*range(24), 100]
+    assert {r.job: (r.status, r.detail) for r in got if r.job in (0, 1, 2, 3, 100)} == {0: ("DONE", "P0"), 1: ("DONE", "<p1>"), 2: ("DEAD_LETTER", "no handler for odd"), 3: ("DEAD_LETTER", "no handler for None"), 100: ("DEAD_LETTER", "ValueError: unreadable")}
+    want, last = {}, None
+    for _, s, job, _, _ in rows[:24]:
+        last = s if last is None else max(s, last + 2)
+        want[job] = last
+    assert {r.job: int(r.released_at.timestamp()) for r in got if r.queue == "q"} == want
+    batch = S.release_times(make(rows[:24]), ["queue"], "at", "job").collect()
+    assert {r.job: int(r.released_at.timestamp()) for r in batch} == want
+
+
+def test_routing_keeps_unknown_types_and_progress(spark):
+    jobs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id int, type string")
+    out, others = S.routed(jobs, {"a": lambda d: d.withColumn("r", F.lit("A")), "b": lambda d: d.withColumn("r", F.lit("B"))})
+    assert sorted((r.id, r.r) for r in out.collect()) == [(1, "A"), (2, "B")] and sorted(r.id for r in others.collect()) == [3, 4]
     f = spark.createDataFrame([(1, "COMPLETED", 2), (1, "DUPLICATE", 2), (2, "FAILED", 2)], "s int, status string, total int")
     assert {r.s: r.is_complete for r in S.session_progress(f, "s", "status", "total").collect()} == {1: True, 2: False}
 
