@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-from itertools import islice
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.classify import stage_code
+from ..storage import materialize, ship_package
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,61 +23,84 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Query vectors that one pass over the vectors answers.
-QUERY_ROWS = 2048
+#: Numbers of the vectors and of the queries of a tile at most, about; rows of a tile from which on more tiles share the work.
+VECTOR_NUMBERS, QUERY_NUMBERS, SMALL_TILE = 1 << 22, 1 << 17, 512
+#: Queries that are multiplied with a tile at once, and what rounding may move a product by.
+AT_ONCE, SLACK = 64, 1e-9
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score): for each query row its ``k`` best by cosine, equal scores by id.
+    """(query_id, id, score): for each query row its ``k`` best by cosine, equal cosines by id (null first).
 
-    Queries are fetched in blocks of QUERY_ROWS; a pass over the vectors for each block keeps the ``k``
-    best of a batch for each query, and only those of a task are shuffled. Vectors without a cosine
-    (null, zero, of another length) score null and come last.
+    Queries and vectors are dealt to tiles of bounded size; every pair of tiles gives the ``k`` best of its
+    vectors for each of its queries, and these are merged, ranks by ranks, before they are gathered. The plan is
+    the same for any number of queries, and none of them passes through the driver. Cosines rank as they
+    are; the score is rounded to six digits. Vectors without a cosine (null, zero, of another length)
+    score null and come last. Repeated query rows are answered each.
     """
-    kinds = (queries.schema[id_col].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString())
-    rows = queries.select(id_col, vec_col).toLocalIterator()
-    parts, start = [], 0
-    while block := list(islice(rows, QUERY_ROWS)):
-        parts.append(_block(vectors.select(id_col, vec_col), block, start, k, f"n bigint, query_id {kinds[0]}, `{id_col}` {kinds[1]}, score double"))
-        start += len(block)
-    parts = parts or [_block(vectors.select(id_col, vec_col), [], 0, k, f"n bigint, query_id {kinds[0]}, `{id_col}` {kinds[1]}, score double")]
-    ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.col("score").desc(), id_col)))
-    return ranked.where(F.col("rank") <= k).select("query_id", id_col, "score")
-
-
-def _block(vectors: DataFrame, block: list, start: int, k: int, schema: str) -> DataFrame:
-    """The ``k`` best of each batch of vectors for each query row of ``block``, numbered from ``start``."""
-    ids, asked, names = [r[0] for r in block], [r[1] for r in block], ["n", "query_id", vectors.columns[0], "score"]
-    by_size: dict[int, list[int]] = {}
-    for i, v in enumerate(asked):
-        by_size.setdefault(len(v or []), []).append(i)
-    matrices = {n: (at, np.array([asked[i] or [] for i in at], np.float64).reshape(len(at), n)) for n, at in by_size.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                part = batch.slice(low, 4096)
-                vec = part.column(1)
-                size = np.array(vec.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-                score = np.full((len(ids), part.num_rows), np.nan)
-                for n, (at, q) in matrices.items():
-                    on = np.flatnonzero(size == n)
-                    if n and len(on):
-                        m = vec.take(pa.array(on)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            score[np.ix_(at, on)] = np.round(q @ m.T / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((m * m).sum(1))), 6)
-                score = np.where(np.isfinite(score), score, -np.inf)
-                by_id = np.asarray(pc.sort_indices(part.column(0), null_placement="at_start")).astype(np.int64)
-                best = [by_id[np.argsort(-s[by_id], kind="stable")[:k]] for s in score]
-                n = np.repeat(np.arange(len(ids)), np.array([len(b) for b in best], np.int64))
-                at = np.concatenate([np.empty(0, np.int64), *best])
-                s = score[n, at]
-                yield pa.RecordBatch.from_arrays([pa.array(n + start), pa.array(ids, kind).take(pa.array(n)), part.column(0).take(pa.array(at)), pa.array(s, mask=~np.isfinite(s))], names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(T._parse_datatype_string(schema)["query_id"].dataType)
-    return vectors.mapInArrow(run, schema)
+    spark = vectors.sparkSession
+    ship_package(spark)
+    kinds = dict(vectors.dtypes)
+    asked = materialize(queries.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("query_id"), F.col(vec_col).alias("asked")), "queries")
+    measure = lambda df, c: df.agg(F.count("*"), F.sum(F.greatest(F.size(c), F.lit(1)))).first()
+    (rows, numbers), (_, query_numbers) = measure(vectors, vec_col), measure(asked, "asked")
+    tiles = max(-(-(numbers or 1) // VECTOR_NUMBERS), min(spark.sparkContext.defaultParallelism, -(-rows // SMALL_TILE)), 1)
+    query_tiles = max(1, -(-(query_numbers or 1) // QUERY_NUMBERS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("q", F.pmod(F.xxhash64("n"), F.lit(query_tiles))).withColumn("v", every(tiles))
+    right = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tiles)).alias("v")).withColumn("q", every(query_tiles))
+    pair = (F.col("q") * tiles + F.col("v")).alias("pair")
+    left, right = left.select(pair, "n", "query_id", "asked"), right.select(pair, "id", "vec")
+    schema = f"n bigint, query_id {dict(queries.dtypes)[id_col]}, id {kinds[id_col]}, score double"
+    best = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(lambda q, v: best_of_tiles(q, v, k), schema)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.col("score").desc_nulls_last(), F.col("id").asc_nulls_first())))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), F.round("score", 6).alias("score"))
+
+
+def _matrix(column: pa.Array, at: np.ndarray, n: int) -> np.ndarray:
+    return column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+
+
+def best_of_tiles(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+    """(n, query_id, id, score): the ``k`` best of a tile of vectors for each of a tile of queries, by cosine and then id.
+
+    Products of whole matrices choose, with some slack; what they choose is scored pair by pair, so that equal
+    vectors score alike wherever they lie.
+    """
+    asked, vec = queries.column("asked").combine_chunks(), vectors.column("vec").combine_chunks()
+    by_id = np.asarray(pc.sort_indices(vectors.column("id").combine_chunks(), null_placement="at_start")).astype(np.int64)
+    place = np.empty(len(by_id), np.int64)
+    place[by_id] = np.arange(len(by_id))
+    sizes = [np.array(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64) for c in (asked, vec)]
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in np.unique(sizes[0][sizes[0] > 0]).tolist():
+        ours, theirs = (np.flatnonzero(s == n) for s in sizes)
+        a, b = _matrix(asked, ours, n), _matrix(vec, theirs, n)
+        with np.errstate(all="ignore"):
+            a_norm, b_norm = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+            good = np.isfinite(b_norm) & (b_norm > 0)
+            theirs, b, b_norm = theirs[good], b[good], b_norm[good]
+            for low in range(0, len(ours), AT_ONCE):
+                rough = (a[low : low + AT_ONCE] / a_norm[low : low + AT_ONCE, None]) @ (b / b_norm[:, None]).T
+                for i, row in enumerate(rough, low):
+                    if not (a_norm[i] > 0 and np.isfinite(a_norm[i])) or not len(theirs):
+                        continue
+                    some = np.flatnonzero(row >= np.partition(row, -k)[-k] - SLACK) if len(row) > k else np.arange(len(row))
+                    exact = (b[some] * a[i]).sum(1) / (a_norm[i] * b_norm[some])
+                    first = np.lexsort((place[theirs[some]], -exact))[:k]
+                    found[int(ours[i])] = theirs[some][first], exact[first]
+    none = (np.empty(0, np.int64), np.empty(0))
+    picks, scores, counts = [], [], []
+    for i in range(len(sizes[0])):
+        at, s = found.get(i, none)
+        if len(at) < k:  # what has no cosine fills up, by id
+            rest = by_id[~np.isin(by_id, at)][: k - len(at)]
+            at, s = np.concatenate([at, rest]), np.concatenate([s, np.full(len(rest), np.nan)])
+        picks.append(at)
+        scores.append(s)
+        counts.append(len(at))
+    rows, at, s = pa.array(np.repeat(np.arange(len(counts)), counts)), pa.array(np.concatenate([none[0], *picks])), np.concatenate([none[1], *scores])
+    return pa.table([queries.column("n").take(rows), queries.column("query_id").take(rows), vectors.column("id").take(at), pa.array(s, mask=~np.isfinite(s))], names=["n", "query_id", "id", "score"])
 
 
 #: fixed values: body temperature, ambient temperature, rigor code, lividity code -> hours

@@ -369,8 +369,8 @@ def win05(spark, d):
     return c.where("k <= 5").orderBy("conv_id", "turn").select("conv_id", "turn", "role")
 
 
-@query("udf03_retrieve", """SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (
-SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) AS s) AS r WHERE k <= 10""")
+@query("udf03_retrieve", """SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM (
+SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) AS s) AS r WHERE k <= 10""")
 def udf03(spark, d):
     """The ten nearest of all vectors for every vector whose id 100 divides."""
     from ..operators.retrieval import nearest

@@ -92,12 +92,21 @@ def txt06(spark, d):
     return m.select("doc_id", F.transform_values("m", lambda _, v: X.clean_text(v, normalize=False))["a"].alias("v"))
 
 
-@query("txt07_encoding", "SELECT doc_id, 'utf-8' AS encoding, 1.0 AS confidence FROM documents")
-def txt07(spark, d):
-    from ..sources.readers import encoding
+_LATIN = "regexp_full_match(text, '[\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]*', 's')"
+_IN = "CASE WHEN doc_id % 6 = 1 AND latin THEN 'ISO-8859-1' WHEN doc_id % 6 = 2 THEN 'UTF-16LE' WHEN doc_id % 6 = 3 THEN 'UTF-16BE' WHEN doc_id % 6 = 4 THEN 'UTF-32' WHEN doc_id % 6 = 5 THEN 'UTF-16' ELSE 'UTF-8' END"
+
 
-    name, sure = encoding(F.col("text").cast("binary"))
-    return table(spark, d, "documents").select("doc_id", name.alias("encoding"), sure.alias("confidence"))
+@query("txt07_encoding", f"SELECT doc_id, CASE form WHEN 'ISO-8859-1' THEN CASE WHEN regexp_full_match(text, '[\\x00-\\x7F]*', 's') THEN 'utf-8' ELSE 'iso-8859-1' END WHEN 'UTF-16LE' THEN 'utf-16-le' WHEN 'UTF-16BE' THEN 'utf-16-be' WHEN 'UTF-32' THEN 'utf-32-be' WHEN 'UTF-16' THEN 'utf-16-be' ELSE 'utf-8' END AS encoding FROM (SELECT *, {_IN} AS form FROM (SELECT doc_id, text, {_LATIN} AS latin FROM documents) AS l) AS e")
+def txt07(spark, d):
+    """Whole texts in six encodings, one of them with an order mark: which is which."""
+    from ..functions.encoding import encoding
+
+    docs = table(spark, d, "documents").withColumn("latin", F.col("text").rlike(r"(?s)\A[\x00-\x7F\xA0-\xFF]*+\z"))
+    forms = ["UTF-8", "ISO-8859-1", "UTF-16LE", "UTF-16BE", "UTF-32", "UTF-16"]
+    form, content = F.expr(_IN), F.lit(None).cast("binary")
+    for f in forms:
+        content = F.when(form == f, F.encode("text", f)).otherwise(content)
+    return docs.select("doc_id", encoding(content)[0].alias("encoding"))
 
 
 def _abbrev(text: str = "text", source: str = RE) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import category, resolve_mime
 from ..functions.measures import dms
+from ..storage import ship_package
 
 PREVIEW, JSON_PREVIEW = 1000, 2000
 #: Rows from which the types of a CSV file's columns are read.
@@ -48,14 +49,6 @@ def empty_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return found
 
 
-def encoding(content: Column) -> tuple[Column, Column]:
-    """(name, confidence): UTF-8 if the bytes are, else by byte order mark, else UTF-8 at 0.5."""
-    head = F.hex(F.substring(content, 1, 3))
-    text = F.is_valid_utf8(F.to_binary(F.hex(content), F.lit("hex")).cast("string"))
-    name = F.when(head.startswith("FFFE"), "utf-16-le").when(head.startswith("FEFF"), "utf-16-be").otherwise("utf-8")
-    return name, F.when(head.startswith("FFFE") | head.startswith("FEFF") | text, 1.0).otherwise(0.5)
-
-
 def text_metadata(text: Column) -> dict[str, Column]:
     """line_count, character_count, word_count and preview, after translating line ends."""
     t = F.regexp_replace(text, r"\r\n?", "\n")
@@ -277,6 +270,7 @@ def register(mime: str, reader: Callable[[bytes], dict[str, str]]) -> None:
 def extract(files: DataFrame, readers: dict[str, Callable[[bytes], dict[str, str]]] | None = None) -> DataFrame:
     """(path, mime, meta_type, metadata map) of scanned files. A file that cannot be read gives a row of type error, not a failure."""
     table = dict(readers or READERS)
+    ship_package(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
