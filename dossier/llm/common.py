@@ -5,44 +5,26 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import BROADCAST_ROWS, broadcast_if_small, discard, materialize, new_path, work_dir  # noqa: F401
+from ..storage import BROADCAST_ROWS, broadcast_if_small, discard, materialize, new_path, ship_package, work_dir  # noqa: F401
 
 #: Rows of a batch between the JVM and Python at most: texts are long, and batches are held on both sides.
 BATCH_ROWS = 2000
 
-_shipped: set[str] = set()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python can import it; bound the batches."""
+    """Send this package to the executors; bound the batches between the JVM and Python for the session, as texts are long."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="dossier-"), "dossier.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+    ship_package(spark)
 
 
 def held_out(doc_id: str = "doc_id"):
