@@ -676,3 +676,26 @@ def cls12(spark, d):
     from ..operators.normalize import autopsy_metadata
 
     return autopsy_metadata(view(spark, d, "reports")).withColumn("injuries", F.array_join("injuries", "|"))
+
+
+_BITS = f"(SELECT id, k, k // 4 AS page, line, CASE WHEN (id + k) % 5 = 0 THEN 'handwritten' ELSE 'printed' END AS content, ((id * 7 + k * 13) % 101) / 100.0 AS pc, ((id * 3 + k * 29) % 97) / 100.0 AS vc, replace(line, 'e', 'E') AS vt, (id + k // 4) % 3 = 0 AS whole FROM (SELECT id, unnest(range(len(ls))) AS k, unnest(ls) AS line FROM (SELECT id, string_split(text, chr(10)) AS ls FROM {RE} r) AS a) AS b)"
+_READ = f"""(SELECT id, page, coalesce(string_agg(CASE WHEN content = 'handwritten' THEN vt ELSE line END, chr(10) ORDER BY k) FILTER (trim(line) <> ''), '') AS text,
+coalesce(avg(CASE WHEN content = 'handwritten' THEN vc ELSE pc END) FILTER (trim(line) <> ''), 0) AS confidence, bool_or(content = 'handwritten') AS v, bool_or(content <> 'handwritten') AS p FROM {_BITS} x WHERE NOT whole GROUP BY 1, 2
+UNION ALL SELECT id, page, CASE WHEN pc < 0.7 AND vc > pc THEN vt ELSE t END, CASE WHEN pc < 0.7 AND vc > pc THEN vc ELSE pc END, pc < 0.7 AND vc > pc, true
+FROM (SELECT id, page, string_agg(line, chr(10) ORDER BY k) AS t, string_agg(vt, chr(10) ORDER BY k) AS vt, min(pc) AS pc, min(vc) AS vc FROM {_BITS} y WHERE whole GROUP BY 1, 2) AS w)"""
+
+
+@query("udf08_recognized", f"""SELECT id, md5(text) AS text_md5, floor(confidence * 1e4 + 0.4999999) / 1e4 AS confidence, page_count, engines, {_first('case_number')} AS case_number, {_first('deceased_age')} AS age FROM (
+SELECT id, coalesce(string_agg(text, concat(chr(10), chr(10), '--- Page Break ---', chr(10), chr(10)) ORDER BY page) FILTER (trim(text) <> ''), '') AS text, coalesce(avg(confidence) FILTER (confidence > 0), 0) AS confidence, count(*) AS page_count,
+concat_ws(',', CASE WHEN bool_or(p) THEN 'print' END, CASE WHEN bool_or(v) THEN 'vision' END) AS engines FROM {_READ} z GROUP BY 1) AS d""")
+def udf08_recognized(spark, d):
+    """Lines of reports as regions, four to a page; every third page has none and is read as a whole. Two readings of each, merged to documents and fields."""
+    from ..operators.recognition import recognized_documents, recognized_pages
+
+    r = view(spark, d, "reports").select("id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    r = r.select("id", F.expr("k div 4").alias("page"), F.col("k").alias("reading_order"), F.when(F.expr("(id + k) % 5 = 0"), "handwritten").otherwise("printed").alias("content"), F.col("line").alias("print_text"), F.expr("((id * 7 + k * 13) % 101) / 100D").alias("print_conf"), F.expr("replace(line, 'e', 'E')").alias("vision_text"), F.expr("((id * 3 + k * 29) % 97) / 100D").alias("vision_conf"))
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", c))), lambda x: x[c]), "\n").alias(c)
+    whole = F.expr("(id + page) % 3 = 0")
+    pages = r.where(whole).groupBy("id", "page").agg(in_order("print_text"), F.min("print_conf").alias("print_conf"), in_order("vision_text"), F.min("vision_conf").alias("vision_conf"))
+    out = recognized_documents(recognized_pages(pages, r.where(~whole), "id"), "id", ["case_number", "deceased_age"])
+    return out.select("id", F.md5("text").alias("text_md5"), (F.floor(F.col("confidence") * 1e4 + 0.4999999) / 1e4).alias("confidence"), "page_count", F.array_join("engines", ",").alias("engines"), "case_number", F.col("deceased_age").alias("age"))
