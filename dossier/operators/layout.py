@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from .scan import BLOCK_BITS, ordered, running_sums, with_next
+
 
 def lines(words: DataFrame, keys: list[str]) -> DataFrame:
     """Words (seq, word, conf, x, y, w, h) joined to lines: text in order, mean confidence, union of boxes. Words of negative confidence are none."""
@@ -31,26 +34,49 @@ def documents(found: DataFrame, doc: str, page: str) -> DataFrame:
     )
 
 
-def reading_order(regions: DataFrame, page: str) -> DataFrame:
-    """Adds reading_order: bands from top to bottom, left to right inside a band.
+#: Regions of a page up to which its bands are folded in one array.
+WHOLE_PAGE = 1024
+_BAND = "array<struct<band:int,x:int,y:int,seq:int>>"
 
-    A region is in the current band if its top is less than half its height from the band's first
-    region. A page's regions are few and are folded in one array.
-    """
-    row = F.struct("y", "x", "seq", "h")
-    sorted_ = regions.groupBy(page).agg(F.array_sort(F.collect_list(row)).alias("r"))
-    kind = "array<struct<band:int,x:int,y:int,seq:int>>"
+
+def _bands(rows: Column) -> Column:
+    """(band, x, y, seq) of regions sorted by (y, x, seq, h), sorted by band, left to right inside a band."""
 
     def step(state: Column, v: Column) -> Column:
         same = F.abs(v["y"] - state["top"]) < v["h"] * 0.5
         band = F.when(state["band"] < 0, 0).when(same, state["band"]).otherwise(state["band"] + 1)
         top = F.when((state["band"] >= 0) & same, state["top"]).otherwise(v["y"])
         one = F.struct(band.cast("int").alias("band"), v["x"].alias("x"), v["y"].alias("y"), v["seq"].alias("seq"))
-        return F.struct(band.cast("int").alias("band"), top.alias("top"), F.concat(state["out"], F.array(one)).cast(kind).alias("out"))
+        return F.struct(band.cast("int").alias("band"), top.alias("top"), F.concat(state["out"], F.array(one)).cast(_BAND).alias("out"))
+
+    start = F.struct(F.lit(-1).alias("band"), F.lit(0).alias("top"), F.array().cast(_BAND).alias("out"))
+    return F.array_sort(F.aggregate(rows, start, step, lambda z: z["out"]))
 
-    start = F.struct(F.lit(-1).alias("band"), F.lit(0).alias("top"), F.array().cast(kind).alias("out"))
-    folded = F.array_sort(F.aggregate("r", start, step, lambda z: z["out"]))
-    return sorted_.select(page, F.posexplode(folded).alias("reading_order", "v")).select(page, F.col("v.seq").alias("seq"), "reading_order", F.col("v.band").alias("band"))
+
+def reading_order(regions: DataFrame, page: str, whole_page: int = WHOLE_PAGE, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """(page, seq, reading_order, band): bands from top to bottom, left to right inside a band.
+
+    A region is in the current band if its top is less than half its height from the band's first region.
+    If all pages have up to ``whole_page`` regions, each is folded in one array. Otherwise pages are
+    range-sorted and cut where a band starts whatever came before: where a region's top less half its height is
+    not above the top of the region before it, as no band began lower than that. The stretches between
+    cuts are folded, and running counts of their bands and regions put them together.
+    """
+    row = F.struct("y", "x", "seq", "h")
+    most = regions.groupBy(page).count().agg(F.max("count")).first()[0] or 0
+    if most <= whole_page:
+        folded = regions.groupBy(page).agg(_bands(F.array_sort(F.collect_list(row))).alias("b"))
+        return folded.select(page, F.posexplode("b").alias("reading_order", "v")).select(page, F.col("v.seq").alias("seq"), "reading_order", F.col("v.band").alias("band"))
+    g = F.coalesce(F.concat(F.lit("="), F.col(page).cast("string")), F.lit(""))
+    rows = ordered(regions.select(g.alias("g"), page, "y", "x", "seq", "h", (F.col("y") - F.col("h") * 0.5).alias("reach")), ["g"], ["y", "x", "seq", "h"], block_bits)
+    cut = (F.col("g") == F.col("next_g")) & (F.col("next_reach") >= F.col("y"))
+    flagged = materialize(with_next(rows, ["g", "reach"]).withColumn("cut", F.coalesce(cut, F.lit(False)).cast("long")), "cuts")
+    parts = running_sums(flagged, ["g"], {"cuts": F.col("cut")}).withColumn("part", F.col("cuts") - F.col("cut"))
+    parts = materialize(parts.groupBy("g", page, "part").agg(_bands(F.array_sort(F.collect_list(row))).alias("b")), "bands")
+    before = ordered(parts.select("g", "part", F.size("b").alias("n"), (F.element_at("b", -1)["band"] + 1).alias("bands")), ["g"], ["part"], block_bits)
+    sums = running_sums(before, ["g"], {"n_sum": F.col("n"), "bands_sum": F.col("bands")}).select("g", "part", (F.col("n_sum") - F.col("n")).alias("n0"), (F.col("bands_sum") - F.col("bands")).alias("band0"))
+    out = parts.join(sums, ["g", "part"]).select(page, "n0", "band0", F.posexplode("b").alias("i", "v"))
+    return out.select(page, F.col("v.seq").alias("seq"), (F.col("n0") + F.col("i")).cast("int").alias("reading_order"), (F.col("band0") + F.col("v.band")).cast("int").alias("band"))
 
 
 def dominant_content(regions: DataFrame, page: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..storage import materialize, ship_package
+
 MOST_ATTEMPTS, LOCK_MINUTES = 5, 30
 
 
@@ -135,24 +137,38 @@ def after_login(attempts: int, locked_until: float, now: float, success: bool) -
     return attempts, 0.0, "FAILED"
 
 
-def lockouts(logins: DataFrame, user: str, ts: str, tie: str, success: str) -> DataFrame:
-    """(user, tie, outcome, attempts) of every login, in order; a user's logins stream through one task in time order."""
+def lockouts(logins: DataFrame, user: str, ts: str, tie: str, success: str, block_bits: int = 14) -> DataFrame:
+    """(user, tie, outcome, attempts) of every login, in order.
+
+    A success without a failure in the LOCK_MINUTES before it can't be locked out, so it resets the user
+    whatever came before. Users are cut behind such logins (running values over range-sorted blocks find them),
+    and each stretch streams through a task of its own from a fresh state: a user with very many logins is
+    not one task's work. A user that only fails is one stretch. Null users are one user.
+    """
+    from ..operators.scan import ordered, running, running_sums
+
+    ship_package(logins.sparkSession)
     kind = logins.schema[user].dataType.simpleString(), logins.schema[tie].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         who, attempts, until = None, 0, 0.0
         for b in batches:
             out = []
-            for u, t, at, ok in zip(b["u"], b["t"], b["at"], b["ok"]):
-                if u != who:
-                    who, attempts, until = u, 0, 0.0
+            for g, part, u, t, at, ok in zip(b["g"], b["part"], b["u"], b["t"], b["at"], b["ok"]):
+                if (g, part) != who:
+                    who, attempts, until = (g, part), 0, 0.0
                 attempts, until, said = after_login(attempts, until, at, ok)
                 out.append((u, t, said, attempts))
             yield pd.DataFrame(out, columns=[user, tie, "outcome", "attempts"])
 
-    rows = logins.select(F.col(user).alias("u"), F.col(tie).alias("t"), (F.unix_micros(ts) / 1e6).alias("at"), F.col(success).alias("ok"))
-    ordered = rows.repartition("u").sortWithinPartitions("u", "at", "t")
-    return ordered.mapInPandas(run, f"`{user}` {kind[0]}, `{tie}` {kind[1]}, outcome string, attempts int")
+    g = F.coalesce(F.concat(F.lit("="), F.col(user).cast("string")), F.lit(""))
+    rows = logins.select(g.alias("g"), F.col(user).alias("u"), F.col(tie).alias("t"), (F.unix_micros(ts) / 1e6).alias("at"), F.coalesce(success, F.lit(False)).alias("ok"))
+    seen = running(ordered(rows, ["g"], ["at", "t"], block_bits), ["g"], {"failed": ("max", F.when(~F.col("ok"), F.col("at")))})
+    reset = F.col("ok") & (F.col("failed").isNull() | (F.col("at") >= F.col("failed") + LOCK_MINUTES * 60))
+    flagged = materialize(seen.withColumn("reset", reset.cast("long")), "resets")
+    parts = running_sums(flagged, ["g"], {"resets": F.col("reset")}).withColumn("part", F.col("resets") - F.col("reset"))
+    stretches = parts.select("g", "part", "u", "t", "at", "ok").repartition("g", "part").sortWithinPartitions("g", "part", "at", "t")
+    return stretches.mapInPandas(run, f"`{user}` {kind[0]}, `{tie}` {kind[1]}, outcome string, attempts int")
 
 
 class Lockout(StatefulProcessor):

@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import quality, timeline
+from dossier.operators import layout, quality, timeline
 from dossier.operators.scan import clamped, ordered, positions, running, with_next
+from dossier.streaming import operators as S
 
 
 def test_running_values_and_positions(spark):
@@ -95,3 +96,39 @@ def test_nearest_in_time(spark):
             at = bisect.bisect_right(points, (s, 10**9))
             want[i] = (sum(abs(t - s) <= 300 for t, _ in points), points[at - 1][1] if at else None, points[at][1] if at < len(points) else None)
     assert got == want
+
+
+@pytest.mark.parametrize("whole", [1024, 5])
+def test_reading_order_of_long_pages(spark, whole):
+    """Pages cut where bands surely start against one loop over the page."""
+    r = random.Random(7)
+    rows = [(p, i, r.randrange(900), r.randrange(0, 60 * n, r.choice([1, 7])), r.choice([4, 12, 30, 200])) for p, n in ((1, 400), (2, 3), (None, 60)) for i in range(n)]
+    want = {}
+    for p in (1, 2, None):
+        band, top, out = -1, 0, []
+        for y, x, seq, h in sorted((y, x, i, h) for q, i, x, y, h in rows if q == p):
+            if band < 0 or not abs(y - top) < h * 0.5:
+                band, top = band + 1, y
+            out.append((band, x, y, seq))
+        want |= {(p, seq): (n, band) for n, (band, _, _, seq) in enumerate(sorted(out))}
+    df = spark.createDataFrame(rows, "page int, seq int, x int, y int, h int")
+    got = {(x.page, x.seq): (x.reading_order, x.band) for x in layout.reading_order(df, "page", whole, 3).collect()}
+    assert got == want
+
+
+def test_lockouts_of_a_busy_user_in_stretches(spark):
+    r = random.Random(11)
+    rows, at = [], {1: 0, None: 0}
+    for i in range(1500):
+        u = r.choice([1, 1, 1, None])
+        at[u] += r.choice([30, 200, 2500])
+        rows.append((u, i, float(at[u]), r.random() < 0.35))
+    want = {}
+    for u in (1, None):
+        state = (0, 0.0)
+        for _, i, t, ok in sorted((x for x in rows if x[0] == u), key=lambda x: (x[2], x[1])):
+            *state, said = S.after_login(*state, t, ok)
+            want[u, i] = (said, state[0])
+    df = spark.createDataFrame(rows, "u long, i long, at double, ok boolean").withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
+    got = {(x.u, x.i): (x.outcome, x.attempts) for x in S.lockouts(df, "u", "ts", "i", "ok", 4).collect()}
+    assert got == want and {v[0] for v in want.values()} == {"OK", "FAILED", "LOCKED", "LOCKED_NOW"}
