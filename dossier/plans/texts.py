@@ -148,9 +148,9 @@ def txt11(spark, d):
     return view(spark, d, "reports").where("length(text) > 3").select("id", X.resolve_synonyms(F.col("text")).alias("text"))
 
 
-_RULES = rows([(i + 1, "(?i)" + chr(92) + "b" + t + chr(92) + "b", new, cat) for i, (t, new, cat) in enumerate(X.synonym_rules())], "n, p, new, cat")
-_LOGGED = f"""WITH RECURSIVE r AS (SELECT * FROM {_RULES}), w AS (SELECT id, 1 AS n, text FROM {RE} x UNION ALL SELECT w.id, w.n + 1, regexp_replace(w.text, r.p, r.new, 'g') FROM w JOIN r ON r.n = w.n),
-m AS (SELECT w.id, r.n, r.new, r.cat, regexp_extract_all(w.text, r.p) AS ms, regexp_split_to_array(w.text, r.p) AS gaps FROM w JOIN r ON r.n = w.n WHERE regexp_matches(w.text, r.p)),
+_RULES = rows([(i + 1, "(?i)" + chr(92) + "b" + t + chr(92) + "b", new, cat, t) for i, (t, new, cat) in enumerate(X.synonym_rules())], "n, p, new, cat, term")
+_LOGGED = f"""WITH RECURSIVE r AS (SELECT * FROM {_RULES}), w AS (SELECT id, 1 AS n, text FROM {RE} x UNION ALL SELECT w.id, w.n + 1, CASE WHEN contains(lower(w.text), r.term) THEN regexp_replace(w.text, r.p, r.new, 'g') ELSE w.text END FROM w JOIN r ON r.n = w.n),
+m AS (SELECT id, n, new, cat, regexp_extract_all(text, p) AS ms, regexp_split_to_array(text, p) AS gaps FROM (SELECT w.*, r.* EXCLUDE (n) FROM w JOIN r ON r.n = w.n WHERE contains(lower(w.text), r.term)) AS x(id, n, text, p, new, cat, term) WHERE regexp_matches(text, p)),
 k AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM m)
 SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n, k DESC) - 1 AS INT) AS seq, ms[k] AS original, new AS resolved, cat AS category, 0.9 AS confidence,
 CAST(list_sum(list_transform(gaps[:k], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[:k - 1], lambda g: length(g))), 0) AS INT) AS position FROM k"""
