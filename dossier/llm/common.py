@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..storage import BROADCAST_ROWS, broadcast_if_small, discard, materialize, new_path, ship_package, work_dir  # noqa: F401
 
 #: Rows of a batch between the JVM and Python at most: texts are long, and batches are held on both sides.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

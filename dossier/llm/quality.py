@@ -43,7 +43,7 @@ class Indicators:
     where a word equal to the one before it has a shape of its own."""
 
     def __init__(self) -> None:
-        self.shapes = Memo(_shape, 300_000)
+        self.shapes = Memo(_shape, 150_000)
         self.mark = np.zeros(1 << BITS, bool)
 
     def __call__(self, text: str) -> np.ndarray:
