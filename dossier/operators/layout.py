@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .scan import BLOCK_BITS, ordered, running_sums, with_next
+from .scan import BLOCK_BITS, RANGE_ROWS, following, ordered, running_sums, with_next
 
 
 def lines(words: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,9 +85,9 @@ def dominant_content(regions: DataFrame, page: str) -> DataFrame:
     return areas.groupBy(page).agg(F.max_by("content", F.struct("area", -F.col("first"), "content")).alias("dominant"), F.bool_or(F.col("content") == "handwritten").alias("has_handwriting"))
 
 
-def motion_frames(frames: DataFrame, camera: str, order: str, score: str, threshold: float = 50_000) -> DataFrame:
-    """Frames whose difference to the one before exceeds the threshold, counted for each camera."""
-    from pyspark.sql import Window
-
-    before = F.lag(score).over(Window.partitionBy(camera).orderBy(order))
-    return frames.withColumn("diff", F.abs(F.col(score) - before)).groupBy(camera).agg(F.count("*").alias("frames"), F.count_if(F.col("diff") > threshold).alias("motion_frames"))
+def motion_frames(frames: DataFrame, camera: str, order: str, score: str, threshold: float = 50_000, most: int = RANGE_ROWS) -> DataFrame:
+    """Frames whose difference to the one before exceeds the threshold, counted for each camera; a camera of more than
+    ``most`` frames is cut."""
+    pairs = following(frames.select(*dict.fromkeys([camera, order, score])), [camera], [F.col(order)], [score], most)
+    moved = F.abs(F.col(f"next_{score}") - F.col(score)) > threshold
+    return pairs.groupBy(camera).agg(F.count("*").alias("frames"), F.count_if(moved).alias("motion_frames"))

@@ -94,6 +94,43 @@ def with_next(rows: DataFrame, cols: list[str]) -> DataFrame:
     return out.withColumns({f"next_{c}": F.when(F.col("last_in_block"), F.col(f"first_{c}")).otherwise(F.col(f"next_{c}")) for c in cols}).drop("next_block", "jump", "last_in_block", *[f"first_{c}" for c in cols])
 
 
+def _largest(df: DataFrame, group: list[str]) -> int:
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+
+
+def _in_order(df: DataFrame, group: list[str], order: list[Column]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` as an ordered table with its columns under plain names (returned too) and the group as one value g."""
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    by = {f"o{i}": c for i, c in enumerate(order)}
+    plain = df.select(*[F.col(c).alias(n) for c, n in at.items()], *[c.alias(n) for n, c in by.items()], F.struct(*group).alias("g"))
+    return ordered(plain, ["g"], list(by)), at
+
+
+def following(df: DataFrame, group: list[str], order: list[Column], cols: list[str], most: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with next_<col> of the row that follows in its group, null after the last one; null is a group of its own.
+
+    ``order`` is complete, or rows alike in it follow in any order. Windows do it while no group has more than ``most``
+    rows; a window over a larger one would be one task, so then all rows are range-sorted and compared block by block.
+    Both give the same rows. Column names may be any but next_<col>.
+    """
+    if _largest(df, group) <= most:
+        w = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumns({f"next_{c}": F.lead(c).over(w) for c in cols})
+    rows, at = _in_order(df, group, order)
+    found = with_next(rows, ["g", *[at[c] for c in cols]])
+    same = F.col("g").eqNullSafe(F.col("next_g"))
+    return found.select(*[F.col(n).alias(c) for c, n in at.items()], *[F.when(same, F.col(f"next_{at[c]}")).alias(f"next_{c}") for c in cols])
+
+
+def placed(df: DataFrame, group: list[str], order: list[Column], name: str = "place", most: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with the 1-based place of each row in its group's order, by windows or, beyond ``most`` rows of a group,
+    by counts of range partitions; as ``following`` else."""
+    if _largest(df, group) <= most:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
+    rows, at = _in_order(df, group, order)
+    return positions(rows, ["g"]).select(*[F.col(n).alias(c) for c, n in at.items()], (F.col("place") + 1).alias(name))
+
+
 def clamped(items: DataFrame, group: list[str], start: float, keep: list[str] | None = None, block_bits: int = 8) -> DataFrame:
     """``items`` (group, at, a, lo, hi, ``keep``) with before and after of x -> min(hi, max(lo, a * x)), in order of ``at``.
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .scan import RANGE_ROWS, following, running, with_next
 from .scan import ordered as ordered_rows
-from .scan import running, with_next
 
 
 def ordered(df: DataFrame, at: Column, tie: str) -> DataFrame:
@@ -15,17 +15,17 @@ def ordered(df: DataFrame, at: Column, tie: str) -> DataFrame:
     return df.orderBy(at.asc(), F.col(tie).asc())
 
 
-def conflicts(df: DataFrame, by: list[Column], ts: str, event: str, key: str | None = None) -> DataFrame:
+def conflicts(df: DataFrame, by: list[Column], ts: str, event: str, key: str | None = None, most: int = RANGE_ROWS) -> DataFrame:
     """Neighbours in input order of which the first is later than the second. ``key`` splits independent timelines;
     without it all rows form one, which is range-sorted and compared block by block, never in one task. ``by`` is a
-    complete order."""
+    complete order; a key of more than ``most`` rows is cut as well."""
     if key is None:
         names = {f"by{i}": c for i, c in enumerate(by)}
         rows = ordered_rows(df.select(F.col(event).alias("event_1"), F.col(ts).alias("at"), *[c.alias(n) for n, c in names.items()]), [], list(names))
         return with_next(rows, ["event_1", "at"]).where("at > next_at").select("event_1", F.col("next_event_1").alias("event_2"))
-    w = Window.partitionBy(key).orderBy(*by)
-    after = df.withColumns({"event_2": F.lead(event).over(w), "__ts": F.lead(ts).over(w)})
-    return after.where(F.col(ts) > F.col("__ts")).drop("__ts").withColumnRenamed(event, "event_1")
+    after = following(df, [key], by, [event, ts], most)
+    late = after.where(F.col(ts) > F.col(f"next_{ts}")).withColumnRenamed(f"next_{event}", "event_2")
+    return late.drop(f"next_{ts}").withColumnRenamed(event, "event_1")
 
 
 def inconsistencies_after_sorting(df: DataFrame, ts: str, event: str, key: str) -> DataFrame:
@@ -33,12 +33,12 @@ def inconsistencies_after_sorting(df: DataFrame, ts: str, event: str, key: str)
     return conflicts(df, [F.col(ts), F.col(event)], ts, event, key)
 
 
-def gaps(df: DataFrame, key: str, ts: str, tie: str, hours: float = 2.0) -> DataFrame:
-    """(key, gap_start, gap_end, duration_hours) of neighbours more than ``hours`` apart."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    out = df.select(key, F.col(ts).alias("gap_end"), F.lag(ts).over(w).alias("gap_start"))
+def gaps(df: DataFrame, key: str, ts: str, tie: str, hours: float = 2.0, most: int = RANGE_ROWS) -> DataFrame:
+    """(key, gap_start, gap_end, duration_hours) of neighbours more than ``hours`` apart; a key of more than ``most`` rows is cut."""
+    after = following(df.select(*dict.fromkeys([key, ts, tie])), [key], [F.col(ts), F.col(tie)], [ts], most)
+    out = after.select(key, F.col(ts).alias("gap_start"), F.col(f"next_{ts}").alias("gap_end"))
     span = (F.unix_micros(F.col("gap_end").cast("timestamp")) - F.unix_micros(F.col("gap_start").cast("timestamp"))) / 3.6e9
-    return out.withColumn("duration_hours", F.round(span, 4)).where(F.col("duration_hours") > hours).select(key, "gap_start", "gap_end", "duration_hours")
+    return out.withColumn("duration_hours", F.round(span, 4)).where(F.col("duration_hours") > hours)
 
 
 def source_match(times: list[Column], seconds: int = 300) -> tuple[Column, Column]:

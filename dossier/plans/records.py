@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import lexicon as L
 from ..functions import measures as M
-from ..operators import layout, quality, relational, timeline
+from ..operators import layout, quality, relational, scan, timeline
 from ..session import spread
 from .inputs import duck, table, view
 from .registry import query
@@ -173,10 +173,9 @@ _INPUT = "(event_id * 7919) % 10007"
 @query("win02_timeline", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS place, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS VARCHAR), event_id) AS INT) AS text_place FROM events")
 def win02(spark, d):
     """Order by parsed time and by the text of the time."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id")
-    return table(spark, d, "events").select("event_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("place"), F.row_number().over(w.orderBy(F.col("ts").cast("string"), "event_id")).alias("text_place"))
+    events = scan.placed(table(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")])
+    events = scan.placed(events, ["user_id"], [F.col("ts").cast("string"), F.col("event_id")], "text_place")
+    return events.select("event_id", F.col("place").cast("int").alias("place"), F.col("text_place").cast("int").alias("text_place"))
 
 
 @query("win03_conflicts", f"SELECT user_id, event_id AS event_1, e2 AS event_2 FROM (SELECT user_id, event_id, ts, lead(event_id) OVER w AS e2, lead(ts) OVER w AS t2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY {_INPUT}, event_id)) AS x WHERE ts > t2")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import layout, quality, timeline
-from dossier.operators.scan import clamped, ordered, positions, running, with_next
+from dossier.operators.scan import clamped, following, ordered, placed, positions, running, with_next
 from dossier.streaming import operators as S
 
 
@@ -132,3 +132,30 @@ def test_lockouts_of_a_busy_user_in_stretches(spark):
     df = spark.createDataFrame(rows, "u long, i long, at double, ok boolean").withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
     got = {(x.u, x.i): (x.outcome, x.attempts) for x in S.lockouts(df, "u", "ts", "i", "ok", 4).collect()}
     assert got == want and {v[0] for v in want.values()} == {"OK", "FAILED", "LOCKED", "LOCKED_NOW"}
+
+
+@pytest.mark.parametrize("most", [0, 1 << 21])
+def test_neighbours_and_places_of_keys_of_any_size(spark, most):
+    """Windows and cut keys give the same rows: null keys are one key, ties go by the order's next column, other columns keep their names."""
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", "b", None]), r.randrange(40), i, i * 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, t int, row_no int, g int")
+    nxt = {x.row_no: (x.next_t, x.next_g) for x in following(df, ["key"], [F.col("t"), F.col("row_no")], ["t", "g"], most).collect()}
+    at = {x.row_no: x.place for x in placed(df, ["key"], [F.col("t"), F.col("row_no")], most=most).collect()}
+    for k in ["hot", "b", None]:
+        own = sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2]))
+        for n, (a, b) in enumerate(zip(own, [*own[1:], (None,) * 4])):
+            assert nxt[a[2]] == (b[1], b[3]) and at[a[2]] == n + 1
+    assert following(df.limit(0), ["key"], [F.col("t")], ["t"], most).count() == placed(df.limit(0), ["key"], [F.col("t")], most=most).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1 << 21])
+def test_gaps_conflicts_and_motion_of_cut_keys(spark, most):
+    rows = [("a", "2024-01-01 00:00:00", 1, 5.0), ("a", "2024-01-01 03:00:00", 2, 90.0), ("a", None, 3, 91.0), ("b", "2024-01-01 09:00:00", 4, 0.0), ("b", "2024-01-01 08:00:00", 5, None), ("b", "2024-01-01 11:00:00", 6, 50.0)]
+    df = spark.createDataFrame(rows, "k string, ts string, e int, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+    gaps = timeline.gaps(df, "k", "ts", "e", 1.5, most).collect()
+    assert sorted((x.k, str(x.gap_start), x.duration_hours) for x in gaps) == [("a", "2024-01-01 00:00:00", 3.0), ("b", "2024-01-01 09:00:00", 2.0)]
+    late = timeline.conflicts(df, [F.col("e")], "ts", "e", "k", most).collect()
+    assert [(x.k, x.event_1, x.event_2) for x in late] == [("b", 4, 5)]
+    moved = layout.motion_frames(df, "k", "e", "v", 20, most).collect()
+    assert sorted(tuple(x) for x in moved) == [("a", 3, 1), ("b", 3, 0)]
