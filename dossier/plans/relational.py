@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import classify as C
 from ..functions import lexicon as L
 from ..functions import measures as M
 from ..operators import relational as R
+from ..sources import objects
 from .inputs import duck, rows, table, view
 from .registry import query
 
@@ -278,11 +281,31 @@ def srt07(spark, d):
     return R.latest(table(spark, d, "events"), "user_id", F.col("event_id").asc()).select("user_id", "event_id")
 
 
-@query("snk01_object_key", f"SELECT id, concat(lower(category), '/', strftime(created_at, '%Y/%m/%d'), '/', md5(CAST(id AS VARCHAR)), CASE WHEN regexp_extract(filename, '(\\.[^./]+)$', 1) = '' THEN '.bin' ELSE regexp_extract(filename, '(\\.[^./]+)$', 1) END) AS storage_key FROM {EV} e")
-def snk01(spark, d):
+_KEY = "concat(lower(category), '/', strftime(created_at, '%Y/%m/%d'), '/', md5(CAST(id AS VARCHAR)), CASE WHEN regexp_extract(filename, '(\\.[^./]+)$', 1) = '' THEN '.bin' ELSE regexp_extract(filename, '(\\.[^./]+)$', 1) END)"
+
+
+def _storage_key():
     ending = F.coalesce(F.nullif(F.regexp_extract("filename", r"(\.[^./]+)$", 1), F.lit("")), F.lit(".bin"))
-    key = F.concat(F.lower("category"), F.lit("/"), F.date_format("created_at", "yyyy/MM/dd"), F.lit("/"), F.md5(F.col("id").cast("string")), ending)
-    return view(spark, d, "evidence").select("id", key.alias("storage_key"))
+    return F.concat(F.lower("category"), F.lit("/"), F.date_format("created_at", "yyyy/MM/dd"), F.lit("/"), F.md5(F.col("id").cast("string")), ending)
+
+
+@query("snk01_object_key", f"SELECT id, {_KEY} AS storage_key FROM {EV} e")
+def snk01(spark, d):
+    return view(spark, d, "evidence").select("id", _storage_key().alias("storage_key"))
+
+
+_BUCKET, _REGION, _AT = "evidence", "eu-west-1", datetime.datetime(2024, 6, 1)
+_ACCESS, _SECRET = "AKIDEXAMPLE", "example-secret-of-the-tests"
+_INNER, _OUTER = (p.hex() for p in objects.pads(objects.signing_key(_SECRET, "20240601", _REGION)))
+_FIELDS = "X-Amz-Algorithm=AWS4-HMAC-SHA256&X-Amz-Credential=AKIDEXAMPLE%2F20240601%2Feu-west-1%2Fs3%2Faws4_request&X-Amz-Date=20240601T000000Z&X-Amz-Expires=3600&X-Amz-SignedHeaders=host"
+
+
+@query("snk02_presigned", f"""WITH k AS (SELECT id, replace(url_encode({_KEY}), '%2F', '/') AS p FROM {EV} e),
+q AS (SELECT id, p, 'AWS4-HMAC-SHA256' || chr(10) || '20240601T000000Z' || chr(10) || '20240601/eu-west-1/s3/aws4_request' || chr(10) || sha256('GET' || chr(10) || '/' || p || chr(10) || '{_FIELDS}' || chr(10) || 'host:evidence.s3.eu-west-1.amazonaws.com' || chr(10) || chr(10) || 'host' || chr(10) || 'UNSIGNED-PAYLOAD') AS m FROM k)
+SELECT id, 'https://evidence.s3.eu-west-1.amazonaws.com/' || p || '?{_FIELDS}&X-Amz-Signature=' || sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(m)))) AS url FROM q""")
+def snk02(spark, d):
+    """A link of one hour to every object, signed in the JVM."""
+    return view(spark, d, "evidence").select("id", objects.presigned(_storage_key(), _BUCKET, _ACCESS, _SECRET, _REGION, _AT).alias("url"))
 
 
 @query("snk06_result_status", f"SELECT evidence_id, CASE WHEN count(*) FILTER (status = 'FAILED') = 0 THEN 'COMPLETED' WHEN count(*) FILTER (status = 'FAILED') < count(*) THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM {NO} n GROUP BY 1")
