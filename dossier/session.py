@@ -31,3 +31,18 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+#: Rows of a task of narrow rows from which long texts are made, at most.
+TASK_ROWS = 1 << 15
+
+
+def deal(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` (narrow, straight from a file) in tasks of about ``rows`` rows, for work that is heavy in CPU row by row.
+
+    Splits follow bytes and row groups: a column of keys packs millions of rows into one. Counting reads
+    the files' footers only, and what is shuffled is the keys.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks)
