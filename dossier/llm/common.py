@@ -33,6 +33,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def release() -> None:
+    """Give memory that this process no longer uses back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _held: list = [None, None]
 
 
@@ -44,9 +51,7 @@ def claim(owner: Hashable, build: Callable = lambda: None):
     """
     if _held[0] != owner:
         _held[:] = [None, None]
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
         _held[:] = [owner, build()]
     return _held[1]
 

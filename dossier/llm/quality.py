@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, broadcast_if_small, claim, discard, held_out, materialize, ship_code
+from .common import Memo, broadcast_if_small, claim, discard, held_out, materialize, release, ship_code
 from .grams import class_sample, draw, gram_codes
 
 #: Labelled rows of each class to learn from, about; the bound of the sample.
@@ -77,18 +77,19 @@ class SupportVectors:
             self.bias = 2.0 * float(y.mean()) if labels else 0.0
             return
         find = Indicators()
-        rows = [find(t) for t in texts]
+        rows = [find(t).astype(np.int32) for t in texts]
         seen = {s: np.full(1 << BITS, alpha) for s in (1.0, -1.0)}
         for r, s in zip(rows, y):
             seen[s][r] += 1
         ratio = np.log(seen[1.0] / seen[1.0].sum()) - np.log(seen[-1.0] / seen[-1.0].sum())
-        scaled = [ratio[r] / max(1e-9, math.sqrt(max(1, len(r)))) for r in rows]
-        square = [float(v @ v) + 1 for v in scaled]
+        del seen
+        scaled = lambda r: ratio[r] / math.sqrt(max(1, len(r)))  # noqa: E731 - made anew in each visit, as all rows of floats are many
+        square = [float(v @ v) + 1 for v in map(scaled, rows)]
         upper = {s: cost * len(y) / (2 * (y == s).sum()) for s in (1.0, -1.0)}
         w, b, dual, rng = np.zeros(1 << BITS), 0.0, np.zeros(len(y)), np.random.default_rng(0)
         for _ in range(epochs):
             for i in rng.permutation(len(y)):
-                r, v, s = rows[i], scaled[i], y[i]
+                r, v, s = rows[i], scaled(rows[i]), y[i]
                 slope = s * (w[r] @ v + b) - 1
                 new = min(max(dual[i] - slope / square[i], 0.0), upper[s])
                 if new != dual[i]:
@@ -120,7 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).join(broadcast_if_small(some), "i")
     got = class_sample(rows.select("t", "l", draw("i").alias("draw")), per_class, most_chars) if counts else []
     discard(some)
-    return SupportVectors([t for t, _ in got], [y for _, y in got])
+    model = SupportVectors([t for t, _ in got], [y for _, y in got])
+    del got
+    release()
+    return model
 
 
 def score_quality(docs: DataFrame, model: SupportVectors, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

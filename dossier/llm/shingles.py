@@ -181,10 +181,11 @@ def _tiled(rows: DataFrame) -> DataFrame:
     return met.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")}).drop("most", "few", "many", "other")
 
 
-def alike_sets(df: DataFrame, reps: DataFrame, words: int, bits: int, share: float, id_col: str, text_col: str) -> DataFrame:
+def alike_sets(df: DataFrame, reps: DataFrame, proposed: DataFrame, words: int, bits: int, share: float, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) that span the classes (rep, low, fp, h1, h2, bands) at a similarity of ``share`` or more.
 
-    Classes meet in the buckets of their bands; buckets with the same members count once, and only
+    Pairs (a, b) that the pivot tables ``proposed`` are verified in the first pass, and what that links does not
+    meet again. For the rest classes meet in the buckets of their bands; buckets with the same members count once, and only
     documents that meet others are read again, for their whole sets. First every member is verified
     against its bucket's first one, which is linear; then buckets whose members are not all linked by
     that are compared inside, in tiles of bounded size, where linked ones do not meet again. Each link is
@@ -195,7 +196,8 @@ def alike_sets(df: DataFrame, reps: DataFrame, words: int, bits: int, share: flo
     groups = buckets.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("first"), F.min_by("fp", "rep").alias("first_fp")).where("n > 1")
     groups = materialize(groups.groupBy("n", "x", "first").agg(F.min("key").alias("key"), F.first("first_fp").alias("first_fp")), "buckets")
     rows = materialize(buckets.join(broadcast_if_small(groups.select("key", "first", "first_fp")), "key"), "met")
-    met = reps.join(rows.select("rep").distinct(), "rep", "left_semi").select("rep", "low", "h1", "h2")
+    asked = rows.select("rep").union(proposed.select("a")).union(proposed.select("b")).distinct()
+    met = reps.join(asked, "rep", "left_semi").select("rep", "low", "h1", "h2")
     met = materialize(met, "candidates")
     ids = materialize(met.select(F.col("low").alias(id_col)).distinct(), "ids")
     again = df.select(id_col, text_col).join(broadcast_if_small(ids), id_col, "left_semi")
@@ -203,7 +205,8 @@ def alike_sets(df: DataFrame, reps: DataFrame, words: int, bits: int, share: flo
     sets = materialize(met.select("rep", "h1", "h2").join(sets, ["h1", "h2"]).select("rep", "size", "set"), "sets")
 
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= bits
-    pairs = rows.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"), near.alias("near")).distinct()
+    pairs = rows.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"), near.alias("near"))
+    pairs = pairs.union(proposed.select("a", "b", F.lit(True))).distinct()
     pairs = pairs.join(sets.select(F.col("rep").alias("a"), F.col("size").alias("na"), F.col("set").alias("sa")), "a")
     pairs = pairs.join(sets.select(F.col("rep").alias("b"), F.col("size").alias("nb"), F.col("set").alias("sb")), "b")
     small, large = F.least("na", "nb"), F.greatest("na", "nb")

@@ -20,6 +20,8 @@ from .tiles import tile_pairs
 PIVOTS = 16
 #: Fingerprints of a bucket that one task holds at most (of each side of a tile pair).
 TILE_ROWS = 2048
+#: Differing bits up to which pivot tables propose pairs to a search by similarity.
+PIVOT_BITS = 3
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -166,6 +168,13 @@ def alike_fingerprints(reps: DataFrame, bits: int) -> DataFrame:
     return link_buckets(rows, bits)
 
 
+def pivot_links(reps: DataFrame, bits: int = PIVOT_BITS) -> DataFrame:
+    """Links (a, b) of classes (rep, fp) whose fingerprints are equal or, by the pivot tables, joined at ``bits`` or fewer differing bits; materialized."""
+    firsts = materialize(reps.groupBy("fp").agg(F.min("rep").alias("rep")), "firsts")
+    same = reps.select("fp", F.col("rep").alias("a")).join(firsts.select("fp", F.col("rep").alias("b")), "fp").where("a <> b").select("a", "b")
+    return materialize(alike_fingerprints(firsts, bits).union(same), "pivots")
+
+
 def near_duplicates(df: DataFrame, words: int = 3, bits: int = 3, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, fingerprint (16 hex digits), component_id.
 
@@ -180,9 +189,10 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 3, share: float |
 
     With ``share``, links are pairs whose sets of word shingles have that Jaccard similarity or more, the
     fingerprint is of the distinct shingles, and classes are equal sets. Pairs at 0.8 lie about ten bits
-    apart, up to ``bits`` (28 loses fewer than one in ten million); neither bit blocks nor pivots prune at
-    that radius, so buckets come from minima of the shingles' hashes (``shingles.bands``), fingerprints
-    discard pairs inside the buckets, and whole sets verify. See ``alike_sets``.
+    apart, up to ``bits`` (28 loses fewer than one in ten million). Pivot tables propose pairs at PIVOT_BITS
+    first; neither bit blocks nor pivots prune at the larger radius, so buckets for the rest come from minima
+    of the shingles' hashes (``shingles.bands``), fingerprints discard pairs inside the buckets, and whole
+    sets verify all links. See ``alike_sets``.
     """
     make = fingerprints if share is None else fingerprinted_sets
     key = ["fp"] if share is None else ["h1", "h2"]
@@ -190,7 +200,7 @@ def near_duplicates(df: DataFrame, words: int = 3, bits: int = 3, share: float |
     more = [] if share is None else [F.first("fp").alias("fp"), F.first("bands").alias("bands")]
     reps = found.where(F.col(id_col).isNotNull()).groupBy(*key).agg(F.min(id_col).alias("low"), *more)
     reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    comps = components(alike_fingerprints(reps, bits) if share is None else alike_sets(df, reps, words, bits, share, id_col, text_col))
+    comps = components(alike_fingerprints(reps, bits) if share is None else alike_sets(df, reps, pivot_links(reps), words, bits, share, id_col, text_col))
     member = comps.join(reps.select(F.col("rep").alias("node"), "low"), "node")
     lowest = member.groupBy("component").agg(F.min("low").alias("lowest"))
     named = comps.join(lowest, "component").select(F.col("node").alias("rep"), "lowest")
