@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import category, resolve_mime
+from ..session import deal
 from ..sources import readers, sinks
 from ..sources.ledger import Ledger
 from ..storage import new_path
@@ -36,7 +37,7 @@ _FILES = f"(SELECT *, {_AT} AS kind, concat('case/', lpad(CAST(c_custkey AS VARC
 
 def files(spark, d) -> DataFrame:
     """The files as the scan returns them."""
-    df = table(spark, d, "customer")
+    df = deal(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"))
     made = df.select(F.expr(f"concat('case/', lpad(CAST(c_custkey AS STRING), 12, '0'), {_ENDING})").alias("path"), F.expr(f"unhex({_HEX})").alias("content"))
     mime = resolve_mime(F.lit(None).cast("string"), F.col("path"))
     return made.withColumns({"length": F.octet_length("content").cast("long"), "mime": mime, "category": category(mime), "sha256": F.sha2("content", 256), "md5": F.md5("content")})
