@@ -196,14 +196,29 @@ def page_quality(images: DataFrame) -> DataFrame:
     )
 
 
+#: Bytes of made images that are held before they go back, about.
+OUT_BYTES = 8 << 20
+
+
 def mapped(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Images through a function of arrays, as prepare() does."""
     kind = images.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["id", "width", "height", "pixels"])
+
         for b in batches:
-            made = [f(grey(bytes(p), w, h)) for w, h, p in zip(b["width"], b["height"], b["pixels"])]
-            yield pd.DataFrame({"id": b["id"], "width": [a.shape[1] for a in made], "height": [a.shape[0] for a in made], "pixels": [a.tobytes() for a in made]})
+            rows, held = [], 0
+            for i, w, h, p in zip(b["id"], b["width"], b["height"], b["pixels"]):
+                a = f(grey(bytes(p), w, h))
+                rows.append((i, a.shape[1], a.shape[0], a.tobytes()))
+                held += a.nbytes
+                if held >= OUT_BYTES:  # what f makes may be many times larger than what came
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
 
     return images.select("id", "width", "height", "pixels").mapInPandas(run, f"id {kind}, width int, height int, pixels binary")
 

@@ -46,3 +46,17 @@ def deal(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, -(-df.count() // rows))
     return df.repartition(tasks)
+
+
+#: Rows and bytes of a batch between the JVM and Python at most: texts and pages are long, and batches are held on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session; narrower settings stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        digits = "".join(c for c in now or "" if c.isdigit())
+        if not (digits and 0 < int(digits) <= most and digits == now):
+            spark.conf.set(key, str(most))
