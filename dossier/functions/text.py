@@ -8,6 +8,7 @@ from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,10 @@ from .lexicon import ABBREVIATIONS, SYNONYMS
 
 #: Java flags that make matching follow Unicode and lines end at \n only.
 FLAGS = "(?iuUd)"
+#: Stands around or for matches, in texts that have none.
+MARK = "\x01"
+#: Met in texts that Java's and Python's patterns may read differently; of all others both make the same words, blanks and cases.
+ODD = re.compile("[^\x00-\x1b\x20-\x7f\xa0\xb0\xb7\xc0-\xff\u2013\u2014\u2018\u2019\u201c\u201d]")
 
 
 def literal_map(table: dict[str, str]) -> Column:
@@ -186,9 +191,52 @@ def match_starts(text: Column, pattern: Column, found: Column) -> Column:
     return F.aggregate(lengths, start, step, lambda z: z["out"])
 
 
+@cache
+def _plain_rules() -> list[tuple]:
+    return [(term, re.compile(rf"\b{re.escape(term)}\b").finditer, new) for term, new, _ in synonym_rules()]
+
+
+def _logged(text: str) -> list[tuple[str, int, int]]:
+    """(original, rule, position) of the substitutions in a plain text, in the order of the log."""
+    out, low, rules = [], text.lower(), _plain_rules()
+    closed, _ = synonym_index()
+    for n in sorted(set().union(*(closed[w] for w in closed.keys() & set(re.findall(r"\w+", low))))):
+        term, search, new = rules[n]
+        if term in low and (found := [m.span() for m in search(low)]):
+            out += [(text[i:j], n, i) for i, j in reversed(found)]
+            gaps = list(zip([0, *[j for _, j in found]], [*[i for i, _ in found], len(text)]))
+            text, low = new.join(text[i:j] for i, j in gaps), new.lower().join(low[i:j] for i, j in gaps)
+    return out
+
+
+_LOG_ROW = T.StructType([*[T.StructField(n, T.StringType()) for n in ("original", "resolved", "category")], T.StructField("confidence", T.DoubleType()), T.StructField("position", T.IntegerType())])
+
+
+@F.arrow_udf(T.ArrayType(_LOG_ROW))
+def _plain_log(texts: pa.Array) -> pa.Array:
+    """Null for null texts and those that are not plain."""
+    ends, said = [0], []
+    for text in texts.to_pylist():
+        if text is None or ODD.search(text):
+            ends[-1:] = [None, ends[-1]]
+            continue
+        said += _logged(text)
+        ends.append(len(said))
+    rules = synonym_rules()
+    number = pa.array([n for _, n, _ in said], pa.int32())
+    columns = [pa.array([x for x, _, _ in said], pa.string()), *[pa.array([r[k] for r in rules], pa.string()).take(number) for k in (1, 2)], pa.array([0.9] * len(said), pa.float64()), pa.array([at for _, _, at in said], pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, _LOG_ROW.names))
+
+
 def synonym_log(c: Column) -> Column:
-    """The substitutions of resolve_synonyms with places in the text as it was then, last match of a rule first."""
+    """The substitutions of resolve_synonyms with places in the text as it was then, last match of a rule first.
+
+    Spark's patterns tell no places, so plain texts go through Python's in batches; others are cut at the matches in the JVM.
+    """
+    return F.coalesce(_plain_log(c), _cut_log(c))
+
 
+def _cut_log(c: Column) -> Column:
     def said(text: Column, term: str, new: str, cat: str) -> Column:
         row = lambda m, at: F.struct(m.alias("original"), F.lit(new).alias("resolved"), F.lit(cat).alias("category"), F.lit(0.9).alias("confidence"), at.alias("position"))
         rows = lambda found: bind(match_starts(text, F.lit(_whole(term)), found), lambda at: F.reverse(F.transform(found, lambda m, i: row(m, F.get(at, i)))))
