@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .classify import field_injury, field_region, holds_any
 from .lexicon import ANATOMY_TERMS, INJURY_STEMS, ORGANS, TOX_STEMS
-from .text import FLAGS, bind, match_starts, strip
+from .text import FLAGS, MARK, ODD, bind, strip
 
 DOT = FLAGS + "(?s)"
 # The patterns of report parts.
@@ -124,20 +127,91 @@ def _struct(kind: str, pattern: str, confidence: float, cut: int):
 
 
 def entity_spans(text: Column) -> Column:
-    """Array of (entity_type, start, end): where the patterns match (whole matches, code points), for highlighting."""
-    return bind(F.lower(F.upper(text)), lambda low: _spans(text, low))
-
-
-def _spans(text: Column, low: Column) -> Column:
-    def places(kind: str, pattern: str):
-        row = lambda m, at: F.struct(F.lit(kind).alias("entity_type"), at.alias("start"), (at + F.length(m)).alias("end"))
-        return lambda found: bind(match_starts(text, F.lit(pattern), found), lambda at: F.transform(found, lambda m, i: row(m, F.get(at, i))))
-
-    parts = []
-    for kind, pattern, flags, _ in PATTERNS:
-        met = reduce(or_, [F.contains(low, F.lit(w)) for w in _needed(kind, pattern)])
-        parts.append(F.when(met, bind(F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0)), places(kind, flags + pattern)).cast(SPANS)).otherwise(F.array().cast(SPANS)))
-    return F.coalesce(F.concat(*parts), F.array().cast(SPANS))
+    """Array of (entity_type, start, end): where the patterns match (whole matches, code points), for highlighting.
+
+    Spark's patterns tell no places, so texts of plain letters go through Python's in batches, in lower case and
+    only where a word that a pattern needs is met. Of other texts each pattern marks its matches in the JVM.
+    """
+    # a mark that is there already becomes another control character, which all patterns treat alike
+    marked = lambda t: bind(F.translate(t, MARK, "\x02"), lambda u: bind(F.lower(F.upper(u)), lambda low: _marked_spans(u, low)))
+    return F.coalesce(_plain_spans(text), F.when(text.isNotNull(), marked(text)), F.array().cast(SPANS))
+
+
+@cache
+def _matchers() -> tuple[dict[str, list[int]], list[tuple]]:
+    """Needed word -> numbers of its patterns; and (pattern, whether it minds the case, a shorter search) of each
+    pattern, for texts in lower case. Matches begin with one of the words; where they do not, the search is given."""
+    by_word: dict[str, list[int]] = {}
+    found = []
+    for i, (kind, pattern, flags, _) in enumerate(PATTERNS):
+        cased = "i" not in flags
+        low = pattern if cased else re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
+        low, dot = low.replace(r"\z", r"\Z"), re.S if "(?s)" in flags else 0
+        for w in _needed(kind, pattern):
+            by_word.setdefault(w, []).append(i)
+        numbered = low.startswith(r"\d+")
+        found.append((re.compile(low, dot), cased, re.compile(low[3:], dot) if numbered else None))
+    return by_word, found
+
+
+def _matched(pattern: re.Pattern, text: str, low: str, ahead: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """Spans as of finditer, of a pattern whose matches begin with words: it is tried only where these are; ``ahead``
+    has the first place of each."""
+    spans = []
+    while ahead:
+        begin = ahead[0][0] if len(ahead) == 1 else min(ahead)[0]
+        m = pattern.match(text, begin)
+        if m:
+            spans.append(m.span())
+        rest = m.end() if m else begin + 1
+        ahead = [(i, w) for i, w in ((i if i >= rest else low.find(w, rest), w) for i, w in ahead) if i >= 0]
+    return spans
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("entity_type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def _plain_spans(texts: pa.Array) -> pa.Array:
+    """Null for null texts and those that are not plain."""
+    by_word, matchers = _matchers()
+    ends, kinds, starts, stops = [0], [], [], []
+    for text in texts.to_pylist():
+        if text is None or ODD.search(text):
+            ends[-1:] = [None, ends[-1]]
+            continue
+        low = text.lower()
+        ahead: dict[int, list] = {}
+        for w, some in by_word.items():
+            if (at := low.find(w)) >= 0:
+                for i in some:
+                    ahead.setdefault(i, []).append((at, w))
+        for i in sorted(ahead):
+            pattern, cased, shorter = matchers[i]
+            if shorter:
+                spans = [m.span() for m in pattern.finditer(low)] if shorter.search(low) else []
+            else:
+                spans = _matched(pattern, text if cased else low, low, ahead[i])
+            for start, stop in spans:
+                kinds.append(i)
+                starts.append(start)
+                stops.append(stop)
+        ends.append(len(kinds))
+    names = pa.array([kind for kind, *_ in PATTERNS]).take(pa.array(kinds, pa.int32()))
+    rows = pa.StructArray.from_arrays([names, pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["entity_type", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
+def _marked_spans(text: Column, low: Column) -> Column:
+    met = lambda kind, pattern: reduce(or_, [F.contains(low, F.lit(w)) for w in _needed(kind, pattern)])
+    row = lambda kind, pattern, flags: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(text, flags + pattern, f"{MARK}$0{MARK}").alias("marked"))
+    marked = F.array(*[F.when(met(kind, p), row(kind, p, flags)) for kind, p, flags, _ in PATTERNS])
+
+    def step(z: Column, piece: Column) -> Column:
+        end = z["at"] + F.length(piece)
+        found = F.array(F.struct(z["kind"].alias("entity_type"), z["at"].alias("start"), end.alias("end")))
+        return F.struct(z["kind"].alias("kind"), end.alias("at"), (~z["inside"]).alias("inside"), F.when(z["inside"], F.concat(z["out"], found)).otherwise(z["out"]).cast(SPANS).alias("out"))
+
+    start = lambda x: F.struct(x["kind"].alias("kind"), F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPANS).alias("out"))
+    places = lambda x: F.aggregate(F.split(x["marked"], MARK, -1), start(x), step, lambda z: z["out"])
+    return F.flatten(F.transform(F.filter(marked, lambda x: F.contains(x["marked"], F.lit(MARK))), places))
 
 
 #: field -> patterns of which the first with a non-empty value counts; fixed patterns
