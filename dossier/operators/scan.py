@@ -60,11 +60,12 @@ def running(rows: DataFrame, group: list[str], values: dict[str, tuple[str, Colu
     """``rows`` (an ordered table) with a running sum, max or min of each value over the row and those before it in
     its group (``backwards``: and those after it); values are name -> (sum, max or min, column), nulls are passed over."""
     ways = {n: (getattr(F, kind), kind, c) for n, (kind, c) in values.items()}
-    inside, past = (0, Window.unboundedFollowing) if backwards else (Window.unboundedPreceding, 0), (1, Window.unboundedFollowing) if backwards else (Window.unboundedPreceding, -1)
-    block = Window.partitionBy(*group, "block_no").orderBy("row_no").rowsBetween(*inside)
+    # frames that begin at the row and end with the group are made anew for each row, so backwards is another order
+    order = (lambda c: F.col(c).desc()) if backwards else F.col
+    block = Window.partitionBy(*group, "block_no").orderBy(order("row_no")).rowsBetween(Window.unboundedPreceding, 0)
     inner = rows.withColumns({n: f(c).over(block) for n, (f, _, c) in ways.items()})
     blocks = rows.groupBy(*group, "block_no").agg(*[f(c).alias(f"{n}_all") for n, (f, _, c) in ways.items()])
-    others = Window.partitionBy(*group).orderBy("block_no").rowsBetween(*past)
+    others = Window.partitionBy(*group).orderBy(order("block_no")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = materialize(blocks.select(*group, "block_no", *[f(f"{n}_all").over(others).alias(f"{n}_past") for n, (f, _, _) in ways.items()]), "running")
     joined = inner.join(broadcast_if_small(blocks), [*group, "block_no"])
     return joined.withColumns({n: _MERGE[kind](F.col(n), F.col(f"{n}_past")) for n, (_, kind, _) in ways.items()}).drop(*[f"{n}_past" for n in values])
