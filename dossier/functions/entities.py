@@ -7,10 +7,11 @@ from functools import cache, reduce
 from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import ship_package
 from .classify import field_injury, field_region, holds_any
 from .lexicon import ANATOMY_TERMS, INJURY_STEMS, ORGANS, TOX_STEMS
 from .text import FLAGS, MARK, ODD, bind, strip
@@ -132,6 +133,7 @@ def entity_spans(text: Column) -> Column:
     Spark's patterns tell no places, so texts of plain letters go through Python's in batches, in lower case and
     only where a word that a pattern needs is met. Of other texts each pattern marks its matches in the JVM.
     """
+    ship_package(SparkSession.active())
     # a mark that is there already becomes another control character, which all patterns treat alike
     marked = lambda t: bind(F.translate(t, MARK, "\x02"), lambda u: bind(F.lower(F.upper(u)), lambda low: _marked_spans(u, low)))
     return F.coalesce(_plain_spans(text), F.when(text.isNotNull(), marked(text)), F.array().cast(SPANS))

@@ -9,10 +9,11 @@ from functools import cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import ship_package
 from .lexicon import ABBREVIATIONS, SYNONYMS
 
 #: Java flags that make matching follow Unicode and lines end at \n only.
@@ -233,6 +234,7 @@ def synonym_log(c: Column) -> Column:
 
     Spark's patterns tell no places, so plain texts go through Python's in batches; others are cut at the matches in the JVM.
     """
+    ship_package(SparkSession.active())
     return F.coalesce(_plain_log(c), _cut_log(c))
 
 
