@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..storage import materialize
 from .scan import BLOCK_BITS, RANGE_ROWS, following, ordered, running_sums, with_next
 
@@ -34,6 +35,41 @@ def documents(found: DataFrame, doc: str, page: str) -> DataFrame:
     )
 
 
+def _mean(values: Column) -> Column:
+    """The mean of an array of numbers, null if it is empty."""
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+
+
+def line_of(words: Column) -> Column:
+    """``lines`` for one line whose words, in order, are an array: (text, confidence, x, y, w, h), null if no word is left."""
+    of = lambda some, f: F.transform(some, f)
+
+    def made(some: Column) -> Column:
+        x, y = F.array_min(of(some, lambda s: s["x"])), F.array_min(of(some, lambda s: s["y"]))
+        line = F.struct(
+            F.array_join(of(some, lambda s: s["word"]), " ").alias("text"), (_mean(of(some, lambda s: s["conf"].cast("double"))) / 100).alias("confidence"), x.alias("x"), y.alias("y"),
+            (F.array_max(of(some, lambda s: s["x"] + s["w"])) - x).alias("w"), (F.array_max(of(some, lambda s: s["y"] + s["h"])) - y).alias("h"),
+        )
+        return F.when(F.size(some) > 0, line)
+
+    return bind(F.filter(words, lambda s: (s["conf"] >= 0) & (F.trim(s["word"]) != "")), made)
+
+
+def _joined(parts: Column, between: str) -> list[Column]:
+    known = F.filter(F.transform(parts, lambda p: p["confidence"]), lambda c: c > 0)
+    return [F.array_join(F.transform(parts, lambda p: p["text"]), between).alias("text"), _mean(known).alias("confidence")]
+
+
+def page_of(found: Column) -> Column:
+    """``pages`` for one page whose lines, in order, are an array: (text, confidence)."""
+    return F.struct(*_joined(found, "\n"))
+
+
+def document_of(found: Column) -> Column:
+    """``documents`` for one document whose pages, in order, are an array: (text, confidence, pages)."""
+    return F.struct(*_joined(found, "\n\n--- Page Break ---\n\n"), F.size(found).cast("long").alias("pages"))
+
+
 #: Regions of a page up to which its bands are folded in one array.
 WHOLE_PAGE = 1024
 _BAND = "array<struct<band:int,x:int,y:int,seq:int>>"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..session import bound_batches, deal, spread
+from ..storage import broadcast_if_small, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,13 +115,11 @@ HEAVY = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view in Spark."""
+def view(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame | None = None) -> DataFrame:
+    """The view in Spark; ``docs``: words of these documents alone."""
     tables, sql = VIEWS[name]
     if name == "words":
-        from pyspark.sql import functions as F
-
-        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")) if docs is None else docs
         exploded = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
         return spark.sql(sql.replace("k / 60", "k div 60").replace("(k % 60) / 10", "(k % 60) div 10"), exploded=exploded)
     if name in HEAVY:
@@ -127,6 +128,33 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})
 
 
+def once_and_repeated(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``df`` whose key no other row has, and the others (None if there are none); only keys are shuffled."""
+    again = materialize(df.groupBy(key).count().where("count > 1").select(key), "repeated")
+    if again.isEmpty():
+        return df, None
+    again = broadcast_if_small(again.select(F.col(key).alias("again")))
+    same = F.col(key).eqNullSafe(F.col("again"))
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+
+
+def words_of_pages(text: Column, doc_id: Column) -> Column:
+    """The words view of one text as an array of pages (page, lines) of lines (line, words)."""
+
+    def word(w: Column, k: Column, line: Column) -> Column:
+        conf, x = (doc_id * 7 + k * 13) % 101, k % 10
+        return F.struct(w.alias("word"), (conf - 1).cast("int").alias("conf"), (x * 40).cast("int").alias("x"), (line * 30).cast("int").alias("y"), (F.length(w) * 5).alias("w"), (k % 3 + 12).cast("int").alias("h"))
+
+    def line(ws: Column, page: Column, at: Column) -> Column:
+        k = page * 60 + at * 10
+        words = F.transform(F.slice(ws, (k + 1).cast("int"), F.lit(10)), lambda w, j: word(w, k + j, at))
+        return F.struct(at.cast("int").alias("line"), words.alias("words"))
+
+    lines = lambda ws, page: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda at: line(ws, page, at.cast("long")))
+    page = lambda ws, p: F.struct(p.cast("int").alias("page"), lines(ws, p).alias("lines"))
+    return bind(F.split(text, " "), lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / 60).cast("int")), lambda p: page(ws, p.cast("long"))))
+
+
 def duck(name: str) -> str:
     """The view as a DuckDB subquery."""
     tables, sql = VIEWS[name]
