@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import cache, reduce
+from itertools import accumulate
 from operator import or_
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from ..storage import ship_package
 from .classify import field_injury, field_region, holds_any
 from .lexicon import ANATOMY_TERMS, INJURY_STEMS, ORGANS, TOX_STEMS
-from .text import FLAGS, MARK, ODD, bind, strip
+from .text import FLAGS, MARK, ODD, bind, matched, places_of, remembered, strip
 
 DOT = FLAGS + "(?s)"
 # The patterns of report parts.
@@ -79,6 +80,12 @@ def entities(text: Column, kinds: list[str] | None = None) -> Column:
     return bind(F.lower(F.upper(text)), lambda low: _entities(text, low, kinds))
 
 
+def batch_entities(text: Column, kinds: list[str] | None = None) -> Column:
+    """As entities, for columns of tables: plain texts go through Python's patterns in batches, as in entity_spans, others stay in the JVM."""
+    ship_package(SparkSession.active())
+    return F.coalesce(plain_entities(kinds)(text), bind(text, lambda t: entities(t, kinds)))
+
+
 def _entities(text: Column, low: Column, kinds: list[str] | None) -> Column:
     parts: dict[str, list[Column]] = {}
     for kind, pattern, flags, confidence in PATTERNS:
@@ -141,66 +148,135 @@ def entity_spans(text: Column) -> Column:
 
 @cache
 def _matchers() -> tuple[dict[str, list[int]], list[tuple]]:
-    """Needed word -> numbers of its patterns; and (pattern, whether it minds the case, a shorter search) of each
+    """Needed word (up to a blank) -> numbers of its patterns; and (pattern, whether it minds the case, a shorter search) of each
     pattern, for texts in lower case. Matches begin with one of the words; where they do not, the search is given."""
     by_word: dict[str, list[int]] = {}
     found = []
     for i, (kind, pattern, flags, _) in enumerate(PATTERNS):
         cased = "i" not in flags
-        low = pattern if cased else re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
-        low, dot = low.replace(r"\z", r"\Z"), re.S if "(?s)" in flags else 0
+        low, dot = _lower(pattern, cased), re.S if "(?s)" in flags else 0
         for w in _needed(kind, pattern):
-            by_word.setdefault(w, []).append(i)
+            by_word.setdefault(w.split(" ")[0], []).append(i)
         numbered = low.startswith(r"\d+")
         found.append((re.compile(low, dot), cased, re.compile(low[3:], dot) if numbered else None))
     return by_word, found
 
 
-def _matched(pattern: re.Pattern, text: str, low: str, ahead: list[tuple[int, str]]) -> list[tuple[int, int]]:
-    """Spans as of finditer, of a pattern whose matches begin with words: it is tried only where these are; ``ahead``
-    has the first place of each."""
-    spans = []
-    while ahead:
-        begin = ahead[0][0] if len(ahead) == 1 else min(ahead)[0]
-        m = pattern.match(text, begin)
-        if m:
-            spans.append(m.span())
-        rest = m.end() if m else begin + 1
-        ahead = [(i, w) for i, w in ((i if i >= rest else low.find(w, rest), w) for i, w in ahead) if i >= 0]
-    return spans
+def _lower(pattern: str, cased: bool = False) -> str:
+    """The pattern in Python's form, for texts in lower case unless it minds the case."""
+    low = pattern if cased else re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
+    return low.replace(r"\z", r"\Z")
+
+
+@remembered
+def _piece_places(piece: str) -> list[tuple[int, list[int]]] | None:
+    """(number of a pattern, places where its matches may begin) of a piece between blanks or line ends; None if it is not plain."""
+    if ODD.search(piece):
+        return None
+    by_word, found = _matchers()[0], {}
+    low = piece.lower()
+    for w, some in by_word.items():
+        if w in low:
+            for i in some:
+                found.setdefault(i, []).append(w)
+    return [(i, places_of(low, words)) for i, words in found.items()]
+
+
+def _matches(text: str, kinds: frozenset[str] | None = None) -> list[tuple[int, list[re.Match]]] | None:
+    """(number, matches) of the patterns that a plain text calls for, in their order; None if it is not plain."""
+    pieces = text.replace("\n", " ").split(" ")
+    called = list(map(_piece_places, pieces))
+    if None in called:
+        return None
+    places: dict[int, list[int]] = {}
+    for k, (some, before) in enumerate(zip(called, accumulate(map(len, pieces), initial=0))):
+        for i, at in some:
+            places.setdefault(i, []).extend([before + k + x for x in at])
+    low, matchers, out = text.lower(), _matchers()[1], []
+    for i in sorted(places):
+        if kinds is not None and PATTERNS[i][0] not in kinds:
+            continue
+        pattern, cased, shorter = matchers[i]
+        if shorter:
+            found = list(pattern.finditer(low)) if shorter.search(low) else []
+        else:
+            found = matched(pattern, text if cased else low, places[i])
+        if found:
+            out.append((i, found))
+    return out
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("entity_type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def _plain_spans(texts: pa.Array) -> pa.Array:
     """Null for null texts and those that are not plain."""
-    by_word, matchers = _matchers()
     ends, kinds, starts, stops = [0], [], [], []
     for text in texts.to_pylist():
-        if text is None or ODD.search(text):
+        met = None if text is None else _matches(text)
+        if met is None:
             ends[-1:] = [None, ends[-1]]
             continue
-        low = text.lower()
-        ahead: dict[int, list] = {}
-        for w, some in by_word.items():
-            if (at := low.find(w)) >= 0:
-                for i in some:
-                    ahead.setdefault(i, []).append((at, w))
-        for i in sorted(ahead):
-            pattern, cased, shorter = matchers[i]
-            if shorter:
-                spans = [m.span() for m in pattern.finditer(low)] if shorter.search(low) else []
-            else:
-                spans = _matched(pattern, text if cased else low, low, ahead[i])
-            for start, stop in spans:
+        for i, found in met:
+            for m in found:
                 kinds.append(i)
-                starts.append(start)
-                stops.append(stop)
+                starts.append(m.start())
+                stops.append(m.end())
         ends.append(len(kinds))
     names = pa.array([kind for kind, *_ in PATTERNS]).take(pa.array(kinds, pa.int32()))
     rows = pa.StructArray.from_arrays([names, pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], ["entity_type", "start", "end"])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
+def _value(i: int, value: str) -> tuple[str, str] | None:
+    """(raw, normalized) of what the pattern of number i found in a plain text; None if it does not count."""
+    kind, pattern, *_ = PATTERNS[i]
+    if kind == "ANATOMICAL_REFERENCE":
+        return value, pattern[3:-3]
+    if kind == "DECEASED_GENDER":
+        return value, "Male" if value.upper() in ("M", "MALE") else "Female"
+    if kind == "CAUSE_OF_DEATH" and len(value) <= 3 or kind == "ORGAN_FINDING" and len(value) <= 10:
+        return None
+    if pattern == INJURY_BLOCK and not (len(value) > 5 and any(w in value.lower() for w in INJURY_STEMS)):
+        return None
+    value = value[: 300 if kind == "ORGAN_FINDING" else 500]
+    return value, value
+
+
+_ENTITY = T.StructType([*[T.StructField(n, T.StringType()) for n in ("entity_type", "raw_value", "normalized_value")], T.StructField("confidence", T.DoubleType())])
+
+
+def plain_entities(kinds: list[str] | None):
+    """The function of plain texts; it gives null for null texts and those that are not plain."""
+    some = frozenset(kinds) if kinds else None
+
+    @F.arrow_udf(T.ArrayType(_ENTITY))
+    def made(texts: pa.Array) -> pa.Array:
+        ends, numbers, raw, normal = [0], [], [], []
+        for text in texts.to_pylist():
+            met = None if text is None else _matches(text, some)
+            if met is None:
+                ends[-1:] = [None, ends[-1]]
+                continue
+            anatomical = 0
+            for i, found in met:
+                if PATTERNS[i][0] == "ANATOMICAL_REFERENCE":
+                    found = found[: MOST_ANATOMICAL - anatomical]
+                    anatomical += len(found)
+                for m in found:
+                    start, stop = m.span(1)
+                    value = _value(i, text[start:stop].strip())
+                    if value:
+                        numbers.append(i)
+                        raw.append(value[0])
+                        normal.append(value[1])
+            ends.append(len(numbers))
+        number = pa.array(numbers, pa.int32())
+        taken = lambda at, form: pa.array([p[at] for p in PATTERNS], form).take(number)
+        columns = [taken(0, pa.string()), pa.array(raw, pa.string()), pa.array(normal, pa.string()), taken(3, pa.float64())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, _ENTITY.names))
+
+    return made
+
+
 def _marked_spans(text: Column, low: Column) -> Column:
     met = lambda kind, pattern: reduce(or_, [F.contains(low, F.lit(w)) for w in _needed(kind, pattern)])
     row = lambda kind, pattern, flags: F.struct(F.lit(kind).alias("kind"), F.regexp_replace(text, flags + pattern, f"{MARK}$0{MARK}").alias("marked"))
@@ -272,10 +348,42 @@ def report_injuries(text: Column) -> Column:
     return F.transform(kept, lambda d: F.struct(F.left(d, F.lit(500)).alias("description"), field_injury(d).alias("injury_type"), field_region(d).alias("body_region"), dimensions(d).alias("dimensions")))
 
 
+def _tox_lines(text: Column) -> Column:
+    return F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(FLAGS + p), F.lit(0)) for p in (TOX_LINE, TOX_NAMED)]), strip)
+
+
+@cache
+def _tox_matchers() -> list[tuple[re.Pattern, list[str]]]:
+    """(pattern for texts in lower case, words that its matches begin with)"""
+    named = ["opiate", "opioid", "cannabis", "thc", "barbiturate", "benzodiazepine", "amphetamine", "cocaine", "organophosph", "cyanide"]
+    return [(re.compile(_lower(p)), some) for p, some in ((TOX_LINE, ["ethanol", "alcohol", "blood"]), (TOX_NAMED, named))]
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _plain_toxicology(texts: pa.Array) -> pa.Array:
+    """Toxicology lines; null for null texts and those that are not plain."""
+    out = []
+    for text in texts.to_pylist():
+        if text is None or ODD.search(text):
+            out.append(None)
+            continue
+        low = text.lower()
+        out.append([text[m.start() : m.end()].strip() for pattern, some in _tox_matchers() for m in matched(pattern, low, places_of(low, some))])
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def report_toxicology(text: Column) -> Column:
     """Array of (substance, result, concentration, unit), split at the first colon or dash."""
-    found = F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(FLAGS + p), F.lit(0)) for p in (TOX_LINE, TOX_NAMED)]), strip)
+    return _tox_records(_tox_lines(text))
+
+
+def batch_toxicology(text: Column) -> Column:
+    """As report_toxicology, for columns of tables, in the manner of batch_entities."""
+    ship_package(SparkSession.active())
+    return _tox_records(F.coalesce(_plain_toxicology(text), _tox_lines(text)))
+
 
+def _tox_records(found: Column) -> Column:
     def one(x: Column) -> Column:
         parts = F.split(x, r"[:\-]\s*", 2)
         result = F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))

@@ -52,6 +52,25 @@ def lookup(table: dict[str, str], key: Column, default: Column | None = None) ->
     return found if default is None else F.coalesce(found, default)
 
 
+class _Remembered(dict):
+    def __init__(self, f: Callable):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, piece: str):
+        found = self.f(piece)
+        if len(piece) <= 64:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+def remembered(f: Callable) -> Callable:
+    """f of a piece of text; what it gives is kept for at most 65,536 pieces of 64 characters or less, as words repeat."""
+    return _Remembered(f).__getitem__
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
@@ -67,7 +86,7 @@ def nfc(c: Column) -> Column:
 
 def collapse_spaces(c: Column) -> Column:
     """Runs of blanks and tabs become one blank and every line is stripped; line breaks stay."""
-    one = F.regexp_replace(c, r"[ \t]+", " ")
+    one = F.regexp_replace(c, r"[ \t]{2,}+|\t", " ")  # a single blank stays as it is
     return F.regexp_replace(one, r"(?md)(?U)^[\s\x1c-\x1f&&[^\n]]+|[\s\x1c-\x1f&&[^\n]]+$", "")
 
 
@@ -98,14 +117,41 @@ def expand_abbreviations(c: Column) -> Column:
     return F.array_join(said, " ")
 
 
+#: Spelling rules after the abbreviations, for approximations, years, weights and heights; none reaches over a blank.
+SPELLINGS = ((r"\b(approx\.?|approximately)\b", "approximately"), (r"\b(yr|yrs|y\.o\.)\b", "years old"), (r"\b(wt|wgt)\b", "weight"), (r"\b(ht|hgt)\b", "height"))
+
+
+@remembered
+def _plain_standard(word: str) -> str:
+    out = ABBREVIATIONS.get(word.lower().strip(".,;:()"), word)
+    for pattern, new in SPELLINGS:
+        out = re.sub(pattern, new, out, flags=re.I)
+    return out
+
+
+@F.arrow_udf(T.StringType())
+def _plain_standardized(texts: pa.Array) -> pa.Array:
+    """Null for null texts and those that are not plain; what a word becomes is remembered."""
+    return pa.array([None if t is None or ODD.search(t) else " ".join(map(_plain_standard, t.split())) for t in texts.to_pylist()], pa.string())
+
+
 def standardize_text(c: Column) -> Column:
-    """Abbreviations, then four spelling rules for approximations, years, weights and heights."""
+    """Abbreviations, then the spelling rules."""
     out = expand_abbreviations(c)
-    for pattern, new in ((r"\b(approx\.?|approximately)\b", "approximately"), (r"\b(yr|yrs|y\.o\.)\b", "years old"), (r"\b(wt|wgt)\b", "weight"), (r"\b(ht|hgt)\b", "height")):
+    for pattern, new in SPELLINGS:
         out = F.regexp_replace(out, FLAGS + pattern, new)
     return out
 
 
+def batch_standardize(c: Column) -> Column:
+    """As standardize_text, for columns of tables: plain texts go through Python in batches, others stay in the JVM.
+
+    The call is marked as nondeterministic, as a later call that reads its result must not be merged into one projection with it.
+    """
+    ship_package(SparkSession.active())
+    return F.coalesce(_plain_standardized.asNondeterministic()(c), standardize_text(c))
+
+
 def synonym_rules() -> list[tuple[str, str, str]]:
     """(term, canonical term, category), longest terms first, otherwise in the order of the tables."""
     rules = [(k, v, cat) for cat, table in SYNONYMS.items() for k, v in table.items()]
@@ -181,6 +227,12 @@ def resolve_synonyms(c: Column) -> Column:
     return bind(c, lambda t: bind(_needed_rules(F.lower(F.upper(t))), lambda some: F.when(F.coalesce(F.size(some), F.lit(0)) < 1, t).otherwise(F.aggregate(some, t, rule))))
 
 
+def batch_resolve(c: Column) -> Column:
+    """As resolve_synonyms, for columns of tables, in the manner of batch_standardize."""
+    ship_package(SparkSession.active())
+    return F.coalesce(_plain_resolved.asNondeterministic()(c), resolve_synonyms(c))
+
+
 LOG = "array<struct<original:string,resolved:string,category:string,confidence:double,position:int>>"
 
 
@@ -192,22 +244,55 @@ def match_starts(text: Column, pattern: Column, found: Column) -> Column:
     return F.aggregate(lengths, start, step, lambda z: z["out"])
 
 
+def places_of(low: str, some: list[str]) -> list[int]:
+    """Where any of the words begins in a text, in order."""
+    places = []
+    for w in some:
+        at = low.find(w)
+        while at >= 0:
+            places.append(at)
+            at = low.find(w, at + 1)
+    return sorted(places)
+
+
+def matched(pattern: re.Pattern, text: str, places: list[int]) -> list[re.Match]:
+    """Matches as of finditer, of a pattern whose matches begin at some of these places, in order."""
+    found, rest = [], 0
+    for at in places:
+        if at >= rest and (m := pattern.match(text, at)):
+            found.append(m)
+            rest = m.end()
+    return found
+
+
 @cache
 def _plain_rules() -> list[tuple]:
-    return [(term, re.compile(rf"\b{re.escape(term)}\b").finditer, new) for term, new, _ in synonym_rules()]
+    return [(term, re.compile(rf"\b{re.escape(term)}\b"), new) for term, new, _ in synonym_rules()]
 
 
-def _logged(text: str) -> list[tuple[str, int, int]]:
-    """(original, rule, position) of the substitutions in a plain text, in the order of the log."""
-    out, low, rules = [], text.lower(), _plain_rules()
+@remembered
+def _called_rules(piece: str) -> frozenset[int]:
+    """Numbers of the rules that the words of a piece between blanks call for."""
     closed, _ = synonym_index()
-    for n in sorted(set().union(*(closed[w] for w in closed.keys() & set(re.findall(r"\w+", low))))):
-        term, search, new = rules[n]
-        if term in low and (found := [m.span() for m in search(low)]):
+    return frozenset(n for w in re.findall(r"\w+", piece) for n in closed.get(w, ()))
+
+
+def _logged(text: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """A plain text resolved, and (original, rule, position) of the substitutions in the order of the log."""
+    out, low, rules = [], text.lower(), _plain_rules()
+    for n in sorted(set().union(*map(_called_rules, set(low.split())))):
+        term, pattern, new = rules[n]
+        if found := [m.span() for m in matched(pattern, low, places_of(low, [term]))]:
             out += [(text[i:j], n, i) for i, j in reversed(found)]
             gaps = list(zip([0, *[j for _, j in found]], [*[i for i, _ in found], len(text)]))
             text, low = new.join(text[i:j] for i, j in gaps), new.lower().join(low[i:j] for i, j in gaps)
-    return out
+    return text, out
+
+
+@F.arrow_udf(T.StringType())
+def _plain_resolved(texts: pa.Array) -> pa.Array:
+    """Null for null texts and those that are not plain."""
+    return pa.array([None if t is None or ODD.search(t) else _logged(t)[0] for t in texts.to_pylist()], pa.string())
 
 
 _LOG_ROW = T.StructType([*[T.StructField(n, T.StringType()) for n in ("original", "resolved", "category")], T.StructField("confidence", T.DoubleType()), T.StructField("position", T.IntegerType())])
@@ -221,7 +306,7 @@ def _plain_log(texts: pa.Array) -> pa.Array:
         if text is None or ODD.search(text):
             ends[-1:] = [None, ends[-1]]
             continue
-        said += _logged(text)
+        said += _logged(text)[1]
         ends.append(len(said))
     rules = synonym_rules()
     number = pa.array([n for _, n, _ in said], pa.int32())
